@@ -59,7 +59,9 @@ class LanguageProfile:
                 rows.append(weights[at[keys[at] == seen]].sum(axis=0).tolist())
             return pa.array(rows, pa.list_(pa.int64()))
 
-        return summed(letters_only(text))
+        # Marked so that Catalyst scores each row once, where it is asked to,
+        # instead of moving the call into filters.
+        return summed.asNondeterministic()(letters_only(text))
 
     def ranked(self, raw: Column) -> Column:
         """``array<struct<lang, prob>>`` from raw scores, best first."""

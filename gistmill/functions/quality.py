@@ -140,7 +140,7 @@ def bullets_or_ellipsis(
 
     return ~(
         too_many(r"^ *[-*]", max_bullets, min_bullets)
-        | too_many(r"(…|\.\.\.) *$", max_ellipsis, min_ellipsis)
+        | too_many(r"(…|\.\.\.) *\z", max_ellipsis, min_ellipsis)
     )
 
 

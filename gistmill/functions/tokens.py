@@ -13,7 +13,7 @@ GAPPED_TOKEN = r"\s*(?:" + TOKEN + ")"
 ALPHA_TAIL = r"\p{L}[\p{L}\p{N}]*"
 NOT_IN_WORD = r"[\s\p{P}]+"
 SENTENCE = r"[^.!?]+[.!?]*\s*"
-EDGE_SPACE = r"^\s+|\s+$"
+EDGE_SPACE = r"^\s+|\s+\z"
 
 
 def tokens(text: Column, pattern: str = TOKEN) -> Column:

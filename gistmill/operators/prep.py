@@ -91,30 +91,25 @@ def exact_split(
     wide = cuts.groupBy(bin_col).agg(
         F.max(F.when(F.col("name") == "test", F.col("cut"))).alias("_test"),
         F.max(F.when(F.col("name") == "validation", F.col("cut"))).alias("_validation"),
-        F.lit(True).alias("_known"),
     )
-    size_of = hashed.groupBy(bin_col).agg(
-        F.count("*").alias("_rows"), tenth.scalar().alias("_tenth")
-    )
-    limits = size_of.join(wide, bin_col, "left")
+    limits = hashed.select(bin_col).distinct().join(wide, bin_col, "left")
+    limits = limits.withColumn("_tenth", tenth.scalar())
     # "g" sorts after every hex digest: a bin smaller than the size asked for
     # goes to that split whole. A size of 0 selects nothing.
-    upto = lambda cut, k: F.when(F.col("_tenth") == 0, F.lit("")).otherwise(
-        F.coalesce(cut, F.lit("g"))
+    upto = lambda cut: F.when(F.col("_tenth") == 0, F.lit("")).otherwise(
+        F.coalesce(F.col(cut), F.lit("g"))
     )
     split = (
-        F.when(F.col("_d") <= upto(F.col("_test"), 1), "test")
-        .when(
-            (F.col(bin_col) == "abstractive") & (F.col("_d") <= upto(F.col("_validation"), 2)),
-            "validation",
-        )
+        F.when(F.col(bin_col).isNull(), F.lit(None))
+        .when(F.col("_d") <= upto("_test"), "test")
+        .when((F.col(bin_col) == "abstractive") & (F.col("_d") <= upto("_validation")), "validation")
         .otherwise("train")
     )
     return (
         df.withColumn("_d", digest)
         .join(F.broadcast(limits), bin_col, "left")
         .withColumn("split", split)
-        .drop("_d", "_rows", "_tenth", "_test", "_validation", "_known")
+        .drop("_d", "_tenth", "_test", "_validation")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     refused unless Spark runs in this one process.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-        named = tempfile.mkdtemp(prefix="gistmill-")
-        spark.conf.set(CHECKPOINT_DIR, named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="gistmill-")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
