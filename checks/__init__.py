@@ -4,7 +4,7 @@ what its result must be."""
 
 def all_checks():
     """``(queries, oracles)`` of all check modules."""
-    from checks import quality  # noqa: F401
+    from checks import evaluation, preparation, quality  # noqa: F401
     from checks.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

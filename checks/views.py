@@ -141,6 +141,24 @@ def pair_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("id", "density", density_bin(F.col("density")).alias("density_bin"))
 
 
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(conv_id, turn, summary, pred)``: a user turn and its answer."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("summary"))
+    replies = turns.where("role = 'assistant'").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("pred")
+    )
+    return asked.join(replies, ["conv_id", "turn"])
+
+
+TURNS = """
+t AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS reply,
+        lead(turn) OVER w AS next_turn FROM conversations
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+pairs AS (SELECT conv_id, turn, conv_id || ':' || turn AS id, text AS summary, reply AS pred FROM t
+          WHERE role = 'user' AND next_role = 'assistant' AND next_turn = turn + 1)"""
+
+
 # --- ratings ----------------------------------------------------------------
 
 LETTERS = ("a", "b", "c", "d", "e")

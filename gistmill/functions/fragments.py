@@ -100,7 +100,12 @@ def fragment_strings(
     """Matched slices longer than ``min_length``; ``start`` 'i' cuts summary
     tokens, 'j' cuts text tokens."""
     kept = F.filter(matches, lambda m: m["len"] > min_length)
-    return F.transform(kept, lambda m: F.array_join(F.slice(side, m[start] + 1, m["len"]), " "))
+    return let(
+        side,
+        lambda ts: F.transform(
+            kept, lambda m: F.array_join(F.slice(ts, m[start] + 1, m["len"]), " ")
+        ),
+    )
 
 
 def fragment_spans(matches: Column, min_length: int = 0) -> Column:

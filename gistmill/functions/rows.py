@@ -90,7 +90,10 @@ def grams(items: Column, n: int, sep: str = " ") -> Column:
     """Consecutive ``n``-grams of an array of strings, joined by ``sep``."""
     if n == 1:
         return items
-    return F.transform(
-        F.slice(items, F.lit(1), F.greatest(F.size(items) - (n - 1), F.lit(0))),
-        lambda x, i: F.concat_ws(sep, x, *[F.get(items, i + k) for k in range(1, n)]),
+    return let(
+        items,
+        lambda xs: F.transform(
+            F.slice(xs, F.lit(1), F.greatest(F.size(xs) - (n - 1), F.lit(0))),
+            lambda x, i: F.concat_ws(sep, x, *[F.get(xs, i + k) for k in range(1, n)]),
+        ),
     )

@@ -35,14 +35,12 @@ def _is_content(word: Column, stop_words: Sequence[str]) -> Column:
 
 def sentence_phrases(words: Column, stop_words: Sequence[str]) -> Column:
     """Maximal runs of content words of each sentence, in order."""
-    marked = lambda ws: F.transform(
+    breaks = lambda ws: F.transform(
         ws, lambda w: F.when(_is_content(w, stop_words), w).otherwise(F.lit("\n"))
     )
+    runs = lambda ws: F.split(F.array_join(breaks(ws), " "), "\n")
     return F.transform(
-        words,
-        lambda ws: F.regexp_extract_all(
-            F.array_join(marked(ws), " "), F.lit(r"[^\s]+(?: [^\s]+)*"), F.lit(0)
-        ),
+        words, lambda ws: F.filter(F.transform(runs(ws), lambda p: F.trim(p)), lambda p: p != "")
     )
 
 
@@ -58,14 +56,16 @@ def _pagerank(sentences: list[list[str]], rounds: int) -> dict[str, float]:
                     edges[a, b] += 1
                     edges[b, a] += 1
     n = len(ids)
-    rank = np.full(n, 1.0 / max(n, 1))
     if edges:
+        rank = np.full(n, 1.0 / n)
         src = np.array([ids[a] for a, _ in edges])
         dst = np.array([ids[b] for _, b in edges])
         weight = np.array(list(edges.values()), dtype=np.float64)
         share = weight / np.bincount(src, weight, n)[src]
         for _ in range(rounds):
             rank = (1 - DAMPING) / n + DAMPING * np.bincount(dst, rank[src] * share, n)
+    else:  # nothing is passed on, so only the base share is left
+        rank = np.full(n, (1 - DAMPING) / max(n, 1))
     return {w: float(rank[k]) for w, k in ids.items()}
 
 
@@ -119,16 +119,21 @@ def top_phrases(ranked: Column, k: int = 4) -> Column:
 
 def sentence_distances(phrases: Column, top: Column) -> Column:
     """Per sentence: length of the weight vector of the top phrases it lacks."""
-    weight_sum = F.aggregate(top, F.lit(0.0), lambda a, p: a + p["rank"])
 
-    def distance(held: Column, z: Column) -> Column:
+    def distance(held: Column, top: Column, z: Column) -> Column:
         absent = F.filter(top, lambda p: ~F.array_contains(held, p["phrase"]))
         squares = F.aggregate(
             absent, F.lit(0.0), lambda a, p: a + F.pow(F.try_divide(p["rank"], z), F.lit(2))
         )
         return F.sqrt(squares)
 
-    return let(weight_sum, lambda z: F.transform(phrases, lambda held: distance(held, z)))
+    return let(
+        top,
+        lambda t: let(
+            F.aggregate(t, F.lit(0.0), lambda a, p: a + p["rank"]),
+            lambda z: F.transform(phrases, lambda held: distance(held, t, z)),
+        ),
+    )
 
 
 def closest_sentences(sentences: Column, distances: Column, n: int = 3) -> Column:
@@ -137,4 +142,6 @@ def closest_sentences(sentences: Column, distances: Column, n: int = 3) -> Colum
         distances, lambda d, i: F.struct(F.round(d, RANK_DIGITS).alias("d"), i.alias("i"))
     )
     places = F.sort_array(F.transform(F.slice(F.sort_array(keyed), 1, n), lambda x: x["i"]))
-    return F.array_join(F.transform(places, lambda i: F.get(sentences, i)), " ")
+    return let(
+        sentences, lambda ss: F.array_join(F.transform(places, lambda i: F.get(ss, i)), " ")
+    )
