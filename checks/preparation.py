@@ -26,7 +26,7 @@ from gistmill.functions import tokens as tk
 from gistmill.functions.repair import compose, repair_text
 from gistmill.operators import prep, ranking as rk, stats, vocab as vc
 from gistmill.plans import clean, ratings, vocabulary
-from gistmill.session import new_folder
+from gistmill.session import new_folder, written
 from gistmill.sources import tables as src
 
 # --- sources and sinks ------------------------------------------------------
@@ -288,7 +288,7 @@ split AS MATERIALIZED (SELECT id, density_bin, CASE WHEN p <= k THEN 'test'
 
 @check("exact_split", f"WITH {SPLIT} SELECT id, density_bin, split FROM split")
 def exact_split(spark, sf_dir):
-    binned = pair_bins(spark, sf_dir).select("id", "density_bin")
+    binned = written(pair_bins(spark, sf_dir).select("id", "density_bin"))
     return prep.exact_split(binned, "id")
 
 

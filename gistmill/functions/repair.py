@@ -105,12 +105,20 @@ def plain_typography(text: Column) -> Column:
 def repair_text(text: Column, unescape: bool | None = None) -> Column:
     """The whole repair. Entities are decoded unless the text looks like
     markup; ``unescape`` True or False decides it outright."""
-    if unescape is None:
-        text = F.when(F.contains(text, F.lit("<")), text).otherwise(unescape_html(text))
-    elif unescape:
-        text = unescape_html(text)
-    text = F.regexp_replace(text, TERMINAL_ESCAPE, "")
-    text = fix_encoding(text)
-    text = plain_typography(text)
-    text = F.regexp_replace(text, LINE_BREAK, "\n")
-    return F.regexp_replace(text, CONTROL, "")
+
+    def entities(t: Column) -> Column:
+        if unescape is None:
+            return F.when(F.contains(t, F.lit("<")), t).otherwise(unescape_html(t))
+        return unescape_html(t) if unescape else t
+
+    steps = [
+        entities,
+        lambda t: F.regexp_replace(t, TERMINAL_ESCAPE, ""),
+        fix_encoding,
+        plain_typography,
+        lambda t: F.regexp_replace(F.regexp_replace(t, LINE_BREAK, "\n"), CONTROL, ""),
+    ]
+    # Each step reads its input more than once, hence the binding.
+    for step in steps:
+        text = let(text, step)
+    return text

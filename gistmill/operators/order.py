@@ -19,29 +19,32 @@ def hash_to_long(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def kth_hash(df: DataFrame, group: str, digest: str, ks: DataFrame) -> DataFrame:
-    """The ``k``-th smallest digest of each group.
+def hash_slices(df: DataFrame, group: str, digest: str) -> DataFrame:
+    """``(group, prefix, n)``: rows per slice of the hash range, at most 4,096
+    per group. Counting combines map-side, however large a group is."""
+    prefix = F.substring(digest, 1, PREFIX).alias("prefix")
+    return df.groupBy(F.col(group), prefix).agg(F.count("*").alias("n"))
 
-    ``ks`` holds ``(group, name, k)``, a few rows per group. Counting digests
-    by prefix finds the one slice that holds each cut, so only about one row in
-    4,096 is shuffled and ranked however large a group is.
+
+def kth_hash(df: DataFrame, slices: DataFrame, group: str, digest: str, ks: DataFrame) -> DataFrame:
+    """``(group, name, cut)``: the ``k``-th smallest digest of each group.
+
+    ``ks`` holds ``(group, name, k)``, a few rows per group. The slice counts
+    tell which slice holds each cut, so only about one row in 4,096 is shuffled
+    and ranked.
     """
-    prefix = F.substring(digest, 1, PREFIX)
-    running = Window.partitionBy(group).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
-    slices = (
-        df.groupBy(F.col(group), prefix.alias("_prefix"))
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(running))
-    )
-    holding = slices.join(F.broadcast(ks), group).where(
-        (F.col("k") <= F.col("_upto")) & (F.col("k") > F.col("_upto") - F.col("_n"))
+    running = Window.partitionBy(group).orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
+    holding = (
+        slices.withColumn("upto", F.sum("n").over(running))
+        .join(ks, group)
+        .where((F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("n")))
     )
-    place = Window.partitionBy(group, "name").orderBy(digest)
+    place = F.row_number().over(Window.partitionBy(group, "name").orderBy(digest))
     return (
-        df.select(group, digest, prefix.alias("_prefix"))
-        .join(F.broadcast(holding), [group, "_prefix"])
-        .withColumn("_place", F.row_number().over(place) + F.col("_upto") - F.col("_n"))
-        .where(F.col("_place") == F.col("k"))
+        df.select(group, digest, F.substring(digest, 1, PREFIX).alias("prefix"))
+        .join(F.broadcast(holding), [group, "prefix"])
+        .withColumn("place", place + F.col("upto") - F.col("n"))
+        .where(F.col("place") == F.col("k"))
         .select(group, "name", F.col(digest).alias("cut"))
     )
 

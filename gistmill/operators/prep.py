@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gistmill.operators.order import kth_hash, md5_of
+from gistmill.operators.order import hash_slices, kth_hash, md5_of
+from gistmill.session import written
 
 SEED = 22
 
@@ -66,7 +67,7 @@ def both_passed() -> Column:
 def exact_split(
     df: DataFrame, key: str, bin_col: str = "density_bin", seed: int = SEED
 ) -> DataFrame:
-    """Add ``split``: exact sizes, reproducible, in one pass over the rows.
+    """Add ``split``: exact sizes, reproducible.
 
     The test size is a tenth of the abstractive rows for every bin; validation
     rows come from the abstractive bin only. Rows are ordered by a hash of
@@ -75,25 +76,26 @@ def exact_split(
     """
     digest = md5_of(F.col(key), str(seed))
     hashed = df.select(F.col(bin_col), digest.alias("_digest"))
-    size = F.count_if(F.col(bin_col) == "abstractive")
-    tenth = hashed.agg(F.bround(size / 10).cast("long").alias("n"))
-    ends = (
-        hashed.select(bin_col)
-        .distinct()
-        .select(
-            bin_col,
-            F.explode(F.array(F.lit("test"), F.lit("validation"))).alias("name"),
-            tenth.scalar().alias("n"),
-        )
-        .withColumn("k", F.when(F.col("name") == "test", F.col("n")).otherwise(F.col("n") * 2))
+    # Three bins by 4,096 slices: stored, since every step below reads them.
+    slices = written(hash_slices(hashed, bin_col, "_digest"), "slices")
+    sizes = slices.groupBy(bin_col).agg(F.sum("n").alias("n"))
+    abstractive = F.sum(F.when(F.col(bin_col) == "abstractive", F.col("n")).otherwise(0))
+    tenth = sizes.agg(F.bround(abstractive / 10).cast("long")).scalar()
+    ends = sizes.select(
+        bin_col,
+        F.inline(
+            F.array(
+                F.struct(F.lit("test").alias("name"), tenth.alias("k")),
+                F.struct(F.lit("validation").alias("name"), (tenth * 2).alias("k")),
+            )
+        ),
     )
-    cuts = kth_hash(hashed, bin_col, "_digest", ends.drop("n"))
+    cuts = kth_hash(hashed, slices, bin_col, "_digest", ends)
     wide = cuts.groupBy(bin_col).agg(
         F.max(F.when(F.col("name") == "test", F.col("cut"))).alias("_test"),
         F.max(F.when(F.col("name") == "validation", F.col("cut"))).alias("_validation"),
     )
-    limits = hashed.select(bin_col).distinct().join(wide, bin_col, "left")
-    limits = limits.withColumn("_tenth", tenth.scalar())
+    limits = sizes.select(bin_col, tenth.alias("_tenth")).join(wide, bin_col, "left")
     # "g" sorts after every hex digest: a bin smaller than the size asked for
     # goes to that split whole. A size of 0 selects nothing.
     upto = lambda cut: F.when(F.col("_tenth") == 0, F.lit("")).otherwise(
