@@ -23,6 +23,7 @@ from checks.views import (
 from gistmill.functions import fragments as fr
 from gistmill.functions import rouge
 from gistmill.functions import tokens as tk
+from gistmill.functions.rows import exploded, inlined
 from gistmill.functions.stopwords import ENGLISH
 from gistmill.functions.summaries import DAMPING, LOOKBACK
 from gistmill.operators import bootstrap as bs
@@ -50,7 +51,7 @@ def found(spark, sf_dir):
     "x.j::INTEGER AS j, x.len::INTEGER AS len FROM rows",
 )
 def fragments(spark, sf_dir):
-    return found(spark, sf_dir).select("id", F.inline("matches"))
+    return inlined(found(spark, sf_dir), ["id"], F.col("matches"), "i")
 
 
 @check(
@@ -61,7 +62,7 @@ def fragments(spark, sf_dir):
 )
 def fragments_whitespace(spark, sf_dir):
     whole = ev.with_fragments(pairs(spark, sf_dir), tokenize=False, case=True)
-    return whole.select("id", F.inline("matches"))
+    return inlined(whole, ["id"], F.col("matches"), "i")
 
 
 @check(
@@ -122,8 +123,7 @@ def fragment_strings(spark, sf_dir):
         fr.fragment_strings(m, F.col("s_tokens"), 2, "i").alias("lifted"),
         fr.fragment_strings(m, F.col("t_tokens"), 2, "j").alias("source"),
     )
-    rows = found(spark, sf_dir).select("id", F.explode(both).alias("x"))
-    return rows.select("id", "x.lifted", "x.source")
+    return inlined(found(spark, sf_dir), ["id"], both, "lifted")
 
 
 @check(
@@ -134,7 +134,7 @@ def fragment_strings(spark, sf_dir):
 )
 def novel_words(spark, sf_dir):
     words = fr.novel_words(fr.side_tokens(F.col("pred")), fr.side_tokens(F.col("summary")))
-    return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.explode(words).alias("word"))
+    return exploded(turn_pairs(spark, sf_dir), ["conv_id", "turn"], words, "word")
 
 
 @check(
@@ -144,7 +144,7 @@ def novel_words(spark, sf_dir):
     "x.j::INTEGER AS text_start, (x.j + x.len)::INTEGER AS text_end FROM rows",
 )
 def fragment_spans(spark, sf_dir):
-    return found(spark, sf_dir).select("id", F.inline(fr.fragment_spans(F.col("matches"), 3)))
+    return inlined(found(spark, sf_dir), ["id"], fr.fragment_spans(F.col("matches"), 3), "text_start")
 
 
 @check(

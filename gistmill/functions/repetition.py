@@ -182,8 +182,10 @@ def duplicate_ngram_fails(
 ) -> Column:
     """True when repeats of some size cover too much, or the text is empty.
 
-    Without a repeated n-gram there is no longer one either, so the remaining
-    sizes are not evaluated for such a row.
+    A repeated n-gram lies under repeated shorter ones, so what size n covers
+    bounds what every larger size covers. A row is done as soon as that is
+    within the lowest limit still to come; most rows are done at the first size
+    by counting hashes alone.
     """
     steps = sorted(zip(sizes, limits))
 
@@ -191,9 +193,17 @@ def duplicate_ngram_fails(
         if k == len(steps):
             return F.lit(False)
         n, limit = steps[k]
-        covered = covered_chars(sh.gapped, repeat_positions(sh.texts(n)), n)
-        return F.when(
-            has_repeat(sh, n), (covered > n_chars * F.lit(limit)) | check(sh, k + 1)
-        ).otherwise(F.lit(False))
+        allowed = n_chars * F.lit(limit)
+        allowed_later = n_chars * F.lit(min(t for _, t in steps[k:]))
+        longest = F.array_max(F.transform(sh.gapped, F.length)) * n
+        # At least as many as there are repeats, and none longer than this.
+        at_most = let(sh.hashes(n), lambda h: F.size(h) - F.size(F.array_distinct(h))) * longest
+        exact = let(
+            covered_chars(sh.gapped, repeat_positions(sh.texts(n)), n),
+            lambda c: F.when(c > allowed, F.lit(True))
+            .when(c <= allowed_later, F.lit(False))
+            .otherwise(check(sh, k + 1)),
+        )
+        return F.when(at_most > allowed_later, exact).otherwise(F.lit(False))
 
     return (n_chars == 0) | with_shingles(text, lambda sh: check(sh, 0))

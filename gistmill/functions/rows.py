@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -97,3 +97,18 @@ def grams(items: Column, n: int, sep: str = " ") -> Column:
             lambda x, i: F.concat_ws(sep, x, *[F.get(xs, i + k) for k in range(1, n)]),
         ),
     )
+
+
+# For a plain explode or inline Spark adds a filter on the array's size, which
+# evaluates the array a second time. The outer forms are spared that; the rows
+# they keep for empty arrays are dropped afterwards.
+
+
+def exploded(df: DataFrame, keep: list, items: Column, name: str) -> DataFrame:
+    """One row per non-null item."""
+    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
+def inlined(df: DataFrame, keep: list, structs: Column, never_null: str) -> DataFrame:
+    """One row per struct, its fields as columns."""
+    return df.select(*keep, F.inline_outer(structs)).where(F.col(never_null).isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.operators.order import dense_index, hash_to_long, md5_of
-from gistmill.session import SMALL_ROWS, broadcast_if_small
+from gistmill.session import SMALL_ROWS, broadcast_if_small, written
 
 RESAMPLES = 1000
 LEVEL = 0.95
@@ -34,6 +34,12 @@ def _interval(values: DataFrame, column: str, mean: Column, level: float) -> Dat
     )
 
 
+def _stored(scores: DataFrame, key: str, score: str) -> DataFrame:
+    """Keys and scores alone, written once: they are read several times below
+    and may come from a long plan over texts."""
+    return written(scores.select(key, score).where(F.col(score).isNotNull()), "scores")
+
+
 def _drawn(scores: DataFrame, key: str, n: int, draws: DataFrame) -> DataFrame:
     """Join ``(b, k)`` draws to the rows their hash points at."""
     indexed = broadcast_if_small(dense_index(scores, key).drop(key), n)
@@ -56,14 +62,15 @@ def bootstrap_mean(
     row index and a shuffle of ``resamples`` rows per task. ``auto`` draws as
     long as the scores fit a broadcast.
     """
-    scores = scores.select(key, score).where(F.col(score).isNotNull())
+    scores = _stored(scores, key, score)
     plain = scores.agg(F.avg(score))
     if method == "poisson":
         means = _poisson_means(scores, score, key, resamples)
         return _interval(means, "m", plain.scalar(), level)
     n = scores.count()
     if method == "auto" and n > SMALL_ROWS:
-        return bootstrap_mean(scores, score, key, resamples, level, "poisson")
+        means = _poisson_means(scores, score, key, resamples)
+        return _interval(means, "m", plain.scalar(), level)
     draws = scores.sparkSession.range(resamples * n).select(
         F.expr(f"id div {max(n, 1)}").alias("b"), (F.col("id") % max(n, 1)).alias("k")
     )
@@ -89,7 +96,7 @@ def sample_percentiles(
     scores: DataFrame, score: str, key: str, size: int = RESAMPLES, level: float = LEVEL
 ) -> DataFrame:
     """Percentiles of one sample of raw scores: not an interval of the mean."""
-    scores = scores.select(key, score).where(F.col(score).isNotNull())
+    scores = _stored(scores, key, score)
     n = scores.count()
     draws = scores.sparkSession.range(size).select(F.lit(0).cast("long").alias("b"), F.col("id").alias("k"))
     return _interval(_drawn(scores, key, n, draws), score, scores.agg(F.avg(score)).scalar(), level)

@@ -10,6 +10,7 @@ from gistmill.functions import rouge
 from gistmill.functions import tokens as tk
 from gistmill.functions.vectors import embedding_match_score
 from gistmill.operators.bootstrap import bootstrap_mean, metric_report
+from gistmill.session import written
 
 ROUGE = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 
@@ -70,7 +71,7 @@ def evaluate(
 ) -> DataFrame:
     """Report over ``(key, text, summary, pred)`` rows: overlap F-measures, the
     density of the predictions and, if given as ``(key, f1)``, similarity."""
-    overlap = rouge_scores(df, key)
+    overlap = written(rouge_scores(df, key), "overlap")
     density = extractiveness(df, key, "pred", "text")
     intervals = {m: bootstrap_mean(overlap, m, key, resamples) for m in ROUGE}
     intervals["density"] = bootstrap_mean(density, "density", key, resamples)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.functions.language import FLOOR, SCALE, LanguageProfile, trigrams
+from gistmill.functions.rows import exploded, inlined
 
 MAX_PROFILE_ROWS = 200_000
 
@@ -18,12 +19,9 @@ def language_profile(
     Counting combines map-side, so a language that dominates the corpus costs
     no more than its number of distinct trigrams.
     """
-    counts = (
-        df.where(F.col(lang).isNotNull())
-        .select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram"))
-        .groupBy("lang", "gram")
-        .agg(F.count("*").alias("cnt"))
-    )
+    labelled = df.where(F.col(lang).isNotNull())
+    seen = exploded(labelled, [F.col(lang).alias("lang")], trigrams(F.col(text)), "gram")
+    counts = seen.groupBy("lang", "gram").agg(F.count("*").alias("cnt"))
     totals = counts.groupBy("lang").agg(F.sum("cnt").alias("total"))
     by_count = Window.partitionBy("lang").orderBy(F.desc("cnt"), "gram")
     top = counts.withColumn("place", F.row_number().over(by_count)).where(F.col("place") <= size)
@@ -51,4 +49,4 @@ def language_scores(
 ) -> DataFrame:
     """``(key, lang, prob)`` for every language of the profile."""
     scored = df.select(key, profile.raw_scores(F.col(text)).alias("_raw"))
-    return scored.select(key, F.inline(profile.ranked(F.col("_raw"))))
+    return inlined(scored, [key], profile.ranked(F.col("_raw")), "lang")

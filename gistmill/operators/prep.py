@@ -13,6 +13,7 @@ from gistmill.operators.order import hash_slices, kth_hash, md5_of
 from gistmill.session import written
 
 SEED = 22
+BINS = ("abstractive", "mixed", "extractive")
 
 
 def length_bounds(
@@ -31,12 +32,10 @@ def quantile_cutoff(
     df: DataFrame, columns: Sequence[str], low: float = 0.02, high: float = 0.98
 ) -> DataFrame:
     """Rows whose every length lies within the quantiles of all rows."""
-    found = length_bounds(df, columns, low, high)
-    kept = df
-    for name in columns:
-        limit = found.select(F.col(name)).scalar()
-        kept = kept.where((F.col(name) >= limit["lo"]) & (F.col(name) <= limit["hi"]))
-    return kept
+    # One subquery for all columns, so the table is read once for the bounds.
+    bounds = length_bounds(df, columns, low, high).select(F.struct(*columns)).scalar()
+    within = [F.col(c).between(bounds[c]["lo"], bounds[c]["hi"]) for c in columns]
+    return df.where(reduce(Column.__and__, within))
 
 
 def density_filter(df: DataFrame, limit: float = 1.5, column: str = "density") -> DataFrame:
@@ -76,6 +75,7 @@ def exact_split(
     """
     digest = md5_of(F.col(key), str(seed))
     hashed = df.select(F.col(bin_col), digest.alias("_digest"))
+    hashed = hashed.where(F.col(bin_col).isin(*BINS))
     # Three bins by 4,096 slices: stored, since every step below reads them.
     slices = written(hash_slices(hashed, bin_col, "_digest"), "slices")
     sizes = slices.groupBy(bin_col).agg(F.sum("n").alias("n"))
@@ -102,7 +102,7 @@ def exact_split(
         F.coalesce(F.col(cut), F.lit("g"))
     )
     split = (
-        F.when(F.col(bin_col).isNull(), F.lit(None))
+        F.when(~F.coalesce(F.col(bin_col).isin(*BINS), F.lit(False)), F.lit(None))
         .when(F.col("_d") <= upto("_test"), "test")
         .when((F.col(bin_col) == "abstractive") & (F.col("_d") <= upto("_validation")), "validation")
         .otherwise("train")

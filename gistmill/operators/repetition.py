@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.functions import repetition as rp
-from gistmill.functions.rows import let, run_lengths
+from gistmill.functions.rows import inlined, let, run_lengths
 
 
 def ngram_counts(df: DataFrame, key: str, lo: int, hi: int, text: str = "text") -> DataFrame:
@@ -23,18 +23,19 @@ def ngram_counts(df: DataFrame, key: str, lo: int, hi: int, text: str = "text")
     def counted(sh: rp.Shingles):
         return F.concat(*[rows(sh, n) for n in range(lo, hi + 1)])
 
-    return df.select(key, F.inline(rp.with_shingles(F.col(text), counted)))
+    return inlined(df, [key], rp.with_shingles(F.col(text), counted), "n")
 
 
 def top_ngrams(df: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:
     """``(key, ngram, cnt, chr_fraction)`` of the most frequent n-gram."""
     best = rp.with_shingles(F.col(text), lambda sh: rp.top_ngram(sh.texts(n)))
-    rows = df.select(key, F.length(text).alias("_chars"), best.alias("_b")).where(F.col("_b").isNotNull())
-    return rows.select(
+    found = inlined(df, [key, F.length(text).alias("_chars")], F.array(best), "ngram")
+    covered = F.length("ngram") * F.col("cnt")
+    return found.select(
         key,
-        F.col("_b")["ngram"].alias("ngram"),
-        F.col("_b")["cnt"].cast("long").alias("cnt"),
-        F.try_divide(F.length(F.col("_b")["ngram"]) * F.col("_b")["cnt"], F.col("_chars")).alias("chr_fraction"),
+        "ngram",
+        F.col("cnt").cast("long").alias("cnt"),
+        F.try_divide(covered, F.col("_chars")).alias("chr_fraction"),
     )
 
 
@@ -49,10 +50,8 @@ def duplicate_ngrams(df: DataFrame, key: str, lo: int, hi: int, text: str = "tex
             ]
         )
 
-    rows = df.select(
-        key, F.length(text).alias("n_chars"), rp.with_shingles(F.col(text), measured).alias("_d")
-    )
-    return rows.select(key, "n_chars", F.inline("_d"))
+    keep = [key, F.length(text).alias("n_chars")]
+    return inlined(df, keep, rp.with_shingles(F.col(text), measured), "n")
 
 
 def with_line_fractions(df: DataFrame, text: str = "text") -> DataFrame:

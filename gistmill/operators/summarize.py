@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gistmill.functions import summaries as sm
 from gistmill.functions import tokens as tk
+from gistmill.functions.rows import inlined
 
 
 def lead(df: DataFrame, n: int = 3, text: str = "text", out: str = "pred") -> DataFrame:
@@ -30,9 +31,13 @@ def textrank_phrases(
 ) -> DataFrame:
     """``(key, place, phrase, rank)``: the ``k`` top phrases of each document."""
     top = _with_top(df.select(key, text), stop_words, k, rounds, text)
-    return top.select(key, F.posexplode("_top").alias("place", "p")).select(
-        key, (F.col("place") + 1).alias("place"), "p.phrase", "p.rank"
+    placed = F.transform(
+        "_top",
+        lambda p, i: F.struct(
+            (i + 1).alias("place"), p["phrase"].alias("phrase"), p["rank"].alias("rank")
+        ),
     )
+    return inlined(top, [key], placed, "place")
 
 
 def rank_sentences(
@@ -42,7 +47,10 @@ def rank_sentences(
     """``(key, sentence, distance)``, smaller is better."""
     top = _with_top(df.select(key, text), stop_words, k, rounds, text)
     distances = sm.sentence_distances(F.col("_runs"), F.col("_top"))
-    return top.select(key, F.posexplode(distances).alias("sentence", "distance"))
+    placed = F.transform(
+        distances, lambda d, i: F.struct(i.alias("sentence"), d.alias("distance"))
+    )
+    return inlined(top, [key], placed, "sentence")
 
 
 def textrank(

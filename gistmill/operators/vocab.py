@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.functions import tokens as tk
+from gistmill.functions.rows import exploded
 from gistmill.operators.order import dense_index
 
 
 def token_counts(df: DataFrame, tokens: Column | None = None, text: str = "text") -> DataFrame:
     """``(token, cnt)`` over the corpus; counts combine before the shuffle."""
     units = tk.tokens(F.col(text)) if tokens is None else tokens
-    return df.select(F.explode(units).alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
+    return exploded(df, [], units, "token").groupBy("token").agg(F.count("*").alias("cnt"))
 
 
 def membership(a: DataFrame, b: DataFrame, key: str = "token") -> DataFrame:

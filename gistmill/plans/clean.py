@@ -10,6 +10,7 @@ from gistmill.functions.quality import QualityParams, article_profile, summary_p
 from gistmill.functions.repair import repair_text
 from gistmill.operators.prep import both_passed, exact_split, quantile_cutoff
 from gistmill.operators.quality import describe_filter
+from gistmill.session import written
 
 
 def with_lengths(df: DataFrame, text: str = "text", summary: str = "summary") -> DataFrame:
@@ -42,10 +43,16 @@ def clean_pairs(
     summary: QualityParams | None = None,
     repair: bool = True,
 ) -> DataFrame:
-    """Repair, measure, cut off by length, flag."""
+    """Repair, measure, cut off by length, flag.
+
+    Repaired and measured pairs are stored in between: the quantiles then read
+    two integer columns, the cut-off reaches the Parquet scan, and no text is
+    repaired twice.
+    """
     if repair:
         df = df.withColumns({c: repair_text(F.col(c)) for c in ("text", "summary")})
-    kept = quantile_cutoff(with_lengths(df), ["tok_text_len", "tok_sum_len"])
+    measured = written(with_lengths(df), "measured")
+    kept = quantile_cutoff(measured, ["tok_text_len", "tok_sum_len"])
     return with_flags(kept, article, summary)
 
 
