@@ -27,12 +27,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _csv_options(sep: str) -> dict[str, object]:
-    # Quotes are doubled, line breaks may stand inside quotes, and an empty
-    # string stays distinct from a missing value.
-    return {
-        "header": True, "sep": sep, "multiLine": True, "quote": '"', "escape": '"',
-        "emptyValue": '""', "nullValue": "", "lineSep": "\n", "encoding": "UTF-8",
-    }
+    # Quotes are doubled and line breaks may stand inside them.
+    return {"header": True, "sep": sep, "quote": '"', "escape": '"', "lineSep": "\n"}
 
 
 def read_pairs(
@@ -49,19 +45,15 @@ def read_pairs(
     """
     if isinstance(path, dict):
         return {name: read_pairs(spark, p, schema, sep) for name, p in path.items()}
-    return (
-        spark.read.schema(schema)
-        .options(**_csv_options(sep), ignoreLeadingWhiteSpace=False, mode="FAILFAST")
-        .csv(path)
-    )
+    # A missing value is a blank field, an empty string a quoted one. Naming a
+    # null marker that no text holds is what keeps the two apart.
+    reader = spark.read.schema(schema).options(**_csv_options(sep))
+    return reader.options(multiLine=True, nullValue="\x00", mode="FAILFAST").csv(path)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> None:
-    options = _csv_options(sep)
-    options.pop("multiLine")
-    df.write.mode(mode).options(
-        **options, quoteAll=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-    ).csv(path)
+    writer = df.write.mode(mode).options(**_csv_options(sep), nullValue="", emptyValue='""')
+    writer.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split", mode: str = "errorifexists") -> None:
