@@ -451,6 +451,13 @@ def metric_report(spark, sf_dir):
     return rounded(report)
 
 
+@check("evaluation_report")
+def evaluation_report(spark, sf_dir):
+    """The whole evaluation of lead-3 predictions. Holds the two scores that
+    have no SQL; its other parts are checked one by one above."""
+    return rounded(ev.evaluate(pairs(spark, sf_dir), "id", 100))
+
+
 @check(
     "turn_overlap",
     f"WITH {TURNS}, {ROUGE_TOKENS}, {rouge_n_sql(1)} "

@@ -21,10 +21,14 @@ def rouge_tokens(text: Column) -> Column:
 
 def prf(hits: Column, n_pred: Column, n_ref: Column) -> Column:
     """Precision, recall and F-measure; 0 where nothing can match."""
-    p = F.coalesce(F.try_divide(hits, n_pred), F.lit(0.0))
-    r = F.coalesce(F.try_divide(hits, n_ref), F.lit(0.0))
-    f = F.coalesce(F.try_divide(p * r * 2, p + r), F.lit(0.0))
-    return F.struct(p.alias("precision"), r.alias("recall"), f.alias("fmeasure"))
+
+    def scores(h: Column) -> Column:
+        p = F.coalesce(F.try_divide(h, n_pred), F.lit(0.0))
+        r = F.coalesce(F.try_divide(h, n_ref), F.lit(0.0))
+        f = F.coalesce(F.try_divide(p * r * 2, p + r), F.lit(0.0))
+        return F.struct(p.alias("precision"), r.alias("recall"), f.alias("fmeasure"))
+
+    return let(hits, scores)
 
 
 def rouge_n(pred: Column, ref: Column, n: int) -> Column:
@@ -115,7 +119,7 @@ def rouge_l(pred: Column, ref: Column) -> Column:
     """Longest common subsequence of the two token lists."""
     ps, rs = rouge_tokens(pred), rouge_tokens(ref)
     hits = _lcs_hits(F.array_join(ps, " "), F.array_join(rs, " "))
-    return let(hits, lambda h: prf(h, F.size(ps), F.size(rs)))
+    return prf(hits, F.size(ps), F.size(rs))
 
 
 def rouge_lsum(pred: Column, ref: Column) -> Column:
@@ -127,4 +131,4 @@ def rouge_lsum(pred: Column, ref: Column) -> Column:
 
     hits = _lsum_hits(prepared(pred), prepared(ref))
     size = lambda text: tk.token_len(F.lower(text), ROUGE_TOKEN)
-    return let(hits, lambda h: prf(h, size(pred), size(ref)))
+    return prf(hits, size(pred), size(ref))

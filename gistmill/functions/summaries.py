@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -47,26 +46,23 @@ def sentence_phrases(words: Column, stop_words: Sequence[str]) -> Column:
 def _pagerank(sentences: list[list[str]], rounds: int) -> dict[str, float]:
     """Rank words by fixed rounds over the graph of words that stand at most
     ``LOOKBACK`` apart in a sentence, weighted by how often they do."""
-    edges: Counter[tuple[str, str]] = Counter()
-    ids = {w: k for k, w in enumerate(sorted({w for s in sentences for w in s}))}
-    for s in sentences:
-        for gap in range(1, LOOKBACK + 1):
-            for a, b in zip(s, s[gap:]):
-                if a != b:
-                    edges[a, b] += 1
-                    edges[b, a] += 1
-    n = len(ids)
-    if edges:
-        rank = np.full(n, 1.0 / n)
-        src = np.array([ids[a] for a, _ in edges])
-        dst = np.array([ids[b] for _, b in edges])
-        weight = np.array(list(edges.values()), dtype=np.float64)
-        share = weight / np.bincount(src, weight, n)[src]
-        for _ in range(rounds):
-            rank = (1 - DAMPING) / n + DAMPING * np.bincount(dst, rank[src] * share, n)
-    else:  # nothing is passed on, so only the base share is left
-        rank = np.full(n, (1 - DAMPING) / max(n, 1))
-    return {w: float(rank[k]) for w, k in ids.items()}
+    words = [w for s in sentences for w in s]
+    ids = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    n = max(len(ids), 1)
+    at = np.fromiter((ids[w] for w in words), np.int64, len(words))
+    line = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+    ends = []
+    for gap in range(1, LOOKBACK + 1):
+        near = (line[gap:] == line[:-gap]) & (at[gap:] != at[:-gap])
+        ends.append((at[:-gap][near], at[gap:][near]))
+    # Every meeting counts once in each direction.
+    src = np.concatenate([x for a, b in ends for x in (a, b)])
+    dst = np.concatenate([x for a, b in ends for x in (b, a)])
+    share = 1.0 / np.bincount(src, minlength=n)[src]
+    rank = np.full(n, 1.0 / n)
+    for _ in range(rounds):
+        rank = (1 - DAMPING) / n + DAMPING * np.bincount(dst, rank[src] * share, n)
+    return dict(zip(ids, rank.tolist()))
 
 
 PHRASES = "array<struct<phrase:string,rank:double,first:int>>"

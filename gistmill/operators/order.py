@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PREFIX = 3  # hex digits: 4,096 slices of the hash range
+MAX_SLICES = 2_000
 
 
 def md5_of(*parts: Column | str) -> Column:
@@ -55,12 +59,14 @@ def dense_index(df: DataFrame, key: str, out: str = "idx") -> DataFrame:
     Fixed boundaries cut the key range into about equal slices; a row's index
     is the size of the slices before it plus its place in its own.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_SLICES)
+    keyed = df.withColumn("_key", F.col(key).cast("double"))
     probs = [i / parts for i in range(1, parts)]
-    cuts = sorted(set(df.stat.approxQuantile(key, probs, 0.25 / parts))) if probs else []
-    bounds = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
-    slice_no = F.size(F.filter(bounds, lambda b: b < F.col(key).cast("double")))
-    sliced = df.withColumn("_slice", slice_no)
+    cuts = sorted(set(keyed.stat.approxQuantile("_key", probs, 0.25 / parts))) if probs else []
+    slicer = Bucketizer(
+        splits=[-math.inf, *cuts, math.inf], inputCol="_key", outputCol="_slice"
+    )
+    sliced = slicer.transform(keyed).drop("_key")
     counts = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # One row per slice, so this window and the broadcast stay tiny.
