@@ -44,6 +44,8 @@ def _drawn(scores: DataFrame, key: str, n: int, draws: DataFrame) -> DataFrame:
     """Join ``(b, k)`` draws to the rows their hash points at."""
     indexed = broadcast_if_small(dense_index(scores, key).drop(key), n)
     at = F.pmod(hash_to_long(md5_of(F.col("b"), F.col("k"))), F.lit(n))
+    # Never null, and said so: else the join adds a null test that hashes twice.
+    at = F.coalesce(at, F.lit(0))
     return draws.withColumn("idx", at).join(indexed, "idx")
 
 

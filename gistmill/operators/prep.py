@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from gistmill.operators.order import hash_slices, kth_hash, md5_of
 from gistmill.session import written
@@ -34,8 +34,16 @@ def quantile_cutoff(
     """Rows whose every length lies within the quantiles of all rows."""
     # One subquery for all columns, so the table is read once for the bounds.
     bounds = length_bounds(df, columns, low, high).select(F.struct(*columns)).scalar()
-    within = [F.col(c).between(bounds[c]["lo"], bounds[c]["hi"]) for c in columns]
-    return df.where(reduce(Column.__and__, within))
+
+    def within(name: str) -> Column:
+        lo, hi = bounds[name]["lo"], bounds[name]["hi"]
+        kind = df.schema[name].dataType
+        if isinstance(kind, IntegralType):
+            # The same rows, compared in the column's own type.
+            lo, hi = F.ceil(lo).cast(kind), F.floor(hi).cast(kind)
+        return F.col(name).between(lo, hi)
+
+    return df.where(reduce(Column.__and__, [within(c) for c in columns]))
 
 
 def density_filter(df: DataFrame, limit: float = 1.5, column: str = "density") -> DataFrame:

@@ -46,8 +46,7 @@ def clean_pairs(
     """Repair, measure, cut off by length, flag.
 
     Repaired and measured pairs are stored in between: the quantiles then read
-    two integer columns, the cut-off reaches the Parquet scan, and no text is
-    repaired twice.
+    two integer columns, and no text is repaired twice.
     """
     if repair:
         df = df.withColumns({c: repair_text(F.col(c)) for c in ("text", "summary")})
