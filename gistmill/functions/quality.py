@@ -210,6 +210,21 @@ def predicate(name: str, p: QualityParams, text: Column, words: Column, lines: C
     raise ValueError(f"no expression for {name!r}")
 
 
+NGRAM_FILTERS = ("top_ngram_chr_fraction", "duplicate_ngram_chr_fraction")
+
+
+def ngram_failure(p: QualityParams, text: Column) -> Column:
+    """Both n-gram filters in one expression: the name that fails, or NULL."""
+    (top_lo, top_hi), (dup_lo, dup_hi) = p.top_ngram_range, p.duplicate_ngram_range
+    return rp.ngram_failure(
+        text,
+        F.length(text),
+        (range(top_lo, top_hi + 1), p.top_ngram_thresholds, p.top_ngram_min_count),
+        (range(dup_lo, dup_hi + 1), p.duplicate_ngram_thresholds),
+        NGRAM_FILTERS,
+    )
+
+
 def duplicate_line_filter(text: Column, fraction: float) -> Column:
     """Available on its own; not part of the chain."""
     return rp.duplicate_fraction(tk.line_array(text)) < fraction

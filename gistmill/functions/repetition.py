@@ -96,11 +96,9 @@ def top_ngram(grams: Column) -> Column:
     )
 
 
-def top_ngram_fails(
-    text: Column, n_chars: Column, sizes: Sequence[int], limits: Sequence[float], min_count: int
+def _top_fails(
+    sh: Shingles, n_chars: Column, sizes: Sequence[int], limits: Sequence[float], min_count: int
 ) -> Column:
-    """True when some size's top n-gram covers too much of the text."""
-
     def exact(grams: Column, limit: float) -> Column:
         return F.coalesce(
             let(
@@ -111,35 +109,45 @@ def top_ngram_fails(
             F.lit(False),
         )
 
-    def possible(hashes: Column, longest: Column, limit: float) -> Column:
-        """Can any n-gram occur often enough, given the longest one's length?"""
-        needed = F.greatest(
-            F.lit(min_count + 1), F.floor(F.try_divide(n_chars * F.lit(limit), longest)).cast("int")
-        )
-        return let(
+    def occurs(hashes: Column, times: Column) -> Column:
+        """Does some hash occur that often? Counting copies rules most out."""
+        spare = F.size(hashes) - F.size(F.array_distinct(hashes))
+        again = let(
             F.sort_array(hashes),
-            lambda s: let(
-                needed,
-                lambda c: F.exists(
-                    F.transform(s, lambda x, i: x == F.get(s, i + c - 1)), lambda same: same
-                ),
+            lambda s: F.exists(
+                F.transform(s, lambda x, i: x == F.get(s, i + times - 1)), lambda same: same
             ),
         )
+        return F.when(spare >= times - 1, again).otherwise(F.lit(False))
 
-    def one(sh: Shingles, n: int, limit: float) -> Column:
-        token_max = F.array_max(F.transform(sh.low, F.length))
-        candidate = possible(sh.hashes(n), token_max * n, limit)
-        return F.when(F.coalesce(candidate, F.lit(False)), exact(sh.texts(n), limit)).otherwise(
+    def one(n: int, limit: float, longest: Column) -> Column:
+        enough = F.floor(F.try_divide(n_chars * F.lit(limit), longest * n)).cast("int")
+        possible = let(
+            F.greatest(F.lit(min_count + 1), enough),
+            lambda times: let(sh.hashes(n), lambda h: occurs(h, times)),
+        )
+        return F.when(F.coalesce(possible, F.lit(False)), exact(sh.texts(n), limit)).otherwise(
             F.lit(False)
         )
 
-    def any_size(sh: Shingles) -> Column:
+    def any_size(longest: Column) -> Column:
         verdict = F.lit(False)
         for n, limit in zip(sizes, limits):
-            verdict = verdict | one(sh, n, limit)
+            verdict = verdict | one(n, limit, longest)
         return verdict
 
-    return with_shingles(text, any_size)
+    return let(F.array_max(F.transform(sh.low, F.length)), any_size)
+
+
+def top_ngram_fails(
+    text: Column, n_chars: Column, sizes: Sequence[int], limits: Sequence[float], min_count: int
+) -> Column:
+    """True when some size's top n-gram covers too much of the text.
+
+    Only rows where an n-gram occurs often enough to do so, were it as long as
+    the longest there, are counted out in full.
+    """
+    return with_shingles(text, lambda sh: _top_fails(sh, n_chars, sizes, limits, min_count))
 
 
 def covered_chars(gapped: Column, repeats: Column, n: int) -> Column:
@@ -177,19 +185,12 @@ def duplicate_ngram_chars(sh: Shingles, n: int) -> Column:
     ).otherwise(F.lit(0).cast("long"))
 
 
-def duplicate_ngram_fails(
-    text: Column, n_chars: Column, sizes: Sequence[int], limits: Sequence[float]
+def _duplicate_fails(
+    sh: Shingles, n_chars: Column, sizes: Sequence[int], limits: Sequence[float]
 ) -> Column:
-    """True when repeats of some size cover too much, or the text is empty.
-
-    A repeated n-gram lies under repeated shorter ones, so what size n covers
-    bounds what every larger size covers. A row is done as soon as that is
-    within the lowest limit still to come; most rows are done at the first size
-    by counting hashes alone.
-    """
     steps = sorted(zip(sizes, limits))
 
-    def check(sh: Shingles, k: int) -> Column:
+    def check(k: int) -> Column:
         if k == len(steps):
             return F.lit(False)
         n, limit = steps[k]
@@ -202,8 +203,38 @@ def duplicate_ngram_fails(
             covered_chars(sh.gapped, repeat_positions(sh.texts(n)), n),
             lambda c: F.when(c > allowed, F.lit(True))
             .when(c <= allowed_later, F.lit(False))
-            .otherwise(check(sh, k + 1)),
+            .otherwise(check(k + 1)),
         )
         return F.when(at_most > allowed_later, exact).otherwise(F.lit(False))
 
-    return (n_chars == 0) | with_shingles(text, lambda sh: check(sh, 0))
+    return (n_chars == 0) | check(0)
+
+
+def duplicate_ngram_fails(
+    text: Column, n_chars: Column, sizes: Sequence[int], limits: Sequence[float]
+) -> Column:
+    """True when repeats of some size cover too much, or the text is empty.
+
+    A repeated n-gram lies under repeated shorter ones, so what size n covers
+    bounds what every larger size covers. A row is done as soon as that is
+    within the lowest limit still to come; most rows are done at the first size
+    by counting hashes alone.
+    """
+    return with_shingles(text, lambda sh: _duplicate_fails(sh, n_chars, sizes, limits))
+
+
+def ngram_failure(
+    text: Column,
+    n_chars: Column,
+    top: tuple[Sequence[int], Sequence[float], int],
+    duplicate: tuple[Sequence[int], Sequence[float]],
+    names: tuple[str, str],
+) -> Column:
+    """Name of the n-gram test that fails first, or NULL. Both tests share one
+    set of shingles."""
+    return with_shingles(
+        text,
+        lambda sh: F.when(_top_fails(sh, n_chars, *top), F.lit(names[0])).when(
+            _duplicate_fails(sh, n_chars, *duplicate), F.lit(names[1])
+        ),
+    )

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from gistmill.functions import tokens as tk
 from gistmill.functions.language import LanguageProfile
 from gistmill.functions.quality import (
+    NGRAM_FILTERS,
     PASSED,
     TOO_LONG,
     QualityParams,
     language_passes,
+    ngram_failure,
     predicate,
 )
 
@@ -52,27 +54,35 @@ def describe_filter(
     c = F.col(text)
     words, lines, early = "_q_words", "_q_lines", "_q_early"
 
-    def arm(name: str) -> tuple[str, Column]:
-        return name, predicate(name, p, c, F.col(words), F.col(lines))
+    def failure(some: list[str], before: list = (), after: list = ()) -> Column:
+        """First failure among some filters that follow each other."""
+        arm = lambda f: (f, predicate(f, p, c, F.col(words), F.col(lines)))
+        at = [i for i, f in enumerate(some) if f in NGRAM_FILTERS]
+        if len(at) < len(NGRAM_FILTERS):
+            return first_failure([*before, *map(arm, some), *after])
+        return F.coalesce(
+            first_failure([*before, *map(arm, some[: at[0]])]),
+            ngram_failure(p, c),
+            first_failure([*map(arm, some[at[-1] + 1 :]), *after]),
+        )
 
     own = [(name, make(c)) for name, make in (extra or {}).items()]
     short_enough = [(TOO_LONG, F.length(c) <= p.max_length)]
     ready = df.withColumns({words: tk.n_words(c), lines: tk.line_array(c)})
     if "detect_language" not in names:
-        verdict = first_failure(short_enough + [arm(n) for n in names] + own)
+        verdict = failure(names, before=short_enough, after=own)
         return ready.withColumn(out, verdict).drop(words, lines)
 
     if profile is None:
         raise ValueError("detect_language needs a language profile; pass one or ignore the filter")
     at = names.index("detect_language")
-    staged = ready.withColumn(early, first_failure(short_enough + [arm(n) for n in names[:at]]))
+    staged = ready.withColumn(early, failure(names[:at], before=short_enough))
     # Only texts that are still in the running reach the scorer.
     joined = F.array_join(tk.non_blank_lines(F.when(F.col(early).isNull(), c)), " ")
     scored = staged.withColumn("_q_raw", profile.raw_scores(joined))
-    late = [("detect_language", language_passes(profile.ranked(F.col("_q_raw")), p))]
-    late += [arm(n) for n in names[at + 1 :]] + own
-    verdict = F.coalesce(F.col(early), first_failure(late))
-    return scored.withColumn(out, verdict).drop(words, lines, early, "_q_raw")
+    spoken = [("detect_language", language_passes(profile.ranked(F.col("_q_raw")), p))]
+    late = failure(names[at + 1 :], before=spoken, after=own)
+    return scored.withColumn(out, F.coalesce(F.col(early), late)).drop(words, lines, early, "_q_raw")
 
 
 def quality_filter(df: DataFrame, params: QualityParams | None = None, **options) -> DataFrame:
