@@ -8,17 +8,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistmill.llm import mixing, ngram_join, sharding
+from gistmill.llm import decontam, langid, mixing, ngram_join, sharding
 from gistmill.session import written
 
 SHARDS = 24
 
 
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a calibrated probability of 0.5 or more."""
+    return langid.accepted(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 80 % of its five-word shingles."""
     return ngram_join.one_of_each(docs, words=5, num=80, den=100)
 
 
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of ``benchmark``."""
+    return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target weight asks for."""
     return mixing.mix(docs)
@@ -30,7 +40,9 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", languages),
     ("ngram_jaccard_join", near_duplicates),
+    ("decontamination", benchmark_free),
     ("mix_sources", source_mix),
     ("shard_groups", shards),
 ]

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gistmill.llm.bits import bitmap, in_bitmap
 from gistmill.llm.graph import components, unused_name
 from gistmill.llm.words import as_long, mix, shingle_sets, white_space_words
 from gistmill.session import written
@@ -225,12 +226,11 @@ def _sketch_udf(t: Threshold, words: int, repeated):
 
     @F.arrow_udf("n bigint, node bigint, keys array<bigint>")
     def sketch(texts: pa.Array) -> pa.Array:
-        bits = np.frombuffer(repeated.value, np.uint8)
+        bits = repeated.value
         sizes, nodes, kept = [], [], []
         for s in shingle_sets(texts, white_space_words(), words):
             key = t.keys(s)
-            slot = (key & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
-            kept.append(key[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1])
+            kept.append(key[in_bitmap(bits, key)])
             sizes.append(len(s))
             nodes.append(mix(np.add.reduce(mix(s), keepdims=True) + np.uint64(len(s)))[0])
         return pa.StructArray.from_arrays(
@@ -249,22 +249,6 @@ def _set_udf(words: int):
     return elements
 
 
-def _bitmap(keys: DataFrame) -> bytes:
-    """Bits of the given keys: at most 2**12 rows of 4 KB reach the driver."""
-    slot = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    rows = (
-        keys.select(slot.alias("slot"))
-        .groupBy(F.expr("slot div 32768").alias("at"))
-        .agg(F.bitmap_construct_agg(F.expr("slot % 32768")).alias("bits"))
-        .collect()
-    )
-    bits = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
-    for row in rows:
-        part = np.frombuffer(bytes(row["bits"]), np.uint8)
-        bits[row["at"] * 4096 : row["at"] * 4096 + len(part)] = part
-    return bits.tobytes()
-
-
 def _units(members: DataFrame) -> DataFrame:
     """Deal each candidate group into blocks, and pair the blocks.
 
@@ -347,7 +331,7 @@ def ngram_groups(
 
     keys = base.select(F.explode(_key_udf(t, words)("text")).alias("key"))
     repeated = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    bits = spark.sparkContext.broadcast(_bitmap(repeated))
+    bits = spark.sparkContext.broadcast(bitmap(repeated.select("key"), BITMAP_BITS))
 
     sketched = base.withColumn("s", _sketch_udf(t, words, bits)("text"))
     sketched = written(sketched.select("doc_id", "row_key", "s.*"), "sketches")

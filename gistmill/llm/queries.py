@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.llm import chat, mixing, ngram_join, sharding
+from gistmill.llm import chat, covertree, decontam, langid, line_templates, mixing, ngram_join, sharding, tokens, warc
+from gistmill.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +70,64 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE has no SQL form; ``tests/llm`` encodes edited texts anew."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = tokens.with_trees(docs).withColumn("edits", tokens.edits_of(F.col("text")))
+    done = tokens.recounted(kept)
+    before = F.aggregate("tree.tokens", F.lit(0).cast("bigint"), lambda s, n: s + n)
+    return done.select(
+        "doc_id",
+        before.alias("n_tokens"),
+        F.size("edits").alias("n_edits"),
+        F.col("after.chars").alias("edited_chars"),
+        F.col("after.tokens").alias("edited_tokens"),
+        F.col("after.encoded").alias("encoded_chars"),
+        F.size("after.tree.tokens").alias("n_leaves"),
+    )
+
+
+@_query(
+    "op3_warc_segments",
+    r"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h,
+                 max(page_id) OVER (PARTITION BY html) AS last FROM p)
+    SELECT page_id, payload_bytes,
+           array_to_string(list_transform(range(0, 32), lambda i:
+             substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                    1 + ((('0x' || substr(h, 1 + 10 * (i // 8)::BIGINT, 10))::BIGINT
+                          >> (35 - 5 * (i % 8))::INTEGER) & 31), 1)), '') AS payload_digest,
+           CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+    FROM d""",
+)
+def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    found = warc.read_archives(spark, folder).where("ok")
+    own = found.select(
+        "page_id",
+        "type",
+        "record_id",
+        "refers_to",
+        F.length("payload").cast("bigint").alias("payload_bytes"),
+        warc.base32(F.sha1("payload")).alias("payload_digest"),
+    )
+    responses = own.where("type = 'response'")
+    # what a revisit refers to has its payload
+    full = responses.select(
+        F.col("record_id").alias("of"), F.col("page_id").alias("first"), "payload_bytes", "payload_digest"
+    )
+    revisits = own.where("type = 'revisit'").drop("payload_bytes", "payload_digest")
+    revisits = revisits.join(full, F.col("refers_to") == F.col("of"))
+    columns = ["page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type")]
+    return responses.select(*columns, F.lit(None).cast("bigint").alias("refers_to")).unionByName(
+        revisits.select(*columns, F.col("first").alias("refers_to"))
+    )
+
+
 @_query("op4_mix_sources")
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draws are random; ``tests/llm`` checks targets, sums and bounds by hand."""
@@ -77,6 +136,49 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", taken)
 
 
+@_query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained weights have no SQL form; ``tests/llm`` checks held-out accuracy."""
+    docs = _table(spark, sf_dir, "documents")
+    told = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
+    return told.select(
+        "doc_id", langid.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@_query(
+    "op6_cover_tree_topk",
+    """
+    WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+               WHERE len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT q.vec_id AS query_id, p.vec_id, list_inner_product(q.v::DOUBLE[], p.v::DOUBLE[])::BIGINT AS score
+          FROM v q JOIN v p ON q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+)
+def op6_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@_query(
+    "op7_decontamination",
+    r"""
+    WITH texts AS (
+      SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+    w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM texts),
+    s AS (SELECT DISTINCT side, id, unnest(CASE WHEN len(w) = 0 THEN []
+            WHEN len(w) < 5 THEN ['!' || array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+    n AS (SELECT id, count(*) AS n FROM s WHERE side = 'i' GROUP BY id)
+    SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared, any_value(n.n) AS of
+    FROM s i JOIN s d ON i.side = 'i' AND d.side = 'd' AND i.g = d.g JOIN n ON n.id = i.id
+    GROUP BY ALL HAVING 100 * count(*) >= 80 * any_value(n.n)""",
+)
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 _GROUPS_SQL = r"""
     WITH RECURSIVE w AS MATERIALIZED (
       SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -119,3 +221,11 @@ def op9_shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@_query("op10_line_templates")
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates depend on the order in a leaf; ``tests/llm`` parses by hand."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_templates.without_recurring_lines(docs)
+    return found.select("doc_id", "n_lines", "n_dropped", "kept_text")
