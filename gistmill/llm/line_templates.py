@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gistmill.llm.bits import bitmap, in_bitmap
 from gistmill.llm.graph import unused_name
@@ -170,7 +171,8 @@ def line_templates(
     spark = docs.sparkSession
     every = docs.select("row_key", F.posexplode(_parsed(depth)(F.col(text_col))).alias("pos", "l"))
     lines = written(every.where("l is not null").select("row_key", "pos", "l.*"), "lines")
-    counts = lines.where("first").groupBy("leaf", "line").agg(F.count("*").alias("n"))
+    once = lines.where("first").select("leaf", "line", "row_key").distinct()
+    counts = once.groupBy("leaf", "line").agg(F.count("*").alias("n"))
     counts = written(counts, "counts")
     leaves = counts.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"))
     leaves = written(leaves.where((F.col("kinds") > 1) & (F.col("total") >= min_docs)), "leaves")
@@ -195,7 +197,7 @@ def line_templates(
     return lines, written(alone.unionByName(shared), "recurring")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _without(texts: pa.Array, dropped: pa.Array) -> pa.Array:
     out = []
     for text, gone in zip(texts, dropped, strict=True):

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 BREAK = b"\r\n\r\n"
 SEGMENT_BYTES = 16 * 1024
@@ -238,7 +239,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(rows)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(BinaryType())
 def _payload(blocks: pa.Array) -> pa.Array:
     return pa.array([None if b is None else decoded(b) for b in blocks.to_pylist()], pa.binary())
 
