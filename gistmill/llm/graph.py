@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.session import written
 
+FILE_ROWS = 500_000
+
 
 def unused_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores before it as make it new to ``df``."""
@@ -25,25 +29,26 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     links by a join whose skewed keys adaptive execution splits. Every round is
     written to the shared folder. Nodes without links are not listed.
     """
-    now = links.where(F.col(u) != F.col(v)).select(
-        F.greatest(u, v).alias("a"), F.least(u, v).alias("b")
-    )
-    now = written(now.distinct(), "links")
-    seen = None
+    pairs = links.where(F.col(u) != F.col(v)).select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b"))
+    now, seen = written(pairs.distinct(), "links"), None
     while True:
-        state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if state == seen or state[0] == 0:
+        rows, mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if (rows, mark) == seen or rows == 0:
             break
-        seen = state
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        seen = (rows, mark)
+        # rounds shrink to few rows; they are stored in files of about equal size
+        files = max(1, math.ceil(2 * rows / FILE_ROWS))
+        both = now.select(F.explode(F.array(_pair("a", "b"), _pair("b", "a"))).alias("e")).select("e.*")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
+        large = both.where("b > a").join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = written(large.coalesce(files), "larger")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a")
-        moved = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            small.select("a", F.col("m").alias("b"))
-        )
-        now = written(moved.where("a != b").distinct(), "links")
+        two = F.explode(F.array(_pair("b", "m"), _pair("a", "m"))).alias("e")
+        moved = large.join(down, "a").select(two).select("e.*").where("a != b").distinct()
+        now = written(moved.coalesce(files), "links")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _pair(a: str, b: str):
+    return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
