@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -48,6 +49,11 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gistmill-bench-"))
+        # small tables are split as a large one would be over a cluster's cores
+        .config("spark.sql.files.minPartitionNum", cpus)
+        .config("spark.sql.files.openCostInBytes", "65536")
+        .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

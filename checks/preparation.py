@@ -73,8 +73,11 @@ def split_sink(spark, sf_dir):
 def stage_cache(spark, sf_dir):
     folder = new_folder(spark, "kept")
     counted = documents(spark, sf_dir).select("doc_id", tk.token_len(F.col("text")).alias("n"))
-    src.stage(counted, "lengths", folder=folder)
-    return src.stage(counted, "lengths", folder=folder)
+    first = src.stage(counted, "lengths", folder=folder)
+    again = src.stage(counted, "lengths", folder=folder)
+    if sorted(first.inputFiles()) != sorted(again.inputFiles()):
+        raise RuntimeError("the stage was computed again")
+    return again
 
 
 @check("first_pairs", f"WITH {PAIRS} SELECT id, summary, pred FROM pairs ORDER BY id LIMIT 100")
@@ -516,23 +519,34 @@ def cohen_kappa(spark, sf_dir):
 o AS (SELECT id, text, x.model, CASE WHEN x.model = 'reference' THEN summary ELSE pred END AS t,
         row_number() OVER (PARTITION BY id ORDER BY md5(id || ':22:' || x.model)) AS p
       FROM s, (VALUES ('reference'), ('lead')) x(model))
-SELECT id, any_value(text) AS text, max(t) FILTER (p = 1) AS a, max(t) FILTER (p = 2) AS b,
-  'a=' || max(model) FILTER (p = 1) || ',b=' || max(model) FILTER (p = 2) AS answer_key
+SELECT id, any_value(text) AS text, max(t) FILTER (p = 1) AS a, max(t) FILTER (p = 2) AS b
 FROM o GROUP BY id""",
 )
 def blind_sample(spark, sf_dir):
-    return rk.blind_sample(pairs(spark, sf_dir), "id", {"reference": "summary", "lead": "pred"})
+    return rk.blind_sample(pairs(spark, sf_dir), "id", {"reference": "summary", "lead": "pred"})[0]
+
+
+@check(
+    "blind_answers",
+    f"""WITH {PAIRS}, s AS (SELECT * FROM pairs ORDER BY md5(id || ':22'), id LIMIT 100),
+o AS (SELECT id, x.model, row_number() OVER (PARTITION BY id ORDER BY md5(id || ':22:' || x.model)) AS p
+      FROM s, (VALUES ('reference'), ('lead')) x(model))
+SELECT id, 'a=' || max(model) FILTER (p = 1) || ',b=' || max(model) FILTER (p = 2) AS answer_key
+FROM o GROUP BY id""",
+)
+def blind_answers(spark, sf_dir):
+    return rk.blind_sample(pairs(spark, sf_dir), "id", {"reference": "summary", "lead": "pred"})[1]
 
 
 @check(
     "paired_bootstrap",
     f"""WITH {RATINGS}, {draws_sql('''SELECT example * 6 + list_position(
   ['a>b', 'a>c', 'a>d', 'b>c', 'b>d', 'c>d'], relation) - 1 AS key,
-  (rater1 = rater2)::INTEGER::DOUBLE AS score FROM paired''', 200)} """
+  (rater1 = rater2)::INTEGER::DOUBLE AS score FROM paired''', 1000)} """
     + INTERVAL.format(lead="", c="m", of="sc", t="means"),
 )
 def paired_bootstrap(spark, sf_dir):
-    return rounded(ratings.agreement_interval(paired(spark, sf_dir), resamples=200))
+    return rounded(ratings.agreement_interval(paired(spark, sf_dir)))
 
 
 # --- statistics -------------------------------------------------------------
@@ -555,9 +569,11 @@ def histogram_sql(rows: str, column: str, bins: int, by: str = "") -> str:
     lead = f"{by}, " if by else ""
     return f"""v AS (SELECT * FROM {rows} WHERE {column} IS NOT NULL),
 e AS (SELECT min({column})::DOUBLE AS lo, (max({column}) - min({column}))::DOUBLE / {bins} AS w FROM v),
-b AS (SELECT {lead}least(floor(({column}::DOUBLE - lo) / w), {bins - 1})::INTEGER AS bin, lo, w FROM v, e)
-SELECT {lead}bin, count(*) AS n, round(any_value(lo + bin * w), 6) AS lo,
-  round(any_value(lo + (bin + 1) * w), 6) AS hi FROM b GROUP BY ALL"""
+b AS (SELECT {lead}least(floor(({column}::DOUBLE - lo) / w), {bins - 1})::INTEGER AS bin FROM v, e),
+c AS (SELECT {lead}bin, count(*) AS n FROM b GROUP BY ALL),
+f AS (SELECT {lead}r.bin::INTEGER AS bin, lo, w FROM e, range({bins}) r(bin){f", (SELECT DISTINCT {by} FROM v)" if by else ""})
+SELECT {lead}bin, coalesce(n, 0)::BIGINT AS n, round(lo + bin * w, 6) AS lo, round(lo + (bin + 1) * w, 6) AS hi
+FROM f LEFT JOIN c USING ({lead}bin)"""
 
 
 def edges_rounded(h):

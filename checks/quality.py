@@ -247,7 +247,8 @@ def duplicate_share(spark, sf_dir):
         for n in N_TOP
     )
     + ") SELECT doc_id, n, count(*) AS n_different, sum(cnt)::BIGINT AS n_all, max(cnt) AS most, "
-    "sum(cnt * length(ngram))::BIGINT AS chars, min(ngram) AS first, max(ngram) AS last "
+    "sum(cnt * length(ngram))::BIGINT AS chars, min(ngram) AS first, max(ngram) AS last, "
+    "sum(('0x' || substr(md5(ngram || ':' || cnt), 1, 12))::BIGINT)::BIGINT AS digest "
     "FROM counted GROUP BY doc_id, n",
 )
 def ngram_counts(spark, sf_dir):
@@ -259,18 +260,29 @@ def ngram_counts(spark, sf_dir):
         F.sum(F.col("cnt") * F.length("ngram")).alias("chars"),
         F.min("ngram").alias("first"),
         F.max("ngram").alias("last"),
+        # every row of the table, in any order
+        F.sum(
+            F.conv(F.substring(F.md5(F.concat_ws(":", "ngram", "cnt")), 1, 12), 16, 10).cast("long")
+        ).alias("digest"),
     )
 
 
 @check(
     "top_ngram_chr_fraction",
-    f"WITH {POSITIONS}, {gram_cte(3)}, {top_cte(3)} SELECT doc_id, ngram, cnt, "
-    "round(length(ngram) * cnt::DOUBLE / length(text), 6) AS chr_fraction "
-    "FROM top_3 JOIN documents USING (doc_id)",
+    f"WITH {POSITIONS}, {', '.join(gram_cte(n) + ',' + top_cte(n) for n in N_TOP)} "
+    + " UNION ALL ".join(
+        f"SELECT doc_id, {n}::INTEGER AS n, ngram, cnt, "
+        "round(length(ngram) * cnt::DOUBLE / length(text), 6) AS chr_fraction "
+        f"FROM top_{n} JOIN documents USING (doc_id)"
+        for n in N_TOP
+    ),
 )
 def top_ngrams(spark, sf_dir):
-    top = rep.top_ngrams(documents(spark, sf_dir), "doc_id", 3)
-    return top.withColumn("chr_fraction", r6(F.col("chr_fraction")))
+    found = None
+    for n in N_TOP:
+        top = rep.top_ngrams(documents(spark, sf_dir), "doc_id", n).withColumn("n", F.lit(n))
+        found = top if found is None else found.unionByName(top)
+    return found.withColumn("chr_fraction", r6(F.col("chr_fraction")))
 
 
 @check(
@@ -286,9 +298,29 @@ def duplicate_ngrams(spark, sf_dir):
     return rep.duplicate_ngrams(documents(spark, sf_dir), "doc_id", 5, 10)
 
 
+SMALL_SIZES, SMALL_LIMITS = (1, 2, 3), (0.6, 0.15, 0.05)
+
+
+@check(
+    "duplicate_ngrams_from_one",
+    f"WITH {POSITIONS}, {', '.join(gram_cte(n) + ',' + dup_cte(n) for n in SMALL_SIZES)} "
+    "SELECT d.doc_id, length(text) = 0 OR "
+    + " OR ".join(
+        f"coalesce(dup_{n}.c, 0) > {limit}::DOUBLE * length(text)"
+        for n, limit in zip(SMALL_SIZES, SMALL_LIMITS)
+    )
+    + " AS fails FROM documents d "
+    + " ".join(f"LEFT JOIN dup_{n} ON dup_{n}.doc_id = d.doc_id" for n in SMALL_SIZES),
+)
+def duplicate_ngrams_from_one(spark, sf_dir):
+    c = F.col("text")
+    fails = rp.duplicate_ngram_fails(c, F.length(c), SMALL_SIZES, SMALL_LIMITS)
+    return documents(spark, sf_dir).select("doc_id", fails.alias("fails"))
+
+
 # --- language ---------------------------------------------------------------
 
-PROFILE_SIZE = 300
+PROFILE_SIZE = 1000
 CLEAN = r"(' ' || trim(regexp_replace(lower({t}), '[^\p{{L}}]+', ' ', 'g')) || ' ')"
 
 

@@ -22,30 +22,27 @@ def side_tokens(text: Column, tokenize: bool = True, case: bool = False) -> Colu
 def _greedy(summary: list[str], text: list[str]) -> list[tuple[int, int, int]]:
     """Longest shared runs, left to right over the summary.
 
-    ``run[j]`` is how far summary[i:] and text[j:] agree. It is known from the
-    row below, so summary positions are visited from the last to the first.
-    A candidate inside an earlier candidate of the same position is not
-    considered, and the first of equal length wins.
+    Only the positions where the walk stops are looked at. There the text's
+    places of the token are taken in order, each run is followed as far as it
+    goes, and places inside it are passed over, so a stop costs no more than one
+    pass over the text. The first of equal length wins.
     """
-    places: dict[str, list[int]] = {t: [] for t in summary}
+    known, places = set(summary), {}
     for j, t in enumerate(text):
-        if t in places:
-            places[t].append(j)
-    best = []
-    run: dict[int, int] = {}
-    for t in reversed(summary):
-        run = {j: run.get(j + 1, 0) + 1 for j in places[t]}
-        length, at, free = 0, 0, 0
-        for j, k in run.items():
-            if j >= free:
-                free = j + k
-                if k > length:
-                    length, at = k, j
-        best.append((at, length))
-    best.reverse()
+        if t in known:
+            places.setdefault(t, []).append(j)
     out, i = [], 0
-    while i < len(best):
-        at, length = best[i]
+    while i < len(summary):
+        length, at, free = 0, 0, 0
+        for j in places.get(summary[i], ()):
+            if j < free:
+                continue
+            k, most = 1, min(len(summary) - i, len(text) - j)
+            while k < most and summary[i + k] == text[j + k]:
+                k += 1
+            free = j + k
+            if k > length:
+                length, at = k, j
         if length:
             out.append((i, at, length))
         i += length or 1

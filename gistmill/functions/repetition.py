@@ -195,6 +195,9 @@ def _duplicate_fails(
             return F.lit(False)
         n, limit = steps[k]
         allowed = n_chars * F.lit(limit)
+        if n == 1:  # single tokens do not cover the gaps that pairs cover
+            chars = covered_chars(sh.gapped, repeat_positions(sh.texts(n)), n)
+            return F.when(chars > allowed, F.lit(True)).otherwise(check(k + 1))
         allowed_later = n_chars * F.lit(min(t for _, t in steps[k:]))
         longest = F.array_max(F.transform(sh.gapped, F.length)) * n
         # At least as many as there are repeats, and none longer than this.
@@ -218,7 +221,8 @@ def duplicate_ngram_fails(
     A repeated n-gram lies under repeated shorter ones, so what size n covers
     bounds what every larger size covers. A row is done as soon as that is
     within the lowest limit still to come; most rows are done at the first size
-    by counting hashes alone.
+    by counting hashes alone. Size 1 bounds nothing: the blanks between two
+    tokens are covered by pairs only.
     """
     return with_shingles(text, lambda sh: _duplicate_fails(sh, n_chars, sizes, limits))
 

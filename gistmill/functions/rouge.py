@@ -58,7 +58,15 @@ def _lcs_rows(ref: list[str], pred: list[str]) -> list[int]:
 
 
 def _lcs_length(ref: list[str], pred: list[str]) -> int:
-    return len(ref) - _lcs_rows(ref, pred)[-1].bit_count()
+    """The last of those vectors alone says how long the subsequence is."""
+    where: dict[str, int] = {}
+    for i, t in enumerate(ref):
+        where[t] = where.get(t, 0) | 1 << i
+    full = v = (1 << len(ref)) - 1
+    for t in pred:
+        if u := v & where.get(t, 0):
+            v = ((v + u) | (v - u)) & full
+    return len(ref) - v.bit_count()
 
 
 def _lcs_places(ref: list[str], pred: list[str]) -> set[int]:

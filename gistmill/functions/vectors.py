@@ -13,11 +13,13 @@ SCORE = "struct<precision:double,recall:double,f1:double>"
 def embedding_match_score(pred_vecs: Column, ref_vecs: Column) -> Column:
     """Each token takes its best cosine on the other side: precision averages
     over ``pred_vecs``, recall over ``ref_vecs`` (``array<array<float>>``).
-    NULL when a side has no vectors."""
+    A zero vector is
+    like none: its cosine with any other is 0. NULL when a side has no vectors."""
 
     def unit(vectors: list[list[float]]) -> np.ndarray:
         m = np.asarray(vectors, dtype=np.float64)
-        return m / np.linalg.norm(m, axis=1, keepdims=True)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(norm == 0, 1.0, norm)
 
     @F.arrow_udf(SCORE)
     def scored(preds: pa.Array, refs: pa.Array) -> pa.Array:

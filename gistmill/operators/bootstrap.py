@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.operators.order import dense_index, hash_to_long, md5_of
-from gistmill.session import SMALL_ROWS, broadcast_if_small, written
+from gistmill.session import written
 
 RESAMPLES = 1000
 LEVEL = 0.95
@@ -25,59 +25,95 @@ def quantiles(level: float = LEVEL) -> list[float]:
     return [tail, 0.5, 1 - tail]
 
 
-def _interval(values: DataFrame, column: str, mean: Column, level: float) -> DataFrame:
-    q = F.percentile(column, F.array(*[F.lit(p) for p in quantiles(level)]))
-    row = values.agg(q.alias("_q"))
-    return row.select(
-        F.col("_q")[0].alias("low"), F.col("_q")[1].alias("mid"), F.col("_q")[2].alias("high"),
-        mean.alias("mean"),
-    )
-
-
-def _stored(scores: DataFrame, key: str, score: str) -> DataFrame:
-    """Keys and scores alone, written once: they are read several times below
-    and may come from a long plan over texts."""
-    return written(scores.select(key, score).where(F.col(score).isNotNull()), "scores")
+def _intervals(values: DataFrame, plain: DataFrame, names: list[str], level: float) -> DataFrame:
+    """A row per name: quantiles of a column of ``values``, and its ``plain``."""
+    probs = F.array(*[F.lit(p) for p in quantiles(level)])
+    q = values.agg(*[F.percentile(c, probs).alias(f"_q{i}") for i, c in enumerate(names)])
+    one = q.crossJoin(plain)  # one row each
+    rows = [
+        F.struct(
+            F.lit(c).alias("metric"),
+            *[F.get(f"_q{i}", F.lit(k)).alias(b) for k, b in enumerate(("low", "mid", "high"))],
+            F.col(f"_mean{i}").alias("mean"),
+        )
+        for i, c in enumerate(names)
+    ]
+    return one.select(F.inline(F.array(*rows)))
 
 
 def _drawn(scores: DataFrame, key: str, n: int, draws: DataFrame) -> DataFrame:
-    """Join ``(b, k)`` draws to the rows their hash points at."""
-    indexed = broadcast_if_small(dense_index(scores, key).drop(key), n)
-    at = F.pmod(hash_to_long(md5_of(F.col("b"), F.col("k"))), F.lit(n))
+    """Join ``(b, k)`` draws to the rows their hash points at. How the join is
+    made is left to adaptive execution, which knows the sizes."""
+    indexed = dense_index(scores, key).drop(key)
+    at = F.pmod(hash_to_long(md5_of(F.col("b"), F.col("k"))), F.lit(max(n, 1)))
     # Never null, and said so: else the join adds a null test that hashes twice.
     at = F.coalesce(at, F.lit(0))
     return draws.withColumn("idx", at).join(indexed, "idx")
 
 
+def bootstrap_stats(
+    rows: DataFrame,
+    stats: dict[str, Column],
+    key: str,
+    resamples: int = RESAMPLES,
+    level: float = LEVEL,
+) -> DataFrame:
+    """``(metric, low, mid, high, mean)`` for each statistic, an aggregate over
+    the columns of ``rows``; ``mean`` is its value over the rows as they are.
+
+    Each resample takes exactly n rows with replacement, whole rows at a time
+    and the same ones for every statistic. The method is the same at any number
+    of rows; it makes n times ``resamples`` draws. No rows give NULLs. ``key``
+    is unique and of any type.
+    """
+    rows = written(rows, "scores")
+    n = rows.count()
+    draws = rows.sparkSession.range(resamples * n).select(
+        F.expr(f"id div {max(n, 1)}").alias("b"), (F.col("id") % max(n, 1)).alias("k")
+    )
+    named = [(f"_s{i}", c) for i, c in enumerate(stats.values())]
+    values = _drawn(rows, key, n, draws).groupBy("b").agg(*[c.alias(s) for s, c in named])
+    plain = rows.agg(*[c.alias(f"_mean{i}") for i, (_, c) in enumerate(named)])
+    found = _intervals(values, plain, [s for s, _ in named], level)
+    name = F.element_at(F.create_map(*[F.lit(x) for s, m in zip(named, stats) for x in (s[0], m)]), F.col("metric"))
+    return found.withColumn("metric", name)
+
+
+METHODS = ("draws", "poisson")
+
+
 def bootstrap_mean(
     scores: DataFrame,
     score: str,
     key: str,
     resamples: int = RESAMPLES,
     level: float = LEVEL,
-    method: str = "auto",
+    method: str = "draws",
 ) -> DataFrame:
     """``low, mid, high`` of the resampled means and the plain ``mean``.
 
-    ``draws`` takes exactly n rows with replacement per resample; ``poisson``
-    gives each row an independent Poisson(1) weight, which needs one scan, no
-    row index and a shuffle of ``resamples`` rows per task. ``auto`` draws as
-    long as the scores fit a broadcast.
+    ``draws`` takes exactly n rows with replacement per resample. ``poisson``
+    gives each row an independent Poisson(1) weight instead, which needs one
+    scan and no row index: the one to choose for scores beyond some millions.
+    The caller chooses; the number of rows never does.
     """
-    scores = _stored(scores, key, score)
-    plain = scores.agg(F.avg(score))
-    if method == "poisson":
-        means = _poisson_means(scores, score, key, resamples)
-        return _interval(means, "m", plain.scalar(), level)
-    n = scores.count()
-    if method == "auto" and n > SMALL_ROWS:
-        means = _poisson_means(scores, score, key, resamples)
-        return _interval(means, "m", plain.scalar(), level)
-    draws = scores.sparkSession.range(resamples * n).select(
-        F.expr(f"id div {max(n, 1)}").alias("b"), (F.col("id") % max(n, 1)).alias("k")
-    )
-    means = _drawn(scores, key, n, draws).groupBy("b").agg(F.avg(score).alias("m"))
-    return _interval(means, "m", plain.scalar(), level)
+    if method not in METHODS:
+        raise ValueError(f"method is one of {METHODS}")
+    scores = scores.select(key, score).where(F.col(score).isNotNull())
+    if method == "draws":
+        return bootstrap_stats(scores, {score: F.avg(score)}, key, resamples, level).drop("metric")
+    scores = written(scores, "scores")
+    means = _poisson_means(scores, score, key, resamples)
+    plain = scores.agg(F.avg(score).alias("_mean0"))
+    return _intervals(means, plain, ["m"], level).drop("metric")
+
+
+def bootstrap_means(
+    scores: DataFrame, columns: list[str], key: str, resamples: int = RESAMPLES, level: float = LEVEL
+) -> DataFrame:
+    """Intervals of several columns' means from one set of draws; a mean passes
+    over its column's nulls."""
+    return bootstrap_stats(scores.select(key, *columns), {c: F.avg(c) for c in columns}, key, resamples, level)
 
 
 def _poisson_means(scores: DataFrame, score: str, key: str, resamples: int) -> DataFrame:
@@ -98,10 +134,11 @@ def sample_percentiles(
     scores: DataFrame, score: str, key: str, size: int = RESAMPLES, level: float = LEVEL
 ) -> DataFrame:
     """Percentiles of one sample of raw scores: not an interval of the mean."""
-    scores = _stored(scores, key, score)
+    scores = written(scores.select(key, score).where(F.col(score).isNotNull()), "scores")
     n = scores.count()
     draws = scores.sparkSession.range(size).select(F.lit(0).cast("long").alias("b"), F.col("id").alias("k"))
-    return _interval(_drawn(scores, key, n, draws), score, scores.agg(F.avg(score)).scalar(), level)
+    plain = scores.agg(F.avg(score).alias("_mean0"))
+    return _intervals(_drawn(scores, key, n, draws), plain, [score], level).drop("metric")
 
 
 def paired_bootstrap(
@@ -111,11 +148,16 @@ def paired_bootstrap(
     key: str,
     resamples: int = RESAMPLES,
     level: float = LEVEL,
+    stat: Column | None = None,
 ) -> DataFrame:
-    """Percentile interval of the share of rows on which two columns agree,
-    both columns resampled together."""
-    agree = pairs.select(key, (F.col(left) == F.col(right)).cast("double").alias("_agree"))
-    return bootstrap_mean(agree, "_agree", key, resamples, level)
+    """Percentile interval of a statistic of two columns resampled together.
+
+    ``stat`` is an aggregate over both; by default the share of rows on which
+    they agree, rows with a null left out.
+    """
+    both = pairs.select(key, left, right).where(F.col(left).isNotNull() & F.col(right).isNotNull())
+    agree = F.avg((F.col(left) == F.col(right)).cast("double"))
+    return bootstrap_stats(both, {"stat": agree if stat is None else stat}, key, resamples, level).drop("metric")
 
 
 def metric_report(intervals: dict[str, DataFrame]) -> DataFrame:

@@ -9,8 +9,7 @@ from gistmill.functions import fragments as fr
 from gistmill.functions import rouge
 from gistmill.functions import tokens as tk
 from gistmill.functions.vectors import embedding_match_score
-from gistmill.operators.bootstrap import bootstrap_mean, metric_report
-from gistmill.session import written
+from gistmill.operators.bootstrap import bootstrap_means
 
 ROUGE = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 
@@ -36,13 +35,16 @@ def with_fragments(
     df: DataFrame, summary: str = "summary", text: str = "text", case: bool = False,
     tokenize: bool = True,
 ) -> DataFrame:
-    """Add ``s_tokens``, ``t_tokens`` and their ``matches``."""
-    sides = df.withColumns(
+    """Add the tokens as written (``s_written``, ``t_written``) and as compared
+    (``s_tokens``, ``t_tokens``), and their ``matches``."""
+    written_ = df.withColumns(
         {
-            "s_tokens": fr.side_tokens(F.col(summary), tokenize, case),
-            "t_tokens": fr.side_tokens(F.col(text), tokenize, case),
+            "s_written": fr.side_tokens(F.col(summary), tokenize, True),
+            "t_written": fr.side_tokens(F.col(text), tokenize, True),
         }
     )
+    lower = lambda c: F.col(c) if case else F.transform(c, F.lower)
+    sides = written_.withColumns({"s_tokens": lower("s_written"), "t_tokens": lower("t_written")})
     return sides.withColumn("matches", fr.fragments(F.col("s_tokens"), F.col("t_tokens")))
 
 
@@ -71,10 +73,9 @@ def evaluate(
 ) -> DataFrame:
     """Report over ``(key, text, summary, pred)`` rows: overlap F-measures, the
     density of the predictions and, if given as ``(key, f1)``, similarity."""
-    overlap = written(rouge_scores(df, key), "overlap")
-    density = extractiveness(df, key, "pred", "text")
-    intervals = {m: bootstrap_mean(overlap, m, key, resamples) for m in ROUGE}
-    intervals["density"] = bootstrap_mean(density, "density", key, resamples)
+    density = extractiveness(df, key, "pred", "text").select(key, "density")
+    scores, metrics = rouge_scores(df, key).join(density, key), [*ROUGE, "density"]
     if similarity is not None:
-        intervals["bertscore"] = bootstrap_mean(similarity, "f1", key, resamples)
-    return metric_report(intervals)
+        scores = scores.join(similarity.select(key, F.col("f1").alias("bertscore")), key, "left")
+        metrics.append("bertscore")
+    return bootstrap_means(scores, metrics, key, resamples)

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from gistmill.functions.language import FLOOR, SCALE, LanguageProfile, trigrams
 from gistmill.functions.rows import exploded, inlined
 
-MAX_PROFILE_ROWS = 200_000
-
-
 def language_profile(
     df: DataFrame, text: str = "text", lang: str = "lang", size: int = 1000
 ) -> DataFrame:
@@ -31,12 +28,10 @@ def language_profile(
     )
 
 
-def load_profile(profile: DataFrame, max_rows: int = MAX_PROFILE_ROWS) -> LanguageProfile:
-    """Fetch a profile table. It holds ``size`` rows per language; a table
-    beyond ``max_rows`` is refused rather than pulled to the driver."""
-    rows = profile.select("lang", "gram", "weight").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"language profile has more than {max_rows} rows: lower its size")
+def load_profile(profile: DataFrame) -> LanguageProfile:
+    """Fetch a profile table. Its size per language and the number of languages
+    bound it, whatever the corpus."""
+    rows = profile.select("lang", "gram", "weight").collect()
     langs = tuple(sorted({r.lang for r in rows}))
     table: dict[str, list[int]] = {}
     for r in rows:

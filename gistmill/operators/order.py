@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gistmill.session import written
+
 PREFIX = 3  # hex digits: 4,096 slices of the hash range
-MAX_SLICES = 2_000
 
 
 def md5_of(*parts: Column | str) -> Column:
@@ -54,19 +52,16 @@ def kth_hash(df: DataFrame, slices: DataFrame, group: str, digest: str, ks: Data
 
 
 def dense_index(df: DataFrame, key: str, out: str = "idx") -> DataFrame:
-    """0-based position of each row in the order of a unique numeric ``key``.
+    """0-based position of each row in the order of a unique ``key``, whatever
+    its type; a null key comes first.
 
-    Fixed boundaries cut the key range into about equal slices; a row's index
-    is the size of the slices before it plus its place in its own.
+    Rows are dealt out by ranges of the key; a row's index is the size of the
+    ranges before its own plus its place in it. The dealt table is stored, so
+    that both are read from the same ranges.
     """
-    parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_SLICES)
-    keyed = df.withColumn("_key", F.col(key).cast("double"))
-    probs = [i / parts for i in range(1, parts)]
-    cuts = sorted(set(keyed.stat.approxQuantile("_key", probs, 0.25 / parts))) if probs else []
-    slicer = Bucketizer(
-        splits=[-math.inf, *cuts, math.inf], inputCol="_key", outputCol="_slice"
-    )
-    sliced = slicer.transform(keyed).drop("_key")
+    slice_ = F.spark_partition_id().alias("_slice")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = written(df.repartitionByRange(parts, key).select("*", slice_), "ranges")
     counts = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # One row per slice, so this window and the broadcast stay tiny.

@@ -67,7 +67,7 @@ def describe_filter(
         )
 
     own = [(name, make(c)) for name, make in (extra or {}).items()]
-    short_enough = [(TOO_LONG, F.length(c) <= p.max_length)]
+    short_enough = [(TOO_LONG, F.coalesce(F.length(c), F.lit(0)) <= p.max_length)]
     ready = df.withColumns({words: tk.n_words(c), lines: tk.line_array(c)})
     if "detect_language" not in names:
         verdict = failure(names, before=short_enough, after=own)

@@ -121,9 +121,10 @@ def cohen_kappa(ranks: DataFrame, raters: tuple, example: str = "example") -> Da
 
 def blind_sample(
     df: DataFrame, key: str, candidates: dict[str, str], n: int = 100, seed: int = 22
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
     """A seeded sample of ``n`` rows whose candidates stand under letters in a
-    hidden order of their own; ``answer_key`` tells which is which.
+    hidden order of their own: the raters' sheet, and apart from it the table
+    ``(key, answer_key)`` that tells which is which.
 
     ``candidates`` maps model names to text columns.
     """
@@ -149,4 +150,4 @@ def blind_sample(
             ",", *[F.concat(F.lit(f"{c}="), F.get(o, F.lit(k))["model"]) for k, c in enumerate(letters)]
         ),
     )
-    return hidden.select(key, "text", *sheet, answers.alias("answer_key"))
+    return hidden.select(key, "text", *sheet), hidden.select(key, answers.alias("answer_key"))

@@ -1,4 +1,4 @@
-"""The shared folder, small tables, and checkpoints."""
+"""The shared folder and what is stored in it."""
 
 from __future__ import annotations
 
@@ -7,10 +7,8 @@ import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-SMALL_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,9 +39,3 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint only for a table counted to be small; beyond that the
-    join is left to shuffle, with adaptive execution splitting skewed keys."""
-    return F.broadcast(df) if rows <= limit else df

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -19,11 +21,9 @@ PAIRS_SCHEMA = StructType(
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet scan. An input with fewer splits than the session has cores is
-    dealt out over them; a large one is left where it lies."""
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Parquet scan. How finely it is split is the session's to say, with
+    ``spark.sql.files.maxPartitionBytes`` and ``minPartitionNum``."""
+    return spark.read.parquet(path)
 
 
 def _csv_options(sep: str) -> dict[str, object]:
@@ -62,20 +62,36 @@ def write_splits(df: DataFrame, path: str, split: str = "split", mode: str = "er
 
 
 def stage(df: DataFrame, name: str, redo: bool = False, folder: str | None = None) -> DataFrame:
-    """Result kept under ``name``: read it back if an earlier run left it,
-    else (or with ``redo``) compute and write it."""
+    """Result kept under ``name``: read it back if an earlier run finished it,
+    else (or with ``redo``) compute and write it.
+
+    Beside the result stands what it was made from: the plan and its input
+    files. A stage made from something else is not reused but refused; one that
+    was not written to its end is written again.
+    """
     spark = df.sparkSession
     path = f"{folder or shared_folder(spark)}/stages/{name}"
-    if not redo:
-        try:
-            kept = spark.read.parquet(path)
-            if kept.schema.simpleString() != df.schema.simpleString():
-                raise ValueError(f"stage {name!r} holds other columns: redo it or rename it")
-            return kept
-        except AnalysisException:
-            pass
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    mark = source_mark(df)
+    if not redo and _exists(spark, f"{path}/data/_SUCCESS") and _exists(spark, f"{path}/made_from/_SUCCESS"):
+        if spark.read.text(f"{path}/made_from").first()[0] != mark:
+            raise ValueError(f"stage {name!r} was made from another input: redo it or rename it")
+        return spark.read.parquet(f"{path}/data")
+    df.write.mode("overwrite").parquet(f"{path}/data")
+    spark.createDataFrame([(mark,)], "mark string").coalesce(1).write.mode("overwrite").text(f"{path}/made_from")
+    return spark.read.parquet(f"{path}/data")
+
+
+def source_mark(df: DataFrame) -> str:
+    """Hash of a table's plan, without the numbers Spark gives its columns, and
+    of the files it reads."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    plan = re.sub(r"#\d+L?|\[plan_id=\d+\]", "", plan)
+    return hashlib.sha256("\n".join([plan, df.schema.simpleString(), *sorted(df.inputFiles())]).encode()).hexdigest()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
 def first_pairs(df: DataFrame, key: str, columns: list[str], n: int = 100) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -61,14 +62,21 @@ def test_case_spans_strings_and_novel_words(spark):
         with_fragments(df)
         .select(
             fr.fragment_spans(F.col("matches"), 2).alias("spans"),
-            fr.fragment_strings(F.col("matches"), F.col("s_tokens"), 1).alias("strings"),
-            fr.fragment_strings(F.col("matches"), F.col("s_tokens"), 2).alias("none"),
+            fr.fragment_strings(F.col("matches"), F.col("s_written"), 1).alias("strings"),
+            fr.fragment_strings(F.col("matches"), F.col("s_written"), 2).alias("none"),
             fr.novel_words(F.col("s_tokens"), F.col("t_tokens")).alias("novel"),
         )
         .first()
     )
     assert [tuple(s) for s in row.spans] == [(0, 2, 0, 2)]
-    assert row.strings == ["the cat"] and row.none == [] and row.novel == ["ran"]
+    assert row.strings == ["The Cat"] and row.none == [] and row.novel == ["ran"]
+
+
+def test_long_runs_of_one_token():
+    start = time.perf_counter()
+    assert fr._greedy(["a"] * 100_000, ["a"] * 100_000) == [(0, 0, 100_000)]
+    assert fr._greedy(["a"] * 2_000, ["b", "a"] * 50) == [(i, 1, 1) for i in range(2_000)]
+    assert time.perf_counter() - start < 5
 
 
 def test_density_bins(spark):

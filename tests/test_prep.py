@@ -1,6 +1,9 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from gistmill.operators import bootstrap as bs
 from gistmill.operators import prep, stats
 from gistmill.operators.order import dense_index
 from gistmill.plans.clean import clean_pairs, split_pairs
@@ -52,6 +55,32 @@ def test_dense_index_with_a_crowded_range(spark):
     assert got == {k: i for i, k in enumerate(sorted(keys))}
 
 
+@pytest.mark.parametrize("parts", ["1", "4"])
+def test_dense_index_of_any_key_and_no_rows(spark, parts):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        keys = ["http://b", "http://a", "é", "", None]
+        df = spark.createDataFrame([(k,) for k in keys], "key string")
+        got = {r.key: r.idx for r in dense_index(df, "key").collect()}
+        assert got == {None: 0, "": 1, "http://a": 2, "http://b": 3, "é": 4}
+        assert dense_index(df.limit(0), "key").count() == 0
+        none = spark.createDataFrame([], "key string, x double")
+        for method in ("draws", "poisson"):
+            row = bs.bootstrap_mean(none, "x", "key", 10, method=method).first()
+            assert tuple(row) == (None,) * 4
+        assert tuple(bs.sample_percentiles(none, "x", "key", 10).first()) == (None,) * 4
+        named = spark.createDataFrame([(f"k{i}", float(i % 2), 3.0) for i in range(40)], "key string, x double, y double")
+        both = {r.metric: r for r in bs.bootstrap_means(named, ["x", "y"], "key", 200).collect()}
+        assert both["y"].low == both["y"].high == 3.0 and 0.2 < both["x"].low < 0.5 < both["x"].high < 0.8
+        pair = bs.paired_bootstrap(named, "x", "y", "key", 50, stat=F.max("x") - F.min("y")).first()
+        assert pair["mean"] == -2.0
+        with pytest.raises(ValueError):
+            bs.bootstrap_mean(named, "x", "key", method="posson")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_cutoff_uses_bounds_of_all_rows(spark):
     df = spark.createDataFrame([(i, 100 - i) for i in range(101)], "a int, b int")
     got = sorted(r.a for r in prep.quantile_cutoff(df, ["a", "b"], 0.02, 0.95).collect())
@@ -95,18 +124,25 @@ def test_csv_round_trip_of_awkward_text(spark):
 def test_stage_is_reused_until_redone(spark):
     folder = new_folder(spark, "s")
     src.stage(spark.range(3), "x", folder=folder)
-    assert src.stage(spark.range(9), "x", folder=folder).count() == 3
+    kept = src.stage(spark.range(3), "x", folder=folder)
+    assert kept.count() == 3 and "/stages/x/" in kept.inputFiles()[0]
+    for other in (spark.range(7), spark.range(3).toDF("k")):
+        with pytest.raises(ValueError, match="another input"):
+            src.stage(other, "x", folder=folder)
     assert src.stage(spark.range(9), "x", redo=True, folder=folder).count() == 9
-    with pytest.raises(ValueError, match="other columns"):
-        src.stage(spark.range(3).toDF("k"), "x", folder=folder)
+    half = f"{folder}/stages/y/data"
+    spark.range(2).write.parquet(half)
+    os.remove(f"{half}/_SUCCESS")
+    assert src.stage(spark.range(4), "y", folder=folder).count() == 4
 
 
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(float(x),) for x in (0, 1, 2, 10)], "x double")
     got = {r.bin: (r.lo, r.hi, r.n) for r in stats.histogram(df, "x", 5).collect()}
-    assert got == {0: (0, 2, 2), 1: (2, 4, 1), 4: (8, 10, 1)}
+    assert got == {0: (0, 2, 2), 1: (2, 4, 1), 2: (4, 6, 0), 3: (6, 8, 0), 4: (8, 10, 1)}
     flat = stats.histogram(spark.createDataFrame([(3.0,), (3.0,), (None,)], "x double"), "x", 5)
-    assert [(r.bin, r.n) for r in flat.collect()] == [(0, 2)]
+    assert sorted((r.bin, r.n) for r in flat.collect()) == [(0, 2), (1, 0), (2, 0), (3, 0), (4, 0)]
+    assert stats.histogram(df.limit(0), "x", 5).count() == 0
 
 
 def test_length_stats(spark):

@@ -43,10 +43,12 @@ def test_summary_and_kappa(spark):
 
 def test_blind_sample(spark):
     df = spark.createDataFrame([(i, f"t{i}", f"x{i}", f"y{i}") for i in range(30)], "id int, text string, x string, y string")
-    sample = rk.blind_sample(df, "id", {"one": "x", "two": "y"}, n=20).collect()
-    assert len(sample) == 20 and len({r.answer_key for r in sample}) == 2
+    sheet, answers = rk.blind_sample(df, "id", {"one": "x", "two": "y"}, n=20)
+    sample, keys = sheet.collect(), {r.id: r.answer_key for r in answers.collect()}
+    assert sheet.columns == ["id", "text", "a", "b"]
+    assert len(sample) == 20 and len(set(keys.values())) == 2
     for r in sample:
-        told = dict(p.split("=") for p in r.answer_key.split(","))
+        told = dict(p.split("=") for p in keys[r.id].split(","))
         assert {told["a"]: r.a, told["b"]: r.b} == {"one": f"x{r.id}", "two": f"y{r.id}"}
 
 

@@ -89,6 +89,18 @@ def test_pruned_verdicts_equal_the_plain_rule(texts):
     assert {r.dup for r in got} == {True, False} == {r.top for r in got}
 
 
+def test_ranges_from_one(texts):
+    values = [" ".join(f"a b c {'x' * 12}{i}{j}" for j in range(3)) for i in range(6)] + random_texts(150, 5)
+    values.append("   ".join(["a b c"] + [f"{'w' * 9}{k} a b c" for k in range(5)]))
+    c = F.col("text")
+    for sizes, limits in (((1, 2), (0.9, 0.3)), ((1, 2, 3), (0.6, 0.4, 0.2)), ((1,), (0.2,))):
+        got = texts(*values).select("id", rp.duplicate_ngram_fails(c, F.length(c), sizes, limits).alias("dup")).collect()
+        for r in got:
+            text = values[r.id]
+            want = not text or any(covered(text, n) > t * len(text) for n, t in zip(sizes, limits))
+            assert r.dup == want, (text, sizes)
+
+
 def test_last_ngram_is_not_counted(texts):
     df = texts("a b", "a b c", "a b a b")
     got = {(r.id, r.ngram): r.cnt for r in rep.ngram_counts(df, "id", 2, 2).collect()}
