@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -23,7 +25,8 @@ from checks.views import (
 )
 from checks.quality import SUMMARY, ARTICLE, chain_sql, simple_sql
 from gistmill.functions import tokens as tk
-from gistmill.functions.repair import compose, repair_text
+from gistmill.functions import repair as repair_
+from gistmill.functions.repair import compose
 from gistmill.operators import prep, ranking as rk, stats, vocab as vc
 from gistmill.plans import clean, ratings, vocabulary
 from gistmill.session import new_folder, written
@@ -97,7 +100,8 @@ def reshape(spark, sf_dir):
         documents(spark, sf_dir),
         add={"chars": F.length("text")},
         drop=["text", "source"],
-        rename={"doc_id": "id", "lang": "language"},
+        names=["doc_id", "text", "tongue", "source", "n_chars"],
+        rename={"doc_id": "id", "tongue": "language"},
         order=["language", "id"],
     )
 
@@ -116,20 +120,30 @@ ENTITIES = [
 
 @check(
     "repair_text",
-    f"SELECT page_id, replace({replaced('html', ENTITIES)}, chr(13) || chr(10), chr(10)) AS text "
-    "FROM pages",
+    f"SELECT page_id, nfc_normalize(replace({replaced('html', ENTITIES)}, chr(13) || chr(10), chr(10))) "
+    "AS text FROM pages",
 )
 def repair(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", repair_text(F.col("html"), unescape=True).alias("text"))
+    return repair_.repaired(pages.select("page_id", F.col("html").alias("text")), ["text"], unescape=True)
+
+
+@check("repair_damaged", "SELECT doc_id, text FROM documents")
+def repair_damaged(spark, sf_dir):
+    """Every other accented letter is written as its UTF-8 bytes read as
+    Windows-1252, the others as base letter and mark; repair undoes both."""
+    damaged = F.col("text")
+    for i, x in enumerate("éèêàçöüäßñáíóúÉÈÊÀÄÖÜÑÇ"):
+        wrong = x.encode().decode("latin-1").translate(dict(zip(map(ord, repair_.C1), repair_.CP1252)))
+        apart = unicodedata.normalize("NFD", x)
+        damaged = F.replace(damaged, F.lit(x), F.lit(wrong if i % 2 == 0 else apart))
+    return repair_.repaired(documents(spark, sf_dir).select("doc_id", damaged.alias("text")), ["text"])
 
 
 @check("compose_text", "SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def compose_text(spark, sf_dir):
     """Texts are taken apart into base letters and marks, then composed."""
     letters = "éèêëàâäçïîôöùûüñáíóúÉÈÊÀÄÖÜÑÁÍÓÚÇ"
-    import unicodedata
-
     apart = F.col("text")
     for x in letters:
         apart = F.replace(apart, F.lit(x), F.lit(unicodedata.normalize("NFD", x)))
@@ -418,8 +432,7 @@ def select_vocab(spark, sf_dir):
 )
 def id_union(spark, sf_dir):
     first, _ = id_counts(spark, sf_dir)
-    top = vc.top_tokens(first, 400).select("token")
-    return spark.range(100).toDF("token").union(top).distinct()
+    return vc.id_union(spark.range(100).toDF("token"), vc.top_tokens(first, 400))
 
 
 @check("reindex", f"WITH {IDS} SELECT token, row_number() OVER (ORDER BY token) - 1 AS new_id FROM kept")

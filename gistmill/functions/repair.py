@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 from html.entities import html5
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.functions.rows import let
@@ -20,6 +21,16 @@ NAMED = {k[:-1]: v for k, v in html5.items() if k.endswith(";") and len(v) == 1}
 CP1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 C1 = "".join(chr(c) for c in range(0x80, 0xA0))
 
+_NEXT = "\u0080-\u00bf" + CP1252.translate({c: None for c in range(0x80, 0xA0)})
+# Groups that read like one UTF-8 character. Three of them need a Latin-1
+# character beside the first, or the first of general punctuation: an accented
+# letter before two quotation marks is no such group.
+MISREAD = (
+    f"(?:[\u00c2-\u00df][{_NEXT}]|\u00e2[{_NEXT}]{{2}}"
+    f"|[\u00e0-\u00ef](?:[\u0080-\u00bf][{_NEXT}]|[{_NEXT}][\u0080-\u00bf])"
+    f"|[\u00f0-\u00f4][{_NEXT}]{{3}})+"
+)
+
 # Curly quotes and their plain forms; Latin ligatures.
 CURLY, PLAIN = "\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u201f\u00b4", "''''\"\"\"\"'"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ſt", "ﬆ": "st"}
@@ -30,6 +41,8 @@ HALF_WIDTH = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 TERMINAL_ESCAPE = "\x1b\\[[0-9;]*[mK]"
 LINE_BREAK = r"\r\n|[\r\u0085\u2028\u2029]"
 CONTROL = r"[\x00-\x08\x0b\x0e-\x1f\x7f\u206a-\u206f\ufeff\ufff9-\ufffc]"
+
+
 # Text that holds none of these is already in composed form.
 NEEDS_COMPOSING = r"[\p{M}\u0340\u0341\u0374\u037e\u0387\u1100-\u11ff\u1f71-\u1ffd\u2000\u2001\u2126\u212a\u212b\u2329\u232a\uf900-\ufaff]"
 
@@ -67,20 +80,32 @@ def unescape_html(text: Column) -> Column:
 
 
 def fix_encoding(text: Column) -> Column:
-    """Undo UTF-8 that was read as Latin-1 or Windows-1252.
+    """Undo UTF-8 that was read as Latin-1 or Windows-1252, run by run.
 
-    Only text made wholly of such characters that also reads as valid UTF-8 is
-    changed, so sound text stays as it is.
+    A run is a row of character groups that look like the bytes of one UTF-8
+    character each. It is read again as UTF-8; what isn't valid stays, and so
+    does all text outside runs, whatever script it is in.
     """
 
-    def reread(latin: Column) -> Column:
-        # Encoding raises on characters beyond Latin-1, hence the guard.
-        encoded = F.when(latin.rlike(r"^[\x00-\xff]*$"), F.encode(latin, "ISO-8859-1"))
-        return F.coalesce(F.try_validate_utf8(encoded.cast("string")), text)
+    def reread(run: Column) -> Column:
+        encoded = F.encode(F.translate(run, CP1252, C1), "ISO-8859-1")
+        return F.coalesce(F.try_validate_utf8(encoded.cast("string")), run)
+
+    def rebuilt(t: Column) -> Column:
+        # one piece more than there are runs
+        pieces = F.split(t, MISREAD)
+        return let(
+            F.regexp_extract_all(t, F.lit(MISREAD), F.lit(0)),
+            lambda runs: F.array_join(
+                F.transform(
+                    pieces,
+                    lambda p, i: F.concat(p, F.when(i < F.size(runs), reread(F.get(runs, i))).otherwise("")),
+                ),
+                "",
+            ),
+        )
 
-    return F.when(
-        text.rlike(r"[\u00c2-\u00f4]"), let(F.translate(text, CP1252, C1), reread)
-    ).otherwise(text)
+    return F.when(text.rlike(MISREAD), rebuilt(text)).otherwise(text)
 
 
 def compose(text: Column) -> Column:
@@ -103,7 +128,7 @@ def plain_typography(text: Column) -> Column:
 
 
 def repair_text(text: Column, unescape: bool | None = None) -> Column:
-    """The whole repair. Entities are decoded unless the text looks like
+    """Repair but for composition, which ``repaired`` adds. Entities are decoded unless the text looks like
     markup; ``unescape`` True or False decides it outright."""
 
     def entities(t: Column) -> Column:
@@ -122,3 +147,13 @@ def repair_text(text: Column, unescape: bool | None = None) -> Column:
     for step in steps:
         text = let(text, step)
     return text
+
+
+def repaired(df: DataFrame, columns: Sequence[str], unescape: bool | None = None) -> DataFrame:
+    """``df`` with the columns repaired and in composed form.
+
+    The two are projections of their own: composing reads a repaired column, it
+    does not repair again.
+    """
+    mended = df.withColumns({c: repair_text(F.col(c), unescape) for c in columns})
+    return mended.withColumns({c: compose(F.col(c)) for c in columns})

@@ -138,9 +138,12 @@ def reshape(
     drop: Sequence[str] = (),
     rename: dict[str, str] | None = None,
     order: Sequence[str] = (),
+    names: Sequence[str] = (),
 ) -> DataFrame:
-    """Add, drop, rename, then bring columns into order, in that sequence."""
-    out = df.withColumns(add or {}).drop(*drop).withColumnsRenamed(rename or {})
+    """Name by position, add, drop, rename, then bring columns into order, in
+    that sequence. ``names`` has one for every column."""
+    named = df.toDF(*names) if names else df
+    out = named.withColumns(add or {}).drop(*drop).withColumnsRenamed(rename or {})
     return out.select(*order, *[c for c in out.columns if c not in order])
 
 

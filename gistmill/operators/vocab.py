@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,6 +81,11 @@ def top_tokens(counts: DataFrame, k: int = 30) -> DataFrame:
     return counts.orderBy(F.desc("cnt"), "token").limit(k)
 
 
+def id_union(*tables: DataFrame, token: str = "token") -> DataFrame:
+    """Distinct ids of all tables."""
+    return reduce(DataFrame.union, [t.select(F.col(token).cast("long").alias(token)) for t in tables]).distinct()
+
+
 def select_vocab(
     first: DataFrame,
     second: DataFrame,
@@ -97,7 +104,7 @@ def select_vocab(
     """
     spark = first.sparkSession
     low = spark.range(reserved).toDF("token")
-    kept = low.union(top_tokens(first, top_first).select(F.col("token").cast("long"))).distinct()
+    kept = id_union(low, top_tokens(first, top_first))
     room = kept.agg((F.lit(cap) - F.count("*")).alias("room"))
     fresh = (
         top_tokens(second, top_second)
@@ -107,7 +114,7 @@ def select_vocab(
     place = F.row_number().over(Window.orderBy(F.desc("cnt"), "token"))
     added = fresh.withColumn("place", place).where(F.col("place") <= room.scalar()).select("token")
     last = spark.range(vocab_size - tail, vocab_size).toDF("token")
-    return kept.union(added).union(last).distinct()
+    return id_union(kept, added, last)
 
 
 def reindex(ids: DataFrame, key: str = "token", out: str = "new_id") -> DataFrame:

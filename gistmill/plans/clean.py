@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gistmill.functions import tokens as tk
 from gistmill.functions.quality import QualityParams, article_profile, summary_profile
-from gistmill.functions.repair import repair_text
+from gistmill.functions.repair import repaired
 from gistmill.operators.prep import both_passed, exact_split, quantile_cutoff
 from gistmill.operators.quality import describe_filter
 from gistmill.session import written
@@ -49,7 +49,7 @@ def clean_pairs(
     two integer columns, and no text is repaired twice.
     """
     if repair:
-        df = df.withColumns({c: repair_text(F.col(c)) for c in ("text", "summary")})
+        df = repaired(df, ["text", "summary"])
     measured = written(with_lengths(df), "measured")
     kept = quantile_cutoff(measured, ["tok_text_len", "tok_sum_len"])
     return with_flags(kept, article, summary)

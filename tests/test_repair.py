@@ -12,7 +12,14 @@ def fixed(df, fn=rp.repair_text):
 
 def test_mojibake(texts):
     df = texts("Ã¦ble pÃ¥ Ã˜en", "ægte på Øen", "itâ€™s", "café …", "Ã", None, "Ã¦ og 中")
-    assert fixed(df) == ["æble på Øen", "ægte på Øen", "it's", "café …", "Ã", None, "Ã¦ og 中"]
+    assert fixed(df) == ["æble på Øen", "ægte på Øen", "it's", "café …", "Ã", None, "æ og 中"]
+    sound = texts("allé”…", "À «é» ¦", "naïve – ça", "Ünï™ ©", "日本 é")
+    assert fixed(sound, rp.fix_encoding) == ["allé”…", "À «é» ¦", "naïve – ça", "Ünï™ ©", "日本 é"]
+
+
+def test_repair_composes(texts):
+    got = rp.repaired(texts("e\u0301 Ã©", "\u212b", None), ["text"]).orderBy("id").collect()
+    assert [r.text for r in got] == ["é é", "Å", None]
 
 
 def test_entities(texts):
