@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gistmill.session import written
 
-PREFIX = 3  # hex digits: 4,096 slices of the hash range
+PREFIX = 3  # hex digits at a time: 4,096 slices of the hash range
+SLICE_ROWS = 100_000  # most rows that are ranked in one task
 
 
 def md5_of(*parts: Column | str) -> Column:
@@ -28,24 +29,37 @@ def hash_slices(df: DataFrame, group: str, digest: str) -> DataFrame:
     return df.groupBy(F.col(group), prefix).agg(F.count("*").alias("n"))
 
 
+def _holding(slices: DataFrame, group: str) -> DataFrame:
+    """``(group, name, k, prefix, n)``: for each cut the slice it falls in, how
+    many rows that has, and ``k`` counted from the slice's start."""
+    keys = [group, "name"]
+    running = Window.partitionBy(*keys).orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
+    upto = slices.withColumn("upto", F.sum("n").over(running)).withColumn("rest", F.col("k") - F.col("upto") + F.col("n"))
+    held = upto.where((F.col("k") <= F.col("upto")) & (F.col("rest") > 0))
+    return held.select(*keys, F.col("rest").alias("k"), "prefix", "n")
+
+
 def kth_hash(df: DataFrame, slices: DataFrame, group: str, digest: str, ks: DataFrame) -> DataFrame:
     """``(group, name, cut)``: the ``k``-th smallest digest of each group.
 
     ``ks`` holds ``(group, name, k)``, a few rows per group. The slice counts
-    tell which slice holds each cut, so only about one row in 4,096 is shuffled
-    and ranked.
+    tell which slice holds each cut; slices of more than ``SLICE_ROWS`` rows are
+    counted again by their next hex digits, so that at any size of table only a
+    small one is ranked.
     """
-    running = Window.partitionBy(group).orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
-    holding = (
-        slices.withColumn("upto", F.sum("n").over(running))
-        .join(ks, group)
-        .where((F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("n")))
-    )
+    held = written(_holding(slices.join(ks, group), group), "cuts")
+    length = PREFIX
+    while length < 30 and (held.agg(F.max("n")).first()[0] or 0) > SLICE_ROWS:
+        inside = df.select(group, digest, F.substring(digest, 1, length).alias("prefix"))
+        inside = inside.join(F.broadcast(held.drop("n")), [group, "prefix"])
+        length += PREFIX
+        finer = inside.groupBy(group, "name", "k", F.substring(digest, 1, length).alias("prefix"))
+        held = written(_holding(finer.agg(F.count("*").alias("n")), group), "cuts")
     place = F.row_number().over(Window.partitionBy(group, "name").orderBy(digest))
     return (
-        df.select(group, digest, F.substring(digest, 1, PREFIX).alias("prefix"))
-        .join(F.broadcast(holding), [group, "prefix"])
-        .withColumn("place", place + F.col("upto") - F.col("n"))
+        df.select(group, digest, F.substring(digest, 1, length).alias("prefix"))
+        .join(F.broadcast(held), [group, "prefix"])
+        .withColumn("place", place)
         .where(F.col("place") == F.col("k"))
         .select(group, "name", F.col(digest).alias("cut"))
     )

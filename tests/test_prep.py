@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gistmill.operators import bootstrap as bs
-from gistmill.operators import prep, stats
+from gistmill.operators import order, prep, stats
 from gistmill.operators.order import dense_index
 from gistmill.plans.clean import clean_pairs, split_pairs
 from gistmill.session import new_folder
@@ -48,6 +48,17 @@ def test_exact_split_odd_bins(spark):
     assert {k[1] for k in split_sizes(none)} == {"train"}
 
 
+def test_cuts_in_refined_slices(spark, monkeypatch):
+    monkeypatch.setattr(order, "PREFIX", 1)
+    df = spark.range(900).select(F.lit("b").alias("g"), F.md5(F.col("id").cast("string")).alias("d"))
+    ks = spark.createDataFrame([("b", "x", 100), ("b", "y", 451), ("b", "z", 900), ("b", "none", 901)], "g string, name string, k long")
+    want = sorted(r.d for r in df.collect())
+    for rows in (1, 7, 1000):
+        monkeypatch.setattr(order, "SLICE_ROWS", rows)
+        got = {r.name: r.cut for r in order.kth_hash(df, order.hash_slices(df, "g", "d"), "g", "d", ks).collect()}
+        assert got == {"x": want[99], "y": want[450], "z": want[899]}
+
+
 def test_dense_index_with_a_crowded_range(spark):
     keys = [0, 10**12] + list(range(500, 900)) + [-5]
     df = spark.createDataFrame([(k,) for k in keys], "key long").repartition(5)
