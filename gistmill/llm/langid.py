@@ -172,13 +172,16 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _features_of(idf):
-    @F.arrow_udf("at array<int>, x array<double>")
+    """Slots and values as the bytes of small numbers: the sample comes to the
+    driver and is never spelled out there as Python objects."""
+
+    @F.arrow_udf("at binary, x binary")
     def featured(texts: pa.Array) -> pa.Array:
         pairs = [features(t.as_py(), idf.value) for t in texts]
         return pa.StructArray.from_arrays(
             [
-                pa.array([at.astype(np.int32) for at, _ in pairs], pa.list_(pa.int32())),
-                pa.array([x for _, x in pairs], pa.list_(pa.float64())),
+                pa.array([at.astype("<u2").tobytes() for at, _ in pairs], pa.binary()),
+                pa.array([x.astype("<f4").tobytes() for _, x in pairs], pa.binary()),
             ],
             names=["at", "x"],
         )
@@ -222,7 +225,10 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     made = ranked.select("lang", "r", _features_of(known)("text").alias("f")).select("lang", "r", "f.*")
     sample = sorted(made.collect(), key=lambda r: (r["lang"], r["r"]))
     number = {lang: i for i, lang in enumerate(labels)}
-    data = [(np.array(r["at"], np.int64), np.array(r["x"]), number[r["lang"]]) for r in sample]
+    data = [
+        (np.frombuffer(r["at"], "<u2").astype(np.int32), np.frombuffer(r["x"], "<f4"), number[r["lang"]])
+        for r in sample
+    ]
     held = [d for i, d in enumerate(data) if i % 5 == 0]
     learned = [d for i, d in enumerate(data) if i % 5] or held
     weights, bias = fit_weights(learned, len(labels), settings)
