@@ -15,7 +15,7 @@ SHARDS = 24
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a calibrated probability of 0.5 or more."""
+    """Documents whose language is told with a calibrated probability of 0.3 or more."""
     return langid.accepted(docs)
 
 

@@ -280,7 +280,7 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
     return fit(known.select(F.col("doc_id").alias("key"), "text", "lang"), settings)
 
 
-def accepted(docs: DataFrame, least: float = 0.5, settings: Settings = Settings()) -> DataFrame:
+def accepted(docs: DataFrame, least: float = 0.3, settings: Settings = Settings()) -> DataFrame:
     """``docs`` without rows of no language: no letter, or a score below ``least``."""
     told = identify(docs, learn(docs, settings))
     lang, score = told.columns[-2:]
