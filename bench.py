@@ -14,6 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from checks import all_checks  # noqa: E402
+from gistmill.session import drop_folders  # noqa: E402
 
 HEADLINES = (
     "article_profile",
@@ -68,6 +69,7 @@ def main() -> None:
         start = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        drop_folders(spark)
         print(name, seconds[name], file=sys.stderr, flush=True)
     print(
         json.dumps(

@@ -30,8 +30,21 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="gistmill-")
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def drop_folders(spark: SparkSession) -> None:
+    """Delete what this process has stored in the shared folder. Tables that
+    were built on it can't be read any more."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str = "stage") -> DataFrame:

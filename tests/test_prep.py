@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from gistmill import session
 from gistmill.operators import bootstrap as bs
 from gistmill.operators import order, prep, stats
 from gistmill.operators.order import dense_index
@@ -171,3 +172,11 @@ def test_pipeline(spark):
     row = cleaned.first()
     assert "&amp;" not in row.text and row.passed and row.filter is None
     assert {r.split for r in split_pairs(cleaned, "id").collect()} == {"train"}
+
+
+def test_stored_folders_are_dropped(spark, monkeypatch):
+    monkeypatch.setattr(session, "_made", [])
+    path = session.written(spark.range(3)).inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(path)
+    session.drop_folders(spark)
+    assert not os.path.exists(path) and not session._made
