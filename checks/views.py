@@ -41,7 +41,7 @@ def sql_all(expr: str, pattern: str) -> str:
 
 
 def sql_strip(expr: str) -> str:
-    return rf"regexp_replace({expr}, '^\s+|\s+\z', '', 'g')"
+    return f"regexp_replace({expr}, '{tk.EDGE_SPACE}', '', 'g')"
 
 
 def sql_sentences(expr: str) -> str:

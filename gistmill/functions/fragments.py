@@ -10,7 +10,7 @@ from gistmill.functions import tokens as tk
 from gistmill.functions.rows import let, total
 
 MATCHES = "array<struct<i:int,j:int,len:int>>"
-WHITESPACE_WORD = r"[^\s]+"
+WHITESPACE_WORD = f"[^{tk.SPACE}]+"
 
 
 def side_tokens(text: Column, tokenize: bool = True, case: bool = False) -> Column:

@@ -13,7 +13,12 @@ GAPPED_TOKEN = r"\s*(?:" + TOKEN + ")"
 ALPHA_TAIL = r"\p{L}[\p{L}\p{N}]*"
 NOT_IN_WORD = r"[\s\p{P}]+"
 SENTENCE = r"[^.!?]+[.!?]*\s*"
-EDGE_SPACE = r"^\s+|\s+\z"
+# What counts as white space at the edges of lines and sentences
+# and between plain words, written out since engines differ in their classes.
+SPACE = (
+    r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+EDGE_SPACE = rf"^[{SPACE}]+|[{SPACE}]+\z"
 
 
 def tokens(text: Column, pattern: str = TOKEN) -> Column:

@@ -16,19 +16,23 @@ def embedding_match_score(pred_vecs: Column, ref_vecs: Column) -> Column:
     A zero vector is
     like none: its cosine with any other is 0. NULL when a side has no vectors."""
 
-    def unit(vectors: list[list[float]]) -> np.ndarray:
-        m = np.asarray(vectors, dtype=np.float64)
+    def unit(vectors: pa.ListScalar) -> np.ndarray | None:
+        if not vectors.is_valid or not len(vectors.values):
+            return None
+        # the row's part of the flat buffer, seen as a matrix
+        flat = vectors.values.flatten().to_numpy(zero_copy_only=False)
+        m = flat.astype(np.float64).reshape(len(vectors.values), -1)
         norm = np.linalg.norm(m, axis=1, keepdims=True)
         return m / np.where(norm == 0, 1.0, norm)
 
     @F.arrow_udf(SCORE)
     def scored(preds: pa.Array, refs: pa.Array) -> pa.Array:
         rows = []
-        for p, r in zip(preds.to_pylist(), refs.to_pylist()):
-            if not p or not r:
+        for p, r in zip(map(unit, preds), map(unit, refs)):
+            if p is None or r is None:
                 rows.append(None)
                 continue
-            cosine = unit(p) @ unit(r).T
+            cosine = p @ r.T
             precision = float(cosine.max(axis=1).mean())
             recall = float(cosine.max(axis=0).mean())
             both = precision + recall

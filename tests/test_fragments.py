@@ -72,6 +72,13 @@ def test_case_spans_strings_and_novel_words(spark):
     assert row.strings == ["The Cat"] and row.none == [] and row.novel == ["ran"]
 
 
+def test_words_between_any_white_space(spark):
+    df = spark.createDataFrame([("a\u00a0b\u2003c", "x\u3000a b\u2028c y")], "summary string, text string")
+    row = with_fragments(df, tokenize=False).first()
+    assert row.s_tokens == ["a", "b", "c"] and row.t_tokens == ["x", "a", "b", "c", "y"]
+    assert [tuple(m) for m in row.matches] == [(0, 1, 3)]
+
+
 def test_long_runs_of_one_token():
     start = time.perf_counter()
     assert fr._greedy(["a"] * 100_000, ["a"] * 100_000) == [(0, 0, 100_000)]

@@ -82,6 +82,11 @@ def test_first_failure_wins_and_length_guard_comes_first(texts):
     ]
 
 
+def test_no_text_is_not_too_long(texts):
+    df = describe_filter(texts(None, "ord"), QualityParams(ignore=("detect_language",)))
+    assert {r.filter for r in df.collect()} == {"doc_length"}
+
+
 def test_ignore_names_are_checked():
     with pytest.raises(ValueError, match="no such filter"):
         QualityParams(ignore=("nope",)).active()
@@ -125,8 +130,6 @@ def test_language(spark, texts):
     assert got == [None, "detect_language", "detect_language"]
     with pytest.raises(ValueError, match="profile"):
         describe_filter(df, p)
-    with pytest.raises(ValueError, match="more than"):
-        load_profile(language_profile(spark.createDataFrame(rows, "lang string, text string")), 3)
 
 
 def test_duplicate_part_filters(texts):

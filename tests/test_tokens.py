@@ -38,3 +38,9 @@ def test_truncate_and_lines(texts):
     assert row.l == ["a b c", "", "a"]
     assert row.p == ["a b c", "a"]
     assert row.n == ["a b c", "a"]
+
+
+def test_blank_lines_of_any_white_space(texts):
+    df = texts("a\n\u00a0\n\u3000\u2009\n b\u00a0")
+    row = df.select(tk.non_blank_lines(col()).alias("n"), tk.sentences_of(F.lit("\u00a0x. \u2003")).alias("s")).first()
+    assert row.n == ["a", "b"] and row.s == ["x."]

@@ -61,3 +61,11 @@ def test_embedding_score(spark):
     got = [r.s for r in df.select(embedding_match_score(F.col("p"), F.col("r")).alias("s")).collect()]
     assert math.isclose(got[0]["precision"], 0.5) and math.isclose(got[0]["recall"], 1.0)
     assert math.isclose(got[0]["f1"], 2 / 3) and got[1] is None
+
+
+def test_zero_vectors_match_nothing(spark):
+    rows = [([[0.0, 0.0], [1.0, 0.0]], [[1.0, 0.0]]), ([[0.0, 0.0]], [[0.0, 0.0]]), ([], [[1.0, 0.0]]), (None, [[1.0, 0.0]])]
+    df = spark.createDataFrame(rows, "p array<array<float>>, r array<array<float>>")
+    got = [r.s for r in df.select(embedding_match_score(F.col("p"), F.col("r")).alias("s")).collect()]
+    assert tuple(got[0]) == (0.5, 1.0, 2 * 0.5 / 1.5) and tuple(got[1]) == (0.0, 0.0, 0.0)
+    assert got[2] is None and got[3] is None
