@@ -5,7 +5,10 @@
    of hashes is cut into more parts than that, so some part of both is equal;
    a key is the hash of a set's share of a part. Sets meet only in equal size
    classes (a set near a class's upper end also counts as a guest of the next).
-   No pair within the threshold is lost, and none is emitted: keys are counted
+   No pair within the threshold is lost, and none is emitted. Shingles that a
+   sample shows to be common are left out of the parts, else documents that
+   share a passage would meet for that alone; this too loses no pair (see
+   ``Threshold.keys``). Keys are counted
    with map-side combining, the repeated ones go into a bitmap of fixed size,
    and only rows at repeated keys are shuffled again, as stars around the key's
    smallest set.
@@ -40,6 +43,8 @@ BITMAP_BITS = 27  # 2**27 bits, 16 MB: what is broadcast, at any size of input
 SLOTS = 1 << 20  # most rows of the broadcast that picks texts to read again
 BLOCK = 512
 FAN = 8
+# Shingles in at least SEEN of about SAMPLE texts are common; COMMON at most, 8 MB.
+SAMPLE, SEEN, COMMON = 8_000, 3, 1 << 20
 
 
 class Threshold:
@@ -66,31 +71,55 @@ class Threshold:
     def parts(self, cls: int) -> tuple[int, int]:
         return _parts(self.num, self.den, cls)
 
-    def keys(self, elements: np.ndarray) -> np.ndarray:
-        """Keys of a sorted set. Empty parts have none, unless a set has so many
-        that the other parts might all differ; then it has keys for them too."""
+    def keys(self, elements: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+        """Keys of a sorted set.
+
+        ``common`` are elements, sorted, that say little about likeness. Keys
+        are of the parts of the other elements, in which two linked sets differ
+        no more than as a whole. Empty parts have no key, so a set of which too
+        few parts are left for the pigeonhole principle has keys of all its
+        elements too; two linked sets share a key of the first kind unless both
+        are such sets.
+        """
         n = len(elements)
+        rare = elements
+        if common is not None and len(common) and n:
+            at = np.minimum(np.searchsorted(common, elements), len(common) - 1)
+            rare = elements[common[at] != elements]
         if not n:
             return np.zeros(0, np.uint64)
         classes, out = [self.size_class(n)], []
         while self.den * n >= self.num * math.floor(CLASS_GROWTH ** (classes[-1] + 1)):
             classes.append(classes[-1] + 1)
-        spread = mix(elements)
         for c in classes:
             m, d = self.parts(c)
-            # elements are sorted, so a part is a run of them
-            part = ((elements >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            first = np.flatnonzero(np.diff(part, prepend=np.uint64(m + 1)))
-            used = part[first]
-            key = np.add.reduceat(spread, first)
-            seed = np.uint64((c + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            if len(used) <= d:
+            used, key = _part_keys(rare, m, 2 * c)
+            out.append(key)
+            if len(used) > d:
+                continue
+            used, key = _part_keys(elements, m, 2 * c + 1)
+            out.append(key)
+            if len(used) <= d:  # equal empty parts may be all that is equal
                 empty = np.setdiff1d(np.arange(m, dtype=np.uint64), used)
-                used, key = np.concatenate([used, empty]), np.concatenate([key, np.zeros(len(empty), np.uint64)])
-            out.append(mix(key + mix(used * np.uint64(2) + seed)))
+                out.append(mix(empty * np.uint64(2) + _seed(2 * c + 1)))
         return np.concatenate(out)
 
 
+def _seed(kind: int) -> np.uint64:
+    return np.uint64((kind + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+
+
+def _part_keys(elements: np.ndarray, m: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and keys of the parts that are not empty. Elements are sorted, so
+    a part is a run of them."""
+    if not len(elements):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    part = ((elements >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+    first = np.flatnonzero(np.diff(part, prepend=np.uint64(m + 1)))
+    used = part[first]
+    return used, mix(np.add.reduceat(mix(elements), first) + mix(used * np.uint64(2) + _seed(kind)))
+
+
 @cache
 def _parts(num: int, den: int, cls: int) -> tuple[int, int]:
     """Parts of a class and the differences that two of its sets can have.
@@ -98,7 +127,7 @@ def _parts(num: int, den: int, cls: int) -> tuple[int, int]:
     Beyond one more part than differences there are as many as are likely to be
     empty, since equal empty parts say nothing.
     """
-    lowest = max(1, math.ceil(CLASS_GROWTH**cls * num / den - 1e-6))
+    lowest = max(1, math.ceil(0.9 * CLASS_GROWTH**cls * num / den - 1e-6))
     d = Threshold(num, den).apart(2 * math.ceil(CLASS_GROWTH ** (cls + 1)))
     m = d + 1
     for _ in range(4):
@@ -207,10 +236,24 @@ def tree_links(xs: list[np.ndarray], ys: list[np.ndarray] | None, t: Threshold)
 # --- the join on Spark --------------------------------------------------------
 
 
-def _key_udf(t: Threshold, words: int):
+def _common(base: DataFrame, words: int) -> np.ndarray:
+    """Shingles in several texts of a bounded sample: those of lines and
+    passages that many texts share. They steer which sets are compared, never
+    which are linked. At most ``COMMON`` of them reach the driver."""
+    n = base.count()
+    text_key = F.xxhash64("text")
+    place = F.shiftrightunsigned(text_key, 11).cast("double") / float(1 << 53)
+    sample = base.where(place < min(1.0, SAMPLE / max(n, 1))).select("text", text_key.alias("k"))
+    sets = sample.dropDuplicates(["k"]).select(F.explode(_set_udf(words)("text")).alias("key"))
+    seen = sets.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
+    rows = seen.orderBy(F.desc("n"), "key").limit(COMMON).select("key").toPandas()["key"]
+    return np.sort(rows.to_numpy(np.int64).view(np.uint64))
+
+
+def _key_udf(t: Threshold, words: int, common):
     @F.arrow_udf("array<bigint>")
     def keys(texts: pa.Array) -> pa.Array:
-        return _lists([t.keys(s) for s in shingle_sets(texts, white_space_words(), words)])
+        return _lists([t.keys(s, common.value) for s in shingle_sets(texts, white_space_words(), words)])
 
     return keys
 
@@ -221,7 +264,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
 
 
-def _sketch_udf(t: Threshold, words: int, repeated):
+def _sketch_udf(t: Threshold, words: int, repeated, common):
     """Size and identity of a set, and those of its keys that are repeated."""
 
     @F.arrow_udf("n bigint, node bigint, keys array<bigint>")
@@ -229,7 +272,7 @@ def _sketch_udf(t: Threshold, words: int, repeated):
         bits = repeated.value
         sizes, nodes, kept = [], [], []
         for s in shingle_sets(texts, white_space_words(), words):
-            key = t.keys(s)
+            key = t.keys(s, common.value)
             kept.append(key[in_bitmap(bits, key)])
             sizes.append(len(s))
             nodes.append(mix(np.add.reduce(mix(s), keepdims=True) + np.uint64(len(s)))[0])
@@ -329,11 +372,12 @@ def ngram_groups(
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     base = base.withColumn("row_key", F.xxhash64("doc_id", "text"))
 
-    keys = base.select(F.explode(_key_udf(t, words)("text")).alias("key"))
+    common = spark.sparkContext.broadcast(_common(base, words))
+    keys = base.select(F.explode(_key_udf(t, words, common)("text")).alias("key"))
     repeated = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     bits = spark.sparkContext.broadcast(bitmap(repeated.select("key"), BITMAP_BITS))
 
-    sketched = base.withColumn("s", _sketch_udf(t, words, bits)("text"))
+    sketched = base.withColumn("s", _sketch_udf(t, words, bits, common)("text"))
     sketched = written(sketched.select("doc_id", "row_key", "s.*"), "sketches")
 
     at_key = sketched.select("node", F.explode("keys").alias("key")).distinct()

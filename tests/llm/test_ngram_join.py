@@ -97,6 +97,10 @@ def test_linked_sets_share_a_key():
                 b = np.unique(np.concatenate([kept, r.integers(0, 2**63, gone - gone // 2, np.uint64)]))
                 if t.linked(a, b):
                     assert np.isin(t.keys(a), t.keys(b)).any()
+                    share = r.random()  # any elements may be common
+                    both = np.union1d(a, b)
+                    common = both[r.random(len(both)) < share]
+                    assert np.isin(t.keys(a, common), t.keys(b, common)).any()
 
 
 def test_trees_find_all_links():
