@@ -251,17 +251,20 @@ def _common(base: DataFrame, words: int) -> np.ndarray:
 
 
 def _key_udf(t: Threshold, words: int, common):
-    @F.arrow_udf("array<bigint>")
+    """The lower half of each key: enough to see which may be repeated."""
+
+    @F.arrow_udf("array<int>")
     def keys(texts: pa.Array) -> pa.Array:
-        return _lists([t.keys(s, common.value) for s in shingle_sets(texts, white_space_words(), words)])
+        rows = [t.keys(s, common.value) for s in shingle_sets(texts, white_space_words(), words)]
+        return _lists([r.astype(np.uint32).view(np.int32) for r in rows], np.int32)
 
     return keys
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
+def _lists(rows: list[np.ndarray], kind=np.int64) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    flat = as_long(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
+    flat = np.concatenate(rows).view(kind) if rows else np.zeros(0, kind)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
 def _sketch_udf(t: Threshold, words: int, repeated, common):
@@ -292,17 +295,18 @@ def _set_udf(words: int):
     return elements
 
 
-def _units(members: DataFrame) -> DataFrame:
-    """Deal each candidate group into blocks, and pair the blocks.
-
-    A unit is two blocks of a group, or one with itself; a set goes to as many
-    units as its group has blocks.
-    """
-    blocks = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+def _blocks(chosen: DataFrame) -> DataFrame:
+    """Deal each candidate group into blocks."""
+    blocks = chosen.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.join(blocks, "root").withColumn("block", own)
+    return chosen.join(blocks, "root").withColumn("block", own)
+
+
+def _units(members: DataFrame) -> DataFrame:
+    """Pair the blocks of a group: a unit is two of them, or one with itself. A
+    set goes to as many units as its group has blocks."""
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return dealt.select("root", "block", other, "node", "elements").select(
+    return members.select("root", "block", other, "node", "elements").select(
         "root",
         F.least("block", "other").alias("low"),
         F.greatest("block", "other").alias("high"),
@@ -375,25 +379,26 @@ def ngram_groups(
     common = spark.sparkContext.broadcast(_common(base, words))
     keys = base.select(F.explode(_key_udf(t, words, common)("text")).alias("key"))
     repeated = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    bits = spark.sparkContext.broadcast(bitmap(repeated.select("key"), BITMAP_BITS))
+    bits = spark.sparkContext.broadcast(bitmap(repeated.select(F.col("key").cast("bigint")), BITMAP_BITS))
 
     sketched = base.withColumn("s", _sketch_udf(t, words, bits, common)("text"))
     sketched = written(sketched.select("doc_id", "row_key", "s.*"), "sketches")
 
-    at_key = sketched.select("node", F.explode("keys").alias("key")).distinct()
+    own = sketched.where(F.size("keys") > 0).select("node", "keys").dropDuplicates(["node"])
+    at_key = written(own.select("node", F.explode("keys").alias("key")), "keys")
     stars = at_key.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
     edges = at_key.join(stars, "key").where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     groups = written(components(edges.distinct()), "candidates")
 
     # one row of each candidate set, whose text is read again
     one = sketched.where("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key"))
-    chosen = written(groups.join(one, "node"), "chosen")
+    chosen = written(_blocks(groups.join(one, "node")), "chosen")
     slot = F.pmod(F.col("row_key"), F.lit(SLOTS)).cast("int")
     slots = F.broadcast(chosen.select(slot.alias("slot")).distinct())  # at most SLOTS rows
     again = base.withColumn("slot", slot).join(slots, "slot", "left_semi").select("row_key", "text")
     sets = again.withColumn("elements", _set_udf(words)("text")).select("row_key", "elements")
-    members = chosen.join(sets, "row_key").select("root", "node", "elements").dropDuplicates(["node"])
-    members = written(members, "sets")
+    # wholly equal rows have one key, by which the join has dealt and sorted them
+    members = chosen.join(sets, "row_key").dropDuplicates(["row_key"])
     units = _units(members).repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
     links = written(units.mapInArrow(_unit_links(t), "u bigint, v bigint"), "found")
 
