@@ -2,8 +2,9 @@
 
 A line goes down a tree of fixed depth: its number of tokens, then its leading
 tokens, those with a digit as ``<*>``. In the leaf it joins the template with
-which it has most tokens in common, if those are enough, and positions that
-differ become variable; else it starts a template. Lines of templates that
+which it has most positions in common, variable ones too, if those are enough
+and a word is among them, and positions that differ become variable; else it
+starts a template. Lines of templates that
 recur in many documents are dropped from all of them.
 
 Equal lines (after masking) are counted before anything is gathered, with
@@ -68,7 +69,9 @@ class Leaf:
         """Name of the template that the line joins, or its own."""
         own = np.array([self.numbers.setdefault(t, len(self.numbers)) for t in tokens])
         if self.rows is not None:
-            same = ((self.rows[: len(self.names)] == own) & (own != 0)).sum(1)
+            equal = self.rows[: len(self.names)] == own
+            # variable on both sides is equal, but some word must be shared
+            same = np.where((equal & (own != 0)).any(1), equal.sum(1), 0)
             best = int(same.argmax())
             if same[best] >= self.similar * len(own):
                 self.rows[best][self.rows[best] != own] = 0

@@ -94,3 +94,11 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "one line")] * 12 + [(2, "one line")], "doc_id long, text string")
     assert without_recurring_lines(docs, min_docs=3).agg(F.sum("n_dropped")).first()[0] == 0
     assert without_recurring_lines(docs.limit(0)).count() == 0
+
+
+def test_lines_of_which_half_is_masked(spark):
+    names = ["ann", "bob", "eve", "kim", "joe", "sue"]
+    rows = [(i, f"2024-01-0{i + 1} 12:0{i} 10.0.0.{i} GET page {w} took {i}ms") for i, w in enumerate(names)]
+    rows += [(20 + i, f"1 2 3 4 5 {w}") for i, w in enumerate(names)]  # share no word
+    got = run(spark, rows, min_docs=6)
+    assert [got[x]["kept_text"] for x in rows] == [""] * 6 + [t for _, t in rows[6:]]
