@@ -1,20 +1,21 @@
 """Line dedup by a log-template tree.
 
 A line goes down a tree of fixed depth: its number of tokens, then its leading
-tokens, those with a digit as ``<*>``. In the leaf it joins the template with
-which it has most positions in common, variable ones too, if those are enough
-and a word is among them, and positions that differ become variable; else it
-starts a template. Lines of templates that
-recur in many documents are dropped from all of them.
+tokens, those with a digit as ``<*>``. Two lines of a leaf agree if enough
+positions are equal, variable ones too, and a word is among them.
+Lines that are linked by such pairs are one template, whatever the order and
+number of the leaf's lines. Lines of templates that recur in many documents are
+dropped from all of them.
 
 Equal lines (after masking) are counted before anything is gathered, with
 map-side combining. Only leaves that hold several different lines, and enough
-documents, need the lines' text. A leaf of many lines is first parsed in parts
-of bounded size, then the parts' templates among each other.
+documents, need the lines' text. No task holds more than two blocks of bounded
+size; links between blocks become templates as connected components.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from gistmill.llm.bits import bitmap, in_bitmap
-from gistmill.llm.graph import unused_name
+from gistmill.llm.graph import components, unused_name
 from gistmill.session import written
 
 DEPTH = 3
 SIMILAR = 0.7
 MIN_DOCS = 10
-PART = 2048
+PART = 2048  # lines of a leaf that are compared at once
+WORDS = 1 << 22  # and their tokens
+PIVOTS = 64
 LEAF_BITS = 24
 VARIABLE = "<*>"
 _DIGIT = re.compile(r"\d")
@@ -60,33 +63,34 @@ def line_of(tokens: list[str]) -> int:
 
 
 class Leaf:
-    """The templates of a leaf, tokens as numbers, 0 for a variable one."""
+    """Lines of a leaf, tokens as numbers, 0 for a variable one, and the groups
+    that their links make: a line is linked with all that agree with it."""
 
     def __init__(self, similar: float):
-        self.similar, self.numbers, self.rows, self.names = similar, {VARIABLE: 0}, None, []
+        self.similar, self.numbers, self.rows = similar, {VARIABLE: 0}, None
+        self.names, self.group, self.links = [], None, []
 
     def add(self, tokens: list[str], name: int) -> int:
-        """Name of the template that the line joins, or its own."""
-        own = np.array([self.numbers.setdefault(t, len(self.numbers)) for t in tokens])
-        if self.rows is not None:
-            equal = self.rows[: len(self.names)] == own
-            # variable on both sides is equal, but some word must be shared
-            same = np.where((equal & (own != 0)).any(1), equal.sum(1), 0)
-            best = int(same.argmax())
-            if same[best] >= self.similar * len(own):
-                self.rows[best][self.rows[best] != own] = 0
-                return self.names[best]
+        """Name of the first line of the group that the line joins, or its own.
+        ``links`` gets what ties it to each group it meets."""
+        own, n = np.array([self.numbers.setdefault(t, len(self.numbers)) for t in tokens], np.int32), len(self.names)
         if self.rows is None:
-            self.rows = np.zeros((4, len(own)), np.int64)
-        if len(self.names) == len(self.rows):
+            self.rows, self.group = np.zeros((4, len(own)), np.int32), np.zeros(4, np.int64)
+        elif n == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[len(self.names)] = own
+            self.group = np.concatenate([self.group, np.zeros_like(self.group)])
+        equal, label = self.rows[:n] == own, n
+        # variable on both sides is equal, but some word must be shared
+        hits = np.flatnonzero((equal.sum(1) >= self.similar * len(own)) & (equal & (own != 0)).any(1))
+        if len(hits):
+            met, first = np.unique(self.group[hits], return_index=True)
+            label = int(met[0])
+            self.links += [(name, self.names[i]) for i in hits[first].tolist()]
+            if len(met) > 1:
+                self.group[:n][np.isin(self.group[:n], met)] = label
+        self.rows[n], self.group[n] = own, label
         self.names.append(name)
-        return name
-
-    def templates(self) -> list[tuple[int, list[str]]]:
-        words = list(self.numbers)
-        return [(n, [words[i] for i in row]) for n, row in zip(self.names, self.rows, strict=False)]
+        return self.names[label]
 
 
 def _parsed(depth: int):
@@ -132,37 +136,98 @@ def _lines_in(bits, depth: int):
     return lines
 
 
-def _group(lines: DataFrame, similar: float, key: list[str]) -> DataFrame:
-    """``(leaf, line, template, words)`` for ``(leaf, line, words)`` and the
-    columns of ``key``, a leaf or a part of one at a time; ``words`` is the
-    template on its first line's row, else null."""
+def _bands(depth: int, similar: float):
+    """Hashes of runs of a line's tokens past the leading ones, one run more
+    than tokens may differ: lines that agree have one of them in common."""
+
+    @F.arrow_udf("array<bigint>")
+    def bands(lines: pa.Array) -> pa.Array:
+        rows = []
+        for line in lines:
+            tokens = line.as_py().split(" ")
+            n = len(tokens)
+            left, many = max(n - depth, 0), n - math.ceil(similar * n) + 1
+            # where all that is left may differ, the leaf is the only run
+            cuts = [depth + left * i // many for i in range(many + 1)] if many <= left else [n, n]
+            runs = zip(cuts[:-1], cuts[1:], strict=True)
+            rows.append([line_of([str(i), *tokens[a:b]]) for i, (a, b) in enumerate(runs)])
+        return pa.array(rows, pa.list_(pa.int64()))
+
+    return bands
+
+
+def _linked(lines: DataFrame, similar: float, key: list[str]) -> DataFrame:
+    """Links ``(u, v)`` that tie together the lines ``(line, words)`` which agree
+    among those with equal columns of ``key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaf, rows = None, None, []
+        at, leaf = None, Leaf(similar)
 
         def close():
-            words = {n: " ".join(t) for n, t in leaf.templates()} if leaf else {}
-            lists = list(zip(*[(a, b, c, words.get(b)) for a, b, c in rows], strict=True)) or [[]] * 4
-            kinds = [pa.int64()] * 3 + [pa.string()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(lists, kinds, strict=True)], names=["leaf", "line", "template", "words"]
-            )
+            u, v = zip(*leaf.links, strict=True) if leaf.links else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         for batch in batches:
             parts = zip(*[batch.column(c).to_pylist() for c in key], strict=True)
-            for here, own, line, text in zip(
-                parts, *[batch.column(c).to_pylist() for c in ("leaf", "line", "words")], strict=True
-            ):
+            for here, line, text in zip(parts, *[batch.column(c).to_pylist() for c in ("line", "words")], strict=True):
                 if here != at:
-                    if rows:
-                        yield close()
-                    at, leaf, rows = here, Leaf(similar), []
-                rows.append((own, line, leaf.add(text.split(" "), line)))
-        if rows:
-            yield close()
+                    yield close()
+                    at, leaf = here, Leaf(similar)
+                leaf.add(text.split(" "), line)
+        yield close()
+
+    dealt = lines.select(*key, "line", "words").repartition(*key).sortWithinPartitions(*key, "line")
+    return dealt.mapInArrow(run, "u bigint, v bigint")
+
 
-    dealt = lines.repartition(*key).sortWithinPartitions(*key, "line")
-    return dealt.mapInArrow(run, "leaf bigint, line bigint, template bigint, words string")
+def _links(texts: DataFrame, depth: int, similar: float) -> DataFrame:
+    """Links that tie together all lines ``(leaf, line, words, kinds)`` of a leaf
+    which agree, whatever else the leaf holds.
+
+    A task compares at most twice ``room`` lines and some pivots. A leaf of more is taken apart
+    by the bands of its lines, and a band of more is dealt into blocks: each
+    with some pivots of the whole band, which ties most groups together, then
+    pairs of blocks that hold lines of different groups.
+    """
+    room = F.greatest(F.lit(1), F.least(F.lit(PART), F.floor(F.lit(WORDS) / F.size(F.split("words", " ")))))
+    texts = texts.withColumn("room", room.cast("bigint"))
+    links = _linked(texts.where("kinds <= room"), similar, ["leaf"])
+    wide = texts.where("kinds > room")
+    if wide.isEmpty():
+        return written(links, "links")
+    keys = written(wide.select("leaf", "room", "line", F.explode(_bands(depth, similar)("words")).alias("band")), "bands")
+    sizes = keys.groupBy("leaf", "band").agg(F.count("*").alias("size"), F.max("room").alias("most"))
+    sizes = written(sizes.where("size > 1").withColumn("blocks", F.ceil(F.col("size") / F.col("most"))), "sizes")
+    met = keys.drop("room").join(sizes, ["leaf", "band"])
+    met = met.withColumn("part", F.pmod(F.xxhash64("line"), F.col("blocks")))
+    low = F.shiftrightunsigned(F.xxhash64("line", F.lit(1)), 11).cast("double") / float(1 << 53) < PIVOTS / F.col("size")
+    every = F.when(low & (F.col("blocks") > 1), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    met = met.withColumn("part", F.explode(F.coalesce(every, F.array("part"))))
+    met = met.select("leaf", "band", "part", "line").join(wide.select("line", "words"), "line")
+    links = written(links.unionByName(_linked(met, similar, ["leaf", "band", "part"])), "links")
+
+    hot = keys.drop("room").join(sizes.where("blocks > 1"), ["leaf", "band"])
+    if hot.isEmpty():
+        return links
+    roots = components(links).withColumnRenamed("node", "line")
+    hot = hot.join(roots, "line", "left").withColumn("root", F.coalesce("root", "line"))
+    own = hot.groupBy("leaf", "band", "root").agg(F.count("*").alias("own"))
+    hot = hot.join(own, ["leaf", "band", "root"])
+    # a group of many lines has blocks of its own, the others share some
+    alone = F.col("own") > F.col("most")
+    part = F.when(alone, F.pmod(F.xxhash64("line"), F.ceil(F.col("own") / F.col("most"))))
+    shared = F.pmod(F.xxhash64("root"), F.ceil(F.col("size") / F.col("most")))
+    hot = hot.withColumn("single", F.when(alone, F.col("root")))
+    hot = hot.withColumn("block", F.struct("single", F.coalesce(part, shared).alias("part")))
+    hot = written(hot.select("leaf", "band", "line", "single", "block"), "blocks")
+    blocks = hot.select("leaf", "band", "single", "block").distinct()
+    one, two = (blocks.withColumnsRenamed({"single": f"single_{x}", "block": f"block_{x}"}) for x in "ab")
+    pairs = one.join(two, ["leaf", "band"]).where("block_a <= block_b and not (single_a <=> single_b and single_a is not null)")
+    pairs = pairs.select("leaf", "band", F.struct("block_a", "block_b").alias("pair"), F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+    pairs = pairs.withColumn("pair", F.to_json("pair"))
+    met = hot.select("leaf", "band", "line", "block").join(pairs, ["leaf", "band", "block"])
+    met = met.select("leaf", "band", "pair", "line").join(wide.select("line", "words"), "line")
+    return written(links.unionByName(_linked(met, similar, ["leaf", "band", "pair"])), "links")
 
 
 def line_templates(
@@ -183,16 +248,12 @@ def line_templates(
     bits = spark.sparkContext.broadcast(bitmap(leaves.select("leaf"), LEAF_BITS))
     told = docs.select(F.explode(_lines_in(bits, depth)(F.col(text_col))).alias("l")).select("l.*")
     texts = told.groupBy("leaf", "line").agg(F.min("words").alias("words")).join(leaves, "leaf")
-    part = F.pmod(F.xxhash64("line"), F.ceil(F.col("kinds") / PART))
-    texts = texts.withColumn("part", part)
-    parts = written(_group(texts.select("leaf", "part", "line", "words"), similar, ["leaf", "part"]), "parts")
-    merged = written(_group(parts.where("words is not null").select("leaf", "line", "words"), similar, ["leaf"]), "merged")
-    final = merged.select("leaf", F.col("line").alias("template"), F.col("template").alias("final"))
-    named = parts.join(final, ["leaf", "template"]).select("leaf", "line", F.col("final").alias("template"))
-    named = written(named, "named")
-
-    # alone in their leaf: the line is the template
-    alone = counts.join(leaves.select("leaf"), "leaf", "left_anti").where(F.col("n") >= min_docs)
+    texts = written(texts.select("leaf", "line", "words", "kinds"), "texts")
+    named = components(_links(texts, depth, similar)).select(F.col("node").alias("line"), F.col("root").alias("template"))
+    named = written(counts.select("leaf", "line").join(named, "line").select("leaf", "line", "template"), "named")
+
+    # linked with no other: the line is the template
+    alone = counts.where(F.col("n") >= min_docs).join(named, ["leaf", "line"], "left_anti")
     alone = alone.select("leaf", "line", F.col("line").alias("template"), F.col("n").alias("docs"))
     held = lines.where("first").join(named, ["leaf", "line"]).select("leaf", "template", "row_key").distinct()
     many = held.groupBy("leaf", "template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)

@@ -102,3 +102,33 @@ def test_lines_of_which_half_is_masked(spark):
     rows += [(20 + i, f"1 2 3 4 5 {w}") for i, w in enumerate(names)]  # share no word
     got = run(spark, rows, min_docs=6)
     assert [got[x]["kept_text"] for x in rows] == [""] * 6 + [t for _, t in rows[6:]]
+
+
+def groups_by_pairs(texts, similar=lt.SIMILAR, depth=lt.DEPTH):
+    """Every pair of lines compared."""
+    lines = [masked(t) for t in texts]
+    root = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            same = [x for x, y in zip(a, b) if x == y]
+            if len(a) == len(b) and a[:depth] == b[:depth] and len(same) >= similar * len(a) and set(same) - {lt.VARIABLE}:
+                root = [root[j] if x == root[i] else x for x in root]
+    return [{j for j, x in enumerate(root) if x == root[i]} for i in range(len(lines))]
+
+
+def test_groups_do_not_depend_on_blocks(spark, monkeypatch):
+    r = random.Random(13)
+    words = [[f"w{chr(97 + i)}{c}" for c in "abcdefghij"] for i in range(8)]
+    texts = ["1 2 3 " + " ".join(r.choice(w[:3]) for w in words[: r.choice([2, 5, 8])]) for _ in range(120)]
+    texts += ["1 2 3 " + " ".join(r.choice(w) for w in words[:6]) for _ in range(60)] + [f"1 2 3 far {w}" for w in "abcd"]
+    texts = sorted(set(texts))
+    want = groups_by_pairs(texts)
+    sizes = {len(g) for g in want}
+    assert min(sizes) == 1 and max(sizes) > 20
+    want = [t if len(g) < 4 else "" for t, g in zip(texts, want)]
+    rows = list(enumerate(texts))
+    for part, pivots in ((2048, 64), (5, 0)):
+        monkeypatch.setattr(lt, "PART", part)
+        monkeypatch.setattr(lt, "PIVOTS", pivots, raising=False)
+        got = run(spark, rows, min_docs=4)
+        assert [got[x]["kept_text"] for x in rows] == want
