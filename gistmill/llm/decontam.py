@@ -105,38 +105,59 @@ class Items:
 def _find(block):
     @F.arrow_udf("array<struct<item_id:bigint,shared:bigint,of:bigint>>")
     def find(texts: pa.Array) -> pa.Array:
-        items = block.value
-        items.prepare()
+        for items in block.value:
+            items.prepare()
         flags, rows = letter_words(), []
         for a in range(0, len(texts), 256):
             part = texts.slice(a, 256)
-            out, at = shingles(*word_hashes(part, flags), items.size)
-            for i in range(len(part)):
-                own = out[at[i] : at[i + 1]]
-                rows.append(items.found(part[i].as_py(), own) if len(own) else [])
+            words, made = word_hashes(part, flags), [[] for _ in range(len(part))]
+            for items in block.value:
+                out, at = shingles(*words, items.size)
+                for i in range(len(part)):
+                    own = out[at[i] : at[i + 1]]
+                    if len(own):
+                        made[i] += items.found(part[i].as_py(), own)
+            rows += made
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("shared", pa.int64()), ("of", pa.int64())]))
         return pa.array(rows, kind)
 
     return find
 
 
-def item_blocks(benchmark: DataFrame, words: int, num: int, den: int):
+def by_width(ids: list, texts: list[str], words: int, num: int, den: int, inside: bool) -> list[Items]:
+    """Items of a block by the width of their shingles: with ``inside``, an item
+    of fewer than ``words`` words is a single shingle of its own width."""
+    widths = [min(words, len(_WORD.findall(t.encode())) or words) if inside else words for t in texts]
+    made = []
+    for w in sorted({words, *widths}):
+        at = [i for i, x in enumerate(widths) if x == w]
+        made.append(Items([ids[i] for i in at], [texts[i] for i in at], w, num, den))
+    return made
+
+
+def item_blocks(benchmark: DataFrame, words: int, num: int, den: int, inside: bool = False):
     """Broadcasts of items, each of at most ``BLOCK_CHARS`` characters (or one
     item); items come to the driver a block at a time."""
     context, ids, texts, held = benchmark.sparkSession.sparkContext, [], [], 0
     rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     for row in rows.orderBy("item_id", "text").toLocalIterator():
         if ids and held + len(row["text"]) > BLOCK_CHARS:
-            yield context.broadcast(Items(ids, texts, words, num, den))
+            yield context.broadcast(by_width(ids, texts, words, num, den, inside))
             ids, texts, held = [], [], 0
         ids.append(row["item_id"])
         texts.append(row["text"])
         held += len(row["text"])
-    yield context.broadcast(Items(ids, texts, words, num, den))
+    yield context.broadcast(by_width(ids, texts, words, num, den, inside))
 
 
 def contained_items(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", words: int = 5, num: int = 80, den: int = 100
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    words: int = 5,
+    num: int = 80,
+    den: int = 100,
+    inside: bool = False,
 ) -> DataFrame:
     """``docs`` with an array ``found`` (``_found`` where that is taken) of
     ``(item_id, shared, of)``: the items a text contains, and how many of the
@@ -144,12 +165,13 @@ def contained_items(
 
     Words are runs of letters and digits (of any bytes beyond ASCII), A-Z
     lower-cased. A text of fewer than five words is one shingle, equal only to
-    that of a text of the same words; a null or empty text, on either side,
-    matches nothing. Repeated items with one id and text count once. An empty
+    that of a text of the same words; with ``inside`` an item of fewer words is
+    found wherever its words stand in a row. A null or empty text, on either
+    side, matches nothing. Repeated items with one id and text count once. An empty
     benchmark finds nothing, an empty table stays empty.
     """
     name, text = unused_name(docs, "found"), F.coalesce(F.col(text_col), F.lit(""))
-    found = [_find(b)(text) for b in item_blocks(benchmark, words, num, den)]
+    found = [_find(b)(text) for b in item_blocks(benchmark, words, num, den, inside)]
     return docs.withColumn(name, F.concat(*found) if len(found) > 1 else found[0])
 
 

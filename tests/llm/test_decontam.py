@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gistmill.llm import decontam
 from gistmill.llm.decontam import contained_items, decontaminated, hits
 
@@ -76,3 +77,15 @@ def test_empty_tables(spark):
     d, b = tables(spark, docs, items)
     assert decontaminated(d, b.limit(0)).count() == len(docs)
     assert decontaminated(d.limit(0), b).count() == 0 and hits(d, b.where(F.lit(False))).count() == 0
+
+
+def test_short_items_inside_documents(spark, tmp_path):
+    items = [(1, "Who wrote Hamlet?"), (2, "word"), (3, None), (4, "!"), (5, "one two three four five"), (6, "x y")]
+    docs = [(1, "so, who WROTE hamlet and when"), (2, "a Word."), (3, "who wrote it, Hamlet"), (4, "x, y"), (5, "y x"), (6, "wrote hamlet")]
+    docs += [(7, "then one two three four five six"), (8, None), (9, "!"), (10, "who wrote hamlet"), (11, "words")]
+    want = [(1, 1, 1, 1), (2, 2, 1, 1), (4, 6, 1, 1), (7, 5, 1, 1), (10, 1, 1, 1)]
+    d, b = tables(spark, docs, items)
+    assert sorted(map(tuple, hits(d, b, inside=True).collect())) == want
+    b.write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = corpus_pipeline.benchmark_free(spark, d, str(tmp_path))
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == [3, 5, 6, 8, 9, 11]
