@@ -255,21 +255,28 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
 
 
 def top_k(
-    vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding"
+    vectors: DataFrame,
+    is_query: Column,
+    k: int = 10,
+    id_col: str = "vec_id",
+    vec_col: str = "embedding",
+    one_an_id: bool = True,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row that ``is_query`` picks
     the ``k`` other rows with the greatest inner product of whole numbers.
 
     Ties go to the smaller id. Rows whose id or vector is null, or whose vector
     is empty or has a component that is null or not finite, take no part. Rows
-    with one id are one: that with the greatest vector. A vector that is shorter
+    with one id are one: that with the greatest vector; without ``one_an_id`` all
+    of them are candidates and queries, but for each other. A vector that is shorter
     than another has zeros for what it lacks. Scores must fit a long. Other
     columns are not read; an empty table gives an empty one.
     """
     vec = whole_numbers(F.col(vec_col))
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), vec.alias("vec"), is_query.alias("asks"))
     rows = rows.where("vec_id is not null and vec is not null")
-    rows = rows.groupBy("vec_id").agg(F.max(F.struct("vec", "asks")).alias("r")).select("vec_id", "r.*")
+    if one_an_id:
+        rows = rows.groupBy("vec_id").agg(F.max(F.struct("vec", "asks")).alias("r")).select("vec_id", "r.*")
     rows = written(rows, "vectors")
     picked = rows.orderBy(F.xxhash64("vec_id")).limit(PIVOTS).select("vec").collect()
     pivots = _matrix([np.array(r["vec"]) for r in picked], max([len(r["vec"]) for r in picked], default=1))

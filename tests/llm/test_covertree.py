@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gistmill.llm import covertree
 from gistmill.llm.covertree import CoverTree, Search, top_k
+from gistmill.llm.queries import QUERIES
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -82,3 +83,18 @@ def test_pairs_of_nodes_are_passed_over():
     assert sum(leaves) < 1000  # of 2,000 rows
     want = np.sort(data[:1] @ data[1:].T)[0][::-1][:10]
     assert (search.scores[0] == want).all()
+
+
+def test_every_vector_of_an_id(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(covertree, "DATA_BLOCK", 20)
+    monkeypatch.setattr(covertree, "QUERY_BLOCK", 4)
+    r = random.Random(10)
+    rows = [(i % 130, [r.gauss(0, 1) for _ in range(4)]) for i in range(300)] + [(100, [9.0] * 4)] * 3 + [(7, [8.0] * 4)] * 2
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "embeddings.parquet"))
+    ints = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows]
+    want = []
+    for q in (0, 100):  # as the SQL says: the rows of an id rank their pairs together
+        pairs = [(-sum(a * b for a, b in zip(v, w)), p) for i, v in ints if i == q for p, w in ints if p != q]
+        want += [(q, n, p, -s) for n, (s, p) in enumerate(sorted(pairs)[:10], 1)]
+    got = QUERIES["op6_cover_tree_topk"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == want
