@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.llm import chat, covertree, decontam, langid, line_templates, mixing, ngram_join, sharding, tokens, warc
+from gistmill.llm import (
+    chat,
+    covertree,
+    decontam,
+    fim,
+    langid,
+    line_templates,
+    mixing,
+    ngram_join,
+    sharding,
+    tokens,
+    warc,
+)
 from gistmill.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +241,36 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = line_templates.without_recurring_lines(docs)
     return found.select("doc_id", "n_lines", "n_dropped", "kept_text")
+
+
+@_query(
+    "op12_fill_in_middle",
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+                      sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    k AS (SELECT *, list_transform(range(4), lambda i: ('0x' || substr(h, 1 + 8 * i, 8))::BIGINT) AS h4 FROM d),
+    c AS (SELECT *, least(h4[1] % (n + 1), h4[2] % (n + 1)) AS a, greatest(h4[1] % (n + 1), h4[2] % (n + 1)) AS b,
+                 CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                           OR h4[3] % 100 >= 90 THEN 'plain'
+                      WHEN h4[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+    p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1, n - b) AS suf
+          FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                            ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM p""",
+)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )
