@@ -19,6 +19,7 @@ from gistmill.llm import (
     sharding,
     tokens,
     warc,
+    whitening,
 )
 from gistmill.session import new_folder
 
@@ -274,3 +275,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
         F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
     )
+
+
+@_query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eigenvectors have no SQL form; ``tests/llm`` compares with a dense solver."""
+    done = whitening.whiten(_table(spark, sf_dir, "embeddings"), factor=256, components=4)
+    return done.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").try_cast("bigint"))
