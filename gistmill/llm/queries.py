@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistmill.llm import (
+    bloom_lm,
     chat,
     covertree,
     decontam,
@@ -282,3 +283,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eigenvectors have no SQL form; ``tests/llm`` compares with a dense solver."""
     done = whitening.whiten(_table(spark, sf_dir, "embeddings"), factor=256, components=4)
     return done.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+@_query("op13_lm_scores")
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes of a Bloom filter have no SQL form; ``tests/llm`` recomputes counts,
+    levels and probabilities by hand."""
+    docs = _table(spark, sf_dir, "documents")
+    held = bloom_lm.is_held_out(F.col("doc_id"))
+    scored = bloom_lm.score(docs, bloom_lm.learn(docs.where(~held)))
+    return scored.withColumn("held_out", held)
