@@ -121,7 +121,7 @@ def test_empty_tables(spark, broadcast):
 
 def test_learned_order_scores_higher(spark):
     docs = table(spark, [(i, "one two three four") for i in range(50)])
-    model = bloom_lm.learn(docs)
+    model = bloom_lm.learn(docs, settings=Settings(mu=4.0))
     found = bloom_lm.score(table(spark, [(1, "one two three four"), (2, "four three two one")]), model).collect()
     right, wrong = sorted(found, key=lambda r: r["doc_id"])
     assert right["score"] > wrong["score"] + 3 and right["base_score"] == pytest.approx(wrong["base_score"])
