@@ -27,6 +27,7 @@ from gistmill.functions.rows import exploded, inlined
 from gistmill.functions.stopwords import ENGLISH
 from gistmill.functions.summaries import DAMPING, LOOKBACK
 from gistmill.operators import bootstrap as bs
+from gistmill.operators import resampling as rs
 from gistmill.operators import evaluate as ev
 from gistmill.operators import summarize as su
 
@@ -400,13 +401,67 @@ def embedding_match_score(spark, sf_dir):
 # --- bootstrap --------------------------------------------------------------
 
 
+TWO_64 = "18446744073709551616::UHUGEINT"
+
+
+def mixed(words: str) -> str:
+    """A list of 64-bit words, each with its bits mixed."""
+    for shift, times in zip((30, 27), rs.MULTIPLY):
+        words = f"list_transform({words}, lambda x: xor(x, x >> {shift}))"
+        words = f"list_transform({words}, lambda x: ((x::UHUGEINT * {times}::UHUGEINT) % {TWO_64})::UBIGINT)"
+    return f"list_transform({words}, lambda x: xor(x, x >> 31))"
+
+
+def word(value: str) -> str:
+    return f"(({value}) % {TWO_64})::UBIGINT"
+
+
+def numbered(key: str, many: str) -> str:
+    """The random words 1 to ``many`` of a key."""
+    step = word(f"{key}::UHUGEINT + k::UHUGEINT * {rs.STEP}::UHUGEINT")
+    return mixed(f"list_transform(range(1, {many} + 1), lambda k: {step})")
+
+
+# Draws fall down a tree of places: in a node, as many go left as bits are set
+# in as many random bits; what ends beyond the last row starts again.
+NODE_KEY = mixed(
+    "[" + word(
+        f"stream::UHUGEINT + lo::UHUGEINT * {rs.LO_STEP}::UHUGEINT + size::UHUGEINT * {rs.SIZE_STEP}::UHUGEINT"
+    ) + "]"
+)
+TO_THE_LEFT = (
+    f"list_sum(list_transform({numbered('key', '(m + 63) // 64')}, "
+    "lambda x, i: bit_count(x >> greatest(64 * i - m, 0)::UBIGINT)))::BIGINT"
+)
+
+
+def places_sql(resamples: int) -> str:
+    """``dr(b, idx)``: the draws, from ``sc(idx, ..)``."""
+    leaf = 1 << rs.LEAF_BITS
+    done = f"(lo + size <= n AND size <= {leaf})"
+    return f"""
+nn AS MATERIALIZED (SELECT count(*) AS n, CASE WHEN count(*) > 1 THEN 1::BIGINT << length(bin(count(*) - 1)) ELSE 1 END
+       AS top FROM sc),
+node AS (
+  SELECT b, {mixed("[" + word(f"(b + 1)::UHUGEINT * {rs.STEP}::UHUGEINT") + "]")}[1] AS stream,
+         0::BIGINT AS lo, top::BIGINT AS size, n::BIGINT AS m FROM nn, range({resamples}) x(b) WHERE n > 0
+  UNION ALL
+  SELECT b, k.stream, k.lo, k.size, k.m FROM (
+    SELECT b, unnest(CASE WHEN lo >= n THEN [{{stream: key, lo: 0::BIGINT, size: top::BIGINT, m: m}}]
+        ELSE [{{stream: stream, lo: lo, size: size // 2, m: went}},
+              {{stream: stream, lo: lo + size // 2, size: size // 2, m: m - went}}] END) AS k
+    FROM (SELECT *, {TO_THE_LEFT} AS went FROM (
+      SELECT node.*, n, top, {NODE_KEY}[1] AS key FROM node, nn WHERE NOT {done}))) WHERE k.m > 0),
+dr AS MATERIALIZED (SELECT b, lo + (w & (size - 1)::UBIGINT)::BIGINT AS idx FROM (
+    SELECT b, lo, size, unnest({numbered("key", "m")}) AS w FROM (
+      SELECT node.*, {NODE_KEY}[1] AS key FROM node, nn WHERE {done})))"""
+
+
 def draws_sql(rows: str, resamples: int) -> str:
     """CTEs up to ``means(b, m)`` from a ``(key, score)`` query."""
     return f"""
 sc AS MATERIALIZED (SELECT row_number() OVER (ORDER BY key) - 1 AS idx, score FROM ({rows})),
-nn AS (SELECT count(*) AS n FROM sc),
-dr AS (SELECT b, ('0x' || substr(md5(b || ':' || k), 1, 15))::BIGINT % n AS idx
-       FROM nn, range({resamples}) x(b), range((SELECT n FROM nn)) y(k)),
+{places_sql(resamples)},
 means AS (SELECT b, avg(score) AS m FROM dr JOIN sc USING (idx) GROUP BY b)"""
 
 
@@ -434,7 +489,7 @@ def char_scores(spark, sf_dir):
 
 @check(
     "bootstrap_mean",
-    f"WITH {draws_sql(CHARS, RESAMPLES)} " + INTERVAL.format(lead="", c="m", of="sc", t="means"),
+    f"WITH RECURSIVE {draws_sql(CHARS, RESAMPLES)} " + INTERVAL.format(lead="", c="m", of="sc", t="means"),
 )
 def bootstrap_mean(spark, sf_dir):
     scores = char_scores(spark, sf_dir)
@@ -446,10 +501,10 @@ POISSON = " + ".join(f"(u >= {p!r}::DOUBLE)::INTEGER" for p in bs.POISSON_1)
 
 @check(
     "bootstrap_poisson",
-    f"""WITH sc AS ({CHARS}),
-dr AS (SELECT b, score, ('0x' || substr(md5(b || ':' || key), 1, 15))::BIGINT / {bs.BITS_60!r}::DOUBLE
-       AS u FROM sc, range({RESAMPLES}) x(b)),
-w AS (SELECT b, score, {POISSON} AS w FROM dr),
+    f"""WITH sc AS (SELECT ('0x' || substr(md5(key::VARCHAR), 1, 15))::BIGINT AS h, score FROM ({CHARS})),
+dr AS (SELECT score, unnest(range({RESAMPLES})) AS b, unnest({numbered("h", str(RESAMPLES))}) AS x FROM sc),
+uu AS (SELECT b, score, (x >> 11)::DOUBLE / 9007199254740992 AS u FROM dr),
+w AS (SELECT b, score, {POISSON} AS w FROM uu),
 means AS (SELECT b, sum(w * score) / sum(w) AS m FROM w GROUP BY b) """
     + INTERVAL.format(lead="", c="m", of="sc", t="means"),
 )
@@ -471,7 +526,7 @@ def sample_percentiles(spark, sf_dir):
 
 
 def report_part(name: str, rows: str) -> str:
-    inner = f"WITH {draws_sql(rows, RESAMPLES)} " + INTERVAL.format(
+    inner = f"WITH RECURSIVE {draws_sql(rows, RESAMPLES)} " + INTERVAL.format(
         lead=f"'{name}' AS metric,", c="m", of="sc", t="means"
     )
     return f"(SELECT * FROM ({inner}))"
@@ -507,15 +562,13 @@ METRICS = (*ev.ROUGE, "density")
 
 @check(
     "evaluation_report",
-    f"""WITH {PAIRS}, {ROUGE_TOKENS}, {rouge_n_sql(1)}, {rouge_n_sql(2)}, {LCS}, {LSUM}, {fragments_sql('pred')},
+    f"""WITH RECURSIVE {PAIRS}, {ROUGE_TOKENS}, {rouge_n_sql(1)}, {rouge_n_sql(2)}, {LCS}, {LSUM}, {fragments_sql('pred')},
 dn AS (SELECT id, coalesce({SQUARES}::DOUBLE / nullif(ns, 0), 0) AS density FROM matched),
 sc AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY id) - 1 AS idx, f1.f AS rouge1, f2.f AS rouge2, fl.f AS "rougeL",
     fs.f AS "rougeLsum", density
   FROM f1 JOIN f2 USING (id) JOIN fl USING (id) JOIN fs USING (id) JOIN dn USING (id)),
-nn AS (SELECT count(*) AS n FROM sc),
-dr AS (SELECT b, ('0x' || substr(md5(b || ':' || k), 1, 15))::BIGINT % n AS idx
-       FROM nn, range({RESAMPLES}) x(b), range((SELECT n FROM nn)) y(k)),
+{places_sql(RESAMPLES)},
 means AS MATERIALIZED (SELECT b, {", ".join(f'avg("{m}") AS "{m}"' for m in METRICS)}
        FROM dr JOIN sc USING (idx) GROUP BY b) """
     + " UNION ALL ".join(

@@ -553,7 +553,7 @@ def blind_answers(spark, sf_dir):
 
 @check(
     "paired_bootstrap",
-    f"""WITH {RATINGS}, {draws_sql('''SELECT example * 6 + list_position(
+    f"""WITH RECURSIVE {RATINGS}, {draws_sql('''SELECT example * 6 + list_position(
   ['a>b', 'a>c', 'a>d', 'b>c', 'b>d', 'c>d'], relation) - 1 AS key,
   (rater1 = rater2)::INTEGER::DOUBLE AS score FROM paired''', 1000)} """
     + INTERVAL.format(lead="", c="m", of="sc", t="means"),

@@ -1,4 +1,8 @@
-"""Bootstrap intervals whose draws can be repeated in any engine."""
+"""Bootstrap intervals whose draws can be repeated in any engine.
+
+Means are resampled without a row per draw (``operators.resampling``); only a
+statistic that is no mean has its draws made and joined.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.operators.order import dense_index, hash_to_long, md5_of
+from gistmill.operators.resampling import drawn_means, poisson_means
 from gistmill.session import written
 
 RESAMPLES = 1000
 LEVEL = 0.95
-BITS_60 = float(1 << 60)
 # Cumulative Poisson(1) probabilities for 0, 1, 2, ... draws.
 POISSON_1 = (
     0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
@@ -61,10 +65,11 @@ def bootstrap_stats(
     """``(metric, low, mid, high, mean)`` for each statistic, an aggregate over
     the columns of ``rows``; ``mean`` is its value over the rows as they are.
 
-    Each resample takes exactly n rows with replacement, whole rows at a time
-    and the same ones for every statistic. The method is the same at any number
-    of rows; it makes n times ``resamples`` draws. No rows give NULLs. ``key``
-    is unique and of any type.
+    For statistics that are no means, such as a median or a correlation: each
+    resample's rows must be there at once, so n times ``resamples`` draws are
+    joined to them. ``bootstrap_means`` needs none of that. Each resample takes
+    exactly n rows with replacement, the same ones for every statistic. No rows
+    give NULLs. ``key`` is unique and of any type.
     """
     rows = written(rows, "scores")
     n = rows.count()
@@ -94,40 +99,41 @@ def bootstrap_mean(
 
     ``draws`` takes exactly n rows with replacement per resample. ``poisson``
     gives each row an independent Poisson(1) weight instead, which needs one
-    scan and no row index: the one to choose for scores beyond some millions.
-    The caller chooses; the number of rows never does.
+    scan and no row index. The caller chooses; the number of rows never does.
     """
     if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}")
     scores = scores.select(key, score).where(F.col(score).isNotNull())
-    if method == "draws":
-        return bootstrap_stats(scores, {score: F.avg(score)}, key, resamples, level).drop("metric")
-    scores = written(scores, "scores")
-    means = _poisson_means(scores, score, key, resamples)
-    plain = scores.agg(F.avg(score).alias("_mean0"))
-    return _intervals(means, plain, ["m"], level).drop("metric")
+    return _mean_intervals(scores, [score], key, resamples, level, method).drop("metric")
 
 
 def bootstrap_means(
-    scores: DataFrame, columns: list[str], key: str, resamples: int = RESAMPLES, level: float = LEVEL
+    scores: DataFrame,
+    columns: list[str],
+    key: str,
+    resamples: int = RESAMPLES,
+    level: float = LEVEL,
+    method: str = "draws",
 ) -> DataFrame:
-    """Intervals of several columns' means from one set of draws; a mean passes
-    over its column's nulls."""
-    return bootstrap_stats(scores.select(key, *columns), {c: F.avg(c) for c in columns}, key, resamples, level)
-
-
-def _poisson_means(scores: DataFrame, score: str, key: str, resamples: int) -> DataFrame:
-    u = hash_to_long(md5_of(F.col("b"), F.col(key))) / F.lit(BITS_60)
-    weight = sum((F.col("_u") >= p).cast("int") for p in POISSON_1)
-    weighted = (
-        scores.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-        .withColumn("_u", u)
-        .withColumn("w", weight)
-        .where(F.col("w") > 0)
-    )
-    return weighted.groupBy("b").agg(
-        (F.sum(F.col("w") * F.col(score)) / F.sum("w")).alias("m")
-    )
+    """Intervals of several columns' means from one set of draws, in one pass; a
+    mean passes over its column's nulls."""
+    if method not in METHODS:
+        raise ValueError(f"method is one of {METHODS}")
+    return _mean_intervals(scores.select(key, *columns), columns, key, resamples, level, method)
+
+
+def _mean_intervals(
+    scores: DataFrame, columns: list[str], key: str, resamples: int, level: float, method: str
+) -> DataFrame:
+    scores = written(scores, "scores")
+    if method == "draws":
+        means = drawn_means(scores, columns, key, resamples)
+    else:
+        means = poisson_means(scores, columns, key, resamples, POISSON_1)
+    named = [f"m{i}" for i in range(len(columns))]
+    plain = scores.agg(*[F.avg(c).alias(f"_mean{i}") for i, c in enumerate(columns)])
+    metric = F.element_at(F.create_map(*[F.lit(x) for m in zip(named, columns) for x in m]), F.col("metric"))
+    return _intervals(means, plain, named, level).withColumn("metric", metric)
 
 
 def sample_percentiles(
@@ -156,8 +162,10 @@ def paired_bootstrap(
     they agree, rows with a null left out.
     """
     both = pairs.select(key, left, right).where(F.col(left).isNotNull() & F.col(right).isNotNull())
-    agree = F.avg((F.col(left) == F.col(right)).cast("double"))
-    return bootstrap_stats(both, {"stat": agree if stat is None else stat}, key, resamples, level).drop("metric")
+    if stat is not None:
+        return bootstrap_stats(both, {"stat": stat}, key, resamples, level).drop("metric")
+    agree = both.select(F.col(key).alias("key"), (F.col(left) == F.col(right)).cast("double").alias("agree"))
+    return bootstrap_means(agree, ["agree"], "key", resamples, level).drop("metric")
 
 
 def metric_report(intervals: dict[str, DataFrame]) -> DataFrame:
