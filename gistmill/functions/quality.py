@@ -111,8 +111,8 @@ def doc_length(words: Column, lo: int, hi: int) -> Column:
     return words.between(lo, hi)
 
 
-def mean_word_length(text: Column, words: Column, lo: float, hi: float) -> Column:
-    return rp.let(F.try_divide(tk.word_chars(text), words), lambda mean: mean.between(lo, hi))
+def mean_word_length(word_chars: Column, words: Column, lo: float, hi: float) -> Column:
+    return F.try_divide(word_chars, words).between(lo, hi)
 
 
 def alpha_ratio(text: Column, words: Column, ratio: float) -> Column:
@@ -169,13 +169,15 @@ def language_passes(ranked: Column, p: QualityParams) -> Column:
     raise ValueError(f"language_mode is 'top' or 'any', not {p.language_mode!r}")
 
 
-def predicate(name: str, p: QualityParams, text: Column, words: Column, lines: Column) -> Column:
+def predicate(
+    name: str, p: QualityParams, text: Column, words: Column, lines: Column, word_chars: Column | None = None
+) -> Column:
     """Pass condition of one filter. A condition that comes out NULL fails."""
     n_chars = F.length(text)
     if name == "doc_length":
         return doc_length(words, *p.doc_length)
     if name == "mean_word_length":
-        return mean_word_length(text, words, *p.mean_word_length)
+        return mean_word_length(tk.word_chars(text) if word_chars is None else word_chars, words, *p.mean_word_length)
     if name == "alpha_ratio":
         return alpha_ratio(text, words, p.alpha_ratio)
     if name == "stop_word":
@@ -193,16 +195,9 @@ def predicate(name: str, p: QualityParams, text: Column, words: Column, lines: C
     if name == "duplicate_paragraph_chr_fraction":
         paragraphs = tk.paragraph_array(text)
         return rp.duplicate_chr_fraction(paragraphs, n_chars) < p.duplicate_paragraph_chr_fraction
-    if name == "top_ngram_chr_fraction":
-        lo, hi = p.top_ngram_range
-        return ~rp.top_ngram_fails(
-            text, n_chars, range(lo, hi + 1), p.top_ngram_thresholds, p.top_ngram_min_count
-        )
-    if name == "duplicate_ngram_chr_fraction":
-        lo, hi = p.duplicate_ngram_range
-        return ~rp.duplicate_ngram_fails(
-            text, n_chars, range(lo, hi + 1), p.duplicate_ngram_thresholds
-        )
+    if name in NGRAM_FILTERS:
+        found = rp.suffix_measures(text, *ngram_sizes(p, [name]))
+        return ngram_predicate(name, p, found, n_chars)
     if name == "short_long_sentece":
         return long_sentences(text, p.long_sentence_chars, p.long_sentence_ratio)
     if name == "string_filter":
@@ -213,16 +208,23 @@ def predicate(name: str, p: QualityParams, text: Column, words: Column, lines: C
 NGRAM_FILTERS = ("top_ngram_chr_fraction", "duplicate_ngram_chr_fraction")
 
 
-def ngram_failure(p: QualityParams, text: Column) -> Column:
-    """Both n-gram filters in one expression: the name that fails, or NULL."""
-    (top_lo, top_hi), (dup_lo, dup_hi) = p.top_ngram_range, p.duplicate_ngram_range
-    return rp.ngram_failure(
-        text,
-        F.length(text),
-        (range(top_lo, top_hi + 1), p.top_ngram_thresholds, p.top_ngram_min_count),
-        (range(dup_lo, dup_hi + 1), p.duplicate_ngram_thresholds),
-        NGRAM_FILTERS,
+def ngram_sizes(p: QualityParams, names: Sequence[str]) -> tuple[list[int], list[int]]:
+    """Sizes that the n-gram filters among ``names`` look at."""
+    ranges = zip(NGRAM_FILTERS, (p.top_ngram_range, p.duplicate_ngram_range))
+    limits = (p.top_ngram_thresholds, p.duplicate_ngram_thresholds)
+    top, duplicate = (
+        list(range(lo, hi + 1))[: len(limit)] if name in names else []
+        for (name, (lo, hi)), limit in zip(ranges, limits)
     )
+    return top, duplicate
+
+
+def ngram_predicate(name: str, p: QualityParams, found: Column, n_chars: Column) -> Column:
+    """Pass condition of an n-gram filter, from what one suffix array tells
+    about all sizes."""
+    if name == NGRAM_FILTERS[0]:
+        return ~rp.top_fails(found, n_chars, p.top_ngram_thresholds, p.top_ngram_min_count)
+    return ~rp.duplicate_fails(found, n_chars, p.duplicate_ngram_thresholds)
 
 
 def duplicate_line_filter(text: Column, fraction: float) -> Column:

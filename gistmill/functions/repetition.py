@@ -1,7 +1,8 @@
 """Repetition inside one document, as expressions over its own row.
 
-A document is one row already, so nothing here groups or shuffles: copies are
-found by sorting the row's own n-grams.
+A document is one row already, so nothing here groups or shuffles: copies of
+lines are found by sorting the row's own, copies of n-grams by the suffix array
+of a batch of rows (``functions.suffixes``).
 """
 
 from __future__ import annotations
@@ -12,11 +13,10 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gistmill.functions import suffixes
 from gistmill.functions import tokens as tk
-from gistmill.functions.rows import let, repeat_positions, run_lengths, total
-
-# What the whitespace class of the token pattern matches.
-SPACES = " \t\n\x0b\f\r"
+from gistmill.functions.rows import let, run_lengths, total
+from gistmill.functions.suffixes import SPACES
 
 
 def duplicate_chr_fraction(parts: Column, n_chars: Column) -> Column:
@@ -42,8 +42,6 @@ class Shingles(NamedTuple):
     gapped: Column  # token with the whitespace in front of it, case kept
     low: Column  # the same, lower-cased
     bare: Column  # lower-cased without that whitespace
-    low_hash: Column
-    bare_hash: Column
 
     def count(self, n: int) -> Column:
         """Number of n-grams; the one ending on the last token never counts."""
@@ -56,189 +54,59 @@ class Shingles(NamedTuple):
             lambda x, i: F.concat(x, *[F.get(self.low, i + k) for k in range(1, n)]),
         )
 
-    def hashes(self, n: int) -> Column:
-        """One long per n-gram. Different hashes mean different n-grams; equal
-        ones prove nothing, so they only decide who needs the exact test."""
-        return F.transform(
-            F.slice(self.bare_hash, F.lit(1), self.count(n)),
-            lambda x, i: F.xxhash64(x, *[F.get(self.low_hash, i + k) for k in range(1, n)]),
-        )
-
 
 def with_shingles(text: Column, body: Callable[[Shingles], Column]) -> Column:
-    hashed = lambda xs: F.transform(xs, lambda x: F.xxhash64(x))
     return let(
         tk.tokens(text, tk.GAPPED_TOKEN),
         lambda gapped: let(
             F.transform(gapped, F.lower),
             lambda low: let(
                 F.transform(low, lambda x: F.ltrim(x, F.lit(SPACES))),
-                lambda bare: let(
-                    hashed(low),
-                    lambda lh: let(
-                        hashed(bare), lambda bh: body(Shingles(gapped, low, bare, lh, bh))
-                    ),
-                ),
+                lambda bare: body(Shingles(gapped, low, bare)),
             ),
         ),
     )
 
 
-def top_ngram(grams: Column) -> Column:
-    """Struct of the most frequent n-gram; the first seen wins a tie."""
-    return F.array_max(
-        F.transform(
-            run_lengths(grams),
-            lambda r: F.struct(
-                r["cnt"].alias("cnt"), (-r["first"]).alias("neg_first"), r["key"].alias("ngram")
-            ),
-        )
+def suffix_measures(text: Column, top: Sequence[int], duplicate: Sequence[int]) -> Column:
+    """What ``suffixes.measures`` finds out about a text; NULL for a NULL one."""
+    gapped = tk.tokens(text, tk.GAPPED_TOKEN)
+    return suffixes.measures(
+        F.transform(gapped, F.lower), F.transform(gapped, lambda x: F.length(x)), top, duplicate
     )
 
 
-def _top_fails(
-    sh: Shingles, n_chars: Column, sizes: Sequence[int], limits: Sequence[float], min_count: int
+def top_fails(
+    found: Column, n_chars: Column, limits: Sequence[float], min_count: int
 ) -> Column:
-    def exact(grams: Column, limit: float) -> Column:
-        return F.coalesce(
-            let(
-                top_ngram(grams),
-                lambda t: (t["cnt"] > min_count)
-                & (F.try_divide(F.length(t["ngram"]) * t["cnt"], n_chars) > limit),
-            ),
-            F.lit(False),
-        )
-
-    def occurs(hashes: Column, times: Column) -> Column:
-        """Does some hash occur that often? Counting copies rules most out."""
-        spare = F.size(hashes) - F.size(F.array_distinct(hashes))
-        again = let(
-            F.sort_array(hashes),
-            lambda s: F.exists(
-                F.transform(s, lambda x, i: x == F.get(s, i + times - 1)), lambda same: same
-            ),
-        )
-        return F.when(spare >= times - 1, again).otherwise(F.lit(False))
-
-    def one(n: int, limit: float, longest: Column) -> Column:
-        enough = F.floor(F.try_divide(n_chars * F.lit(limit), longest * n)).cast("int")
-        possible = let(
-            F.greatest(F.lit(min_count + 1), enough),
-            lambda times: let(sh.hashes(n), lambda h: occurs(h, times)),
-        )
-        return F.when(F.coalesce(possible, F.lit(False)), exact(sh.texts(n), limit)).otherwise(
-            F.lit(False)
-        )
+    """Does the top n-gram of some size occur too often and cover too much?"""
+    verdict = F.lit(False)
+    for i, limit in enumerate(limits):
+        count, chars = (F.get(found[c], F.lit(i)) for c in ("counts", "chars"))
+        too_much = F.coalesce(F.try_divide(chars * count, n_chars) > limit, F.lit(False))
+        verdict = verdict | ((count > min_count) & too_much)
+    return F.coalesce(verdict, F.lit(False))
 
-    def any_size(longest: Column) -> Column:
-        verdict = F.lit(False)
-        for n, limit in zip(sizes, limits):
-            verdict = verdict | one(n, limit, longest)
-        return verdict
 
-    return let(F.array_max(F.transform(sh.low, F.length)), any_size)
+def duplicate_fails(found: Column, n_chars: Column, limits: Sequence[float]) -> Column:
+    """Do repeats of some size cover too much, or is the text empty?"""
+    verdict = n_chars == 0
+    for i, limit in enumerate(limits):
+        verdict = verdict | (F.get(found["duplicates"], F.lit(i)) > n_chars * F.lit(limit))
+    return verdict
 
 
 def top_ngram_fails(
     text: Column, n_chars: Column, sizes: Sequence[int], limits: Sequence[float], min_count: int
 ) -> Column:
-    """True when some size's top n-gram covers too much of the text.
-
-    Only rows where an n-gram occurs often enough to do so, were it as long as
-    the longest there, are counted out in full.
-    """
-    return with_shingles(text, lambda sh: _top_fails(sh, n_chars, sizes, limits, min_count))
-
-
-def covered_chars(gapped: Column, repeats: Column, n: int) -> Column:
-    """Characters under the ``n``-grams starting at ``repeats``, counted once.
-
-    Walks the starts in order and adds only tokens beyond the last one already
-    covered. The whitespace before a token counts when the token in front of
-    it belongs to the same stretch.
-    """
-    start = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("chars"))
-
-    def step(acc: Column, p: Column) -> Column:
-        first = F.greatest(acc["last"] + 1, p)
-        fresh = F.slice(gapped, first + 1, p + F.lit(n) - first)
-        opening = F.get(gapped, p)
-        opening_gap = F.when(
-            p > acc["last"], F.length(opening) - F.length(F.ltrim(opening, F.lit(SPACES)))
-        ).otherwise(0)
-        return F.struct(
-            (p + F.lit(n - 1)).alias("last"),
-            (acc["chars"] + total(F.transform(fresh, F.length)) - opening_gap).alias("chars"),
-        )
-
-    return F.aggregate(repeats, start, step, lambda acc: acc["chars"])
-
-
-def has_repeat(sh: Shingles, n: int) -> Column:
-    return let(sh.hashes(n), lambda h: F.size(F.array_distinct(h)) < F.size(h))
-
-
-def duplicate_ngram_chars(sh: Shingles, n: int) -> Column:
-    """Characters covered by second and later occurrences of ``n``-grams."""
-    return F.when(
-        has_repeat(sh, n), covered_chars(sh.gapped, repeat_positions(sh.texts(n)), n)
-    ).otherwise(F.lit(0).cast("long"))
-
-
-def _duplicate_fails(
-    sh: Shingles, n_chars: Column, sizes: Sequence[int], limits: Sequence[float]
-) -> Column:
-    steps = sorted(zip(sizes, limits))
-
-    def check(k: int) -> Column:
-        if k == len(steps):
-            return F.lit(False)
-        n, limit = steps[k]
-        allowed = n_chars * F.lit(limit)
-        if n == 1:  # single tokens do not cover the gaps that pairs cover
-            chars = covered_chars(sh.gapped, repeat_positions(sh.texts(n)), n)
-            return F.when(chars > allowed, F.lit(True)).otherwise(check(k + 1))
-        allowed_later = n_chars * F.lit(min(t for _, t in steps[k:]))
-        longest = F.array_max(F.transform(sh.gapped, F.length)) * n
-        # At least as many as there are repeats, and none longer than this.
-        at_most = let(sh.hashes(n), lambda h: F.size(h) - F.size(F.array_distinct(h))) * longest
-        exact = let(
-            covered_chars(sh.gapped, repeat_positions(sh.texts(n)), n),
-            lambda c: F.when(c > allowed, F.lit(True))
-            .when(c <= allowed_later, F.lit(False))
-            .otherwise(check(k + 1)),
-        )
-        return F.when(at_most > allowed_later, exact).otherwise(F.lit(False))
-
-    return (n_chars == 0) | check(0)
+    """True when some size's top n-gram covers too much of the text."""
+    sizes, limits = list(sizes)[: len(limits)], list(limits)
+    return top_fails(suffix_measures(text, sizes, []), n_chars, limits[: len(sizes)], min_count)
 
 
 def duplicate_ngram_fails(
     text: Column, n_chars: Column, sizes: Sequence[int], limits: Sequence[float]
 ) -> Column:
-    """True when repeats of some size cover too much, or the text is empty.
-
-    A repeated n-gram lies under repeated shorter ones, so what size n covers
-    bounds what every larger size covers. A row is done as soon as that is
-    within the lowest limit still to come; most rows are done at the first size
-    by counting hashes alone. Size 1 bounds nothing: the blanks between two
-    tokens are covered by pairs only.
-    """
-    return with_shingles(text, lambda sh: _duplicate_fails(sh, n_chars, sizes, limits))
-
-
-def ngram_failure(
-    text: Column,
-    n_chars: Column,
-    top: tuple[Sequence[int], Sequence[float], int],
-    duplicate: tuple[Sequence[int], Sequence[float]],
-    names: tuple[str, str],
-) -> Column:
-    """Name of the n-gram test that fails first, or NULL. Both tests share one
-    set of shingles."""
-    return with_shingles(
-        text,
-        lambda sh: F.when(_top_fails(sh, n_chars, *top), F.lit(names[0])).when(
-            _duplicate_fails(sh, n_chars, *duplicate), F.lit(names[1])
-        ),
-    )
+    """True when repeats of some size cover too much, or the text is empty."""
+    sizes, limits = list(sizes)[: len(limits)], list(limits)
+    return duplicate_fails(suffix_measures(text, [], sizes), n_chars, limits[: len(sizes)])

@@ -1,12 +1,19 @@
-"""Run the filter chain over a table: one map-only pass, no shuffle."""
+"""Run the filter chain over a table: one map-only pass, no shuffle.
+
+The chain goes in stages. Cheap filters are generated code; what they have
+failed is NULL to the n-gram stage, and what that has failed to the language
+stage, so the dear work is done for survivors only.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gistmill.functions import repetition as rp
 from gistmill.functions import tokens as tk
 from gistmill.functions.language import LanguageProfile
 from gistmill.functions.quality import (
@@ -15,7 +22,8 @@ from gistmill.functions.quality import (
     TOO_LONG,
     QualityParams,
     language_passes,
-    ngram_failure,
+    ngram_predicate,
+    ngram_sizes,
     predicate,
 )
 
@@ -51,38 +59,37 @@ def describe_filter(
     """
     p = params or QualityParams()
     names = p.active()
-    c = F.col(text)
-    words, lines, early = "_q_words", "_q_lines", "_q_early"
-
-    def failure(some: list[str], before: list = (), after: list = ()) -> Column:
-        """First failure among some filters that follow each other."""
-        arm = lambda f: (f, predicate(f, p, c, F.col(words), F.col(lines)))
-        at = [i for i, f in enumerate(some) if f in NGRAM_FILTERS]
-        if len(at) < len(NGRAM_FILTERS):
-            return first_failure([*before, *map(arm, some), *after])
-        return F.coalesce(
-            first_failure([*before, *map(arm, some[: at[0]])]),
-            ngram_failure(p, c),
-            first_failure([*map(arm, some[at[-1] + 1 :]), *after]),
-        )
-
+    if "detect_language" in names and profile is None:
+        raise ValueError("detect_language needs a language profile; pass one or ignore the filter")
+    c, verdict = F.col(text), F.col("_q_early")
+    helpers = ["_q_words", "_q_lines", "_q_word_chars", "_q_early"]
+    words, lines, word_chars = (F.col(h) for h in helpers[:3])
+    staged = df.withColumns({"_q_words": tk.n_words(c), "_q_lines": tk.line_array(c), "_q_word_chars": tk.word_chars(c)})
+    short_enough = (TOO_LONG, F.coalesce(F.length(c), F.lit(0)) <= p.max_length)
+    staged = staged.withColumn("_q_early", first_failure([short_enough]))
+    for kind, some in groupby(names, _kind_of):
+        group = list(some)
+        # Only texts that are still in the running reach the dear stages.
+        running = F.when(verdict.isNull(), c)
+        if kind == "ngrams":
+            staged = staged.withColumn("_q_found", rp.suffix_measures(running, *ngram_sizes(p, group)))
+            arms = [(f, ngram_predicate(f, p, F.col("_q_found"), F.length(c))) for f in group]
+        elif kind == "language":
+            joined = F.array_join(tk.non_blank_lines(running), " ")
+            staged = staged.withColumn("_q_raw", profile.raw_scores(joined))
+            arms = [(f, language_passes(profile.ranked(F.col("_q_raw")), p)) for f in group]
+        else:
+            arms = [(f, predicate(f, p, c, words, lines, word_chars)) for f in group]
+        staged = staged.withColumn("_q_early", F.coalesce(verdict, first_failure(arms)))
     own = [(name, make(c)) for name, make in (extra or {}).items()]
-    short_enough = [(TOO_LONG, F.coalesce(F.length(c), F.lit(0)) <= p.max_length)]
-    ready = df.withColumns({words: tk.n_words(c), lines: tk.line_array(c)})
-    if "detect_language" not in names:
-        verdict = failure(names, before=short_enough, after=own)
-        return ready.withColumn(out, verdict).drop(words, lines)
+    judged = staged.withColumn(out, F.coalesce(verdict, first_failure(own)) if own else verdict)
+    return judged.drop(*helpers, "_q_found", "_q_raw")
 
-    if profile is None:
-        raise ValueError("detect_language needs a language profile; pass one or ignore the filter")
-    at = names.index("detect_language")
-    staged = ready.withColumn(early, failure(names[:at], before=short_enough))
-    # Only texts that are still in the running reach the scorer.
-    joined = F.array_join(tk.non_blank_lines(F.when(F.col(early).isNull(), c)), " ")
-    scored = staged.withColumn("_q_raw", profile.raw_scores(joined))
-    spoken = [("detect_language", language_passes(profile.ranked(F.col("_q_raw")), p))]
-    late = failure(names[at + 1 :], before=spoken, after=own)
-    return scored.withColumn(out, F.coalesce(F.col(early), late)).drop(words, lines, early, "_q_raw")
+
+def _kind_of(name: str) -> str:
+    if name in NGRAM_FILTERS:
+        return "ngrams"
+    return "language" if name == "detect_language" else "plain"
 
 
 def quality_filter(df: DataFrame, params: QualityParams | None = None, **options) -> DataFrame:

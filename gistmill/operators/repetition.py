@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.functions import repetition as rp
+from gistmill.functions import tokens as tk
 from gistmill.functions.rows import inlined, let, run_lengths
 
 
@@ -27,31 +28,31 @@ def ngram_counts(df: DataFrame, key: str, lo: int, hi: int, text: str = "text")
 
 
 def top_ngrams(df: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:
-    """``(key, ngram, cnt, chr_fraction)`` of the most frequent n-gram."""
-    best = rp.with_shingles(F.col(text), lambda sh: rp.top_ngram(sh.texts(n)))
-    found = inlined(df, [key, F.length(text).alias("_chars")], F.array(best), "ngram")
-    covered = F.length("ngram") * F.col("cnt")
-    return found.select(
+    """``(key, ngram, cnt, chr_fraction)`` of the most frequent n-gram; the first
+    seen wins a tie. Texts too short for one have no row."""
+    kept = df.select(key, F.col(text).alias("_text"), F.length(text).alias("_chars"))
+    found = kept.withColumn("_found", rp.suffix_measures(F.col("_text"), [n], []))
+    one = {"_cnt": "counts", "_first": "firsts", "_len": "chars"}
+    found = found.select(key, "_text", "_chars", *[F.get(F.col("_found")[c], F.lit(0)).alias(a) for a, c in one.items()])
+    spelled = F.slice(tk.tokens(F.col("_text"), tk.GAPPED_TOKEN), F.col("_first").cast("int") + 1, n)
+    gram = F.ltrim(F.lower(F.array_join(spelled, "")), F.lit(rp.SPACES))
+    return found.where("_cnt > 0").select(
         key,
-        "ngram",
-        F.col("cnt").cast("long").alias("cnt"),
-        F.try_divide(covered, F.col("_chars")).alias("chr_fraction"),
+        gram.alias("ngram"),
+        F.col("_cnt").alias("cnt"),
+        F.try_divide(F.col("_len") * F.col("_cnt"), F.col("_chars")).alias("chr_fraction"),
     )
 
 
 def duplicate_ngrams(df: DataFrame, key: str, lo: int, hi: int, text: str = "text") -> DataFrame:
     """``(key, n, dup_chars, n_chars)``: characters under repeated n-grams."""
-
-    def measured(sh: rp.Shingles):
-        return F.array(
-            *[
-                F.struct(F.lit(n).alias("n"), rp.duplicate_ngram_chars(sh, n).alias("dup_chars"))
-                for n in range(lo, hi + 1)
-            ]
-        )
-
-    keep = [key, F.length(text).alias("n_chars")]
-    return inlined(df, keep, rp.with_shingles(F.col(text), measured), "n")
+    sizes = list(range(lo, hi + 1))
+    found = df.select(
+        key, F.length(text).alias("n_chars"), rp.suffix_measures(F.col(text), [], sizes)["duplicates"].alias("_dup")
+    )
+    each = F.arrays_zip(F.array(*[F.lit(n) for n in sizes]).alias("n"), F.col("_dup").alias("dup_chars"))
+    flat = found.where(F.col("_dup").isNotNull()).select(key, "n_chars", F.inline(each))
+    return flat.select(key, "n_chars", "n", "dup_chars")
 
 
 def with_line_fractions(df: DataFrame, text: str = "text") -> DataFrame:
