@@ -22,7 +22,7 @@ the chunk. Both ways give the same scores.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +40,7 @@ END = np.uint64(0x5851F42D4C957F2D)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _EVENT = np.uint64(0xD6E8FEB86659FD93)
 #: text bytes whose n-grams a task counts before it sends them, and of a scored slice
-HELD_BYTES, SLICE_BYTES, CHUNK_BYTES = 1 << 24, 1 << 22, 1 << 23
+HELD_BYTES, SLICE_BYTES, CHUNK_BYTES = 1 << 24, 1 << 21, 1 << 23
 #: text bytes a segment: small ones as long as there are few, for even work
 SMALL, LARGE, MANY = 1 << 22, 1 << 26, 1 << 12
 _BLOOM, _MODEL = 0, -1  # n of a filter's row, chunk of a model's row
@@ -58,7 +58,7 @@ class Settings:
     bits: int = 10
     hashes: int = 7
     mu: float = 256.0
-    broadcast: int = 1 << 28
+    broadcast: int = 3 << 26
 
 
 def is_held_out(id_: Column) -> Column:
@@ -347,27 +347,29 @@ class Lookup:
         if not len(self.words):
             return np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        return np.where(self.words[at] == keys, self.counts[at], 0)
-
-
-def _lookup(rows: list[tuple[int, int, bytes, bytes]], segments: int, hashes: int) -> Lookup:
-    """From ``(segment, n, keys, extra)`` of a model."""
-    rows = sorted(rows, key=lambda r: r[:2])
-    words = [np.frombuffer(r[2], np.uint64) for r in rows if r[1] == 1]
-    counts = [np.frombuffer(r[3], np.int64) for r in rows if r[1] == 1]
-    begin, size = np.zeros(segments, np.int64), np.full(segments, 64, np.int64)
-    parts, end = [np.zeros(8, np.uint8)], 8  # segments without n-grams share an empty filter
-    for segment, n, bits, extra in rows:
+        return np.where(self.words[at] == keys, self.counts[at], 0).astype(np.int64)
+
+
+def _lookup(sizes: list[tuple[int, int, int]], rows: Iterable[tuple], segments: int, hashes: int) -> Lookup:
+    """From a model's ``(segment, n, keys, extra)`` rows in any order, each held
+    only until it is copied; ``sizes`` are their ``(segment, n, bytes of keys)``."""
+    begin, size, at = np.zeros(segments, np.int64), np.full(segments, 64, np.int64), {}
+    end, many = 8, 0  # segments without n-grams share an empty filter
+    for segment, n, length in sorted(sizes):
+        at[segment, n] = end if n == _BLOOM else many
+        end, many = (end + length, many) if n == _BLOOM else (end, many + length // 8)
+    bits, words, counts = np.zeros(end, np.uint8), np.zeros(many, np.uint64), np.zeros(many, np.int64)
+    for segment, n, keys, extra in rows:
+        a = at[segment, n]
         if n == _BLOOM:
-            begin[segment], size[segment] = end, np.frombuffer(extra, np.int64)[0]
-            parts.append(np.frombuffer(bits, np.uint8))
-            end += len(bits)
-    none = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    return Lookup(
-        np.concatenate(words or none[0]),
-        np.concatenate(counts or none[1]),
-        Bloom(np.concatenate(parts), begin, size, hashes),
-    )
+            begin[segment], size[segment] = a, np.frombuffer(extra, np.int64)[0]
+            bits[a : a + len(keys)] = np.frombuffer(keys, np.uint8)
+        else:
+            words[a : a + len(keys) // 8] = np.frombuffer(keys, np.uint64)
+            counts[a : a + len(keys) // 8] = np.frombuffer(extra, np.int64)
+    if not len(counts) or counts.max() < 1 << 31:
+        counts = counts.astype(np.int32)
+    return Lookup(words, counts, Bloom(bits, begin, size, hashes))
 
 
 def _scores(texts: pa.Array, look: Callable[[int, np.ndarray], np.ndarray], tokens: int, types: int, s: Settings):
@@ -386,8 +388,10 @@ def _scores(texts: pa.Array, look: Callable[[int, np.ndarray], np.ndarray], toke
         history = count[last - 1]
         # an n-gram whose shorter forms were never seen was not seen either
         may = (history > 0) & (count[last] > 0)
+        # sorted and once each: probes of one segment follow each other
+        distinct, at = np.unique(keys[may], return_inverse=True)
         found = np.zeros(len(keys), np.int64)
-        found[may] = starts[look(n, keys[may])]
+        found[may] = starts[look(n, distinct)[at]]
         found = np.minimum(found, np.minimum(history, count[last]))
         known = history > 0
         p[last[known]] = (found[known] + s.mu * p[last[known]]) / (history[known] + s.mu)
@@ -461,7 +465,8 @@ def _answer(segments: int, hashes: int):
             held["rows"].append((segment, n, keys, extra))
             return
         if "look" not in held:
-            held["look"] = _lookup(held.pop("rows"), segments, hashes)
+            rows = held.pop("rows")
+            held["look"] = _lookup([(r[0], r[1], len(r[2])) for r in rows], rows, segments, hashes)
         yield _rows([(segment, chunk, n, None, held["look"](n, _unpacked(keys)).tobytes())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -520,10 +525,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if model.bytes <= model.settings.broadcast:
-        table = model.rows.select("segment", "n", "keys", "extra").toArrow()
-        held = [tuple(r) for r in zip(*(c.to_pylist() for c in table.columns), strict=True)]
-        shared = docs.sparkSession.sparkContext.broadcast(_lookup(held, model.segments, model.settings.hashes))
-        del table, held
+        sizes = model.rows.select("segment", "n", F.octet_length("keys")).collect()
+        parts = model.rows.select("segment", "n", "keys", "extra").toLocalIterator()
+        shared = docs.sparkSession.sparkContext.broadcast(
+            _lookup([tuple(r) for r in sizes], parts, model.segments, model.settings.hashes)
+        )
         told = rows.withColumn("s", _score_udf(model, shared)("text")).select("id", "s.*")
     else:
         told = _scored_by_segments(rows, model)
