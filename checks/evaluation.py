@@ -310,17 +310,32 @@ def rouge_n(spark, sf_dir):
     )
 
 
-# The longest common subsequence is the longest rising run of places in the one
-# text, over the matches in the order of the other; a fold keeps the smallest
-# last place of a run of each length.
+# A bit string holds one bit per reference token, the first at its right end; a
+# cleared bit says that the longest common subsequence grows there. A candidate
+# token adds the bits at its own places; carries run by doubled steps.
+ALL_ONES = "repeat('1', len(r))::BIT"
+
+
+def places_of(token: str) -> str:
+    marks = f"list_transform(list_reverse(r), lambda x: CASE WHEN x = {token} THEN '1' ELSE '0' END)"
+    return f"array_to_string({marks}, '')::BIT"
+
+
+def grown(v: str, m: str) -> str:
+    kept, added = f"xor({v}, {v} & {m})", f"({v} & {m})"
+    carried = (
+        "list_reduce(list_transform(range(0, ceil(log2(len(r)))::BIGINT), lambda k: [(1::INTEGER << k::INTEGER)::BIT]), "
+        "lambda s, d: [s[1] | (s[2] & (s[1] << d[1]::INTEGER)), s[2] & (s[2] << d[1]::INTEGER)], "
+        f"[{added}, {kept}])[1]"
+    )
+    return f"(xor({kept}, {carried} << 1) | {kept})"
+
+
 LCS = f"""
-pt AS (SELECT id, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM rt),
-qt AS (SELECT id, unnest(r) AS t, generate_subscripts(r, 1) AS j FROM rt),
-mt AS (SELECT pt.id, list(j::BIGINT ORDER BY i, j DESC) AS js FROM pt JOIN qt ON pt.id = qt.id AND pt.t = qt.t
-       GROUP BY pt.id),
-lc AS (SELECT id, len(list_reduce(list_transform(js, lambda j: [j]), lambda a, x:
-         list_concat(list_concat(a[1:len(list_filter(a, lambda y: y < x[1]))], x),
-                     a[len(list_filter(a, lambda y: y < x[1])) + 2:]))) AS h FROM mt),
+lc AS (SELECT id, len(r) - bit_count(list_reduce(
+         list_transform(list_filter(p, lambda t: list_contains(r, t)), lambda t: {places_of("t")}),
+         lambda v, m: {grown("v", "m")}, {ALL_ONES})) AS h
+       FROM rt WHERE len(r) > 0 AND list_has_any(r, p)),
 fl AS (SELECT rt.id, {f_measure("coalesce(h, 0)", "len(p)", "len(r)")} AS f FROM rt LEFT JOIN lc USING (id))"""
 
 
@@ -335,27 +350,21 @@ def sentence_tokens(side: str) -> str:
     return f"list_filter(list_transform({lines}, lambda s: {sql_all('lower(s)', RT)}), lambda t: len(t) > 0)"
 
 
-# The table of subsequence lengths is folded row by row, each row cell by cell;
-# the way back from its last cell shortens the reference where both ways are
-# equal. Numbers stand in lists since a fold's state has the type of its items.
+# The bit strings of all prefixes are kept; the way back from the last one
+# shortens the reference where both ways are equal.
 LSUM = f"""
 sides AS MATERIALIZED (SELECT id, {sentence_tokens("pred")} AS ps, {sentence_tokens("summary")} AS rs FROM pairs),
 rsent AS (SELECT id, unnest(rs) AS r, generate_subscripts(rs, 1) AS a FROM sides),
 psent AS (SELECT id, unnest(ps) AS p FROM sides),
 grid AS MATERIALIZED (SELECT rsent.id, a, r, p, list_reduce(
-    list_transform(range(1, len(p) + 1), lambda j: [[j]]),
-    lambda t, y: list_append(t, list_reduce(
-      list_transform(range(1, len(r) + 1), lambda i: [i]),
-      lambda acc, x: list_append(acc, CASE WHEN r[x[1]] = p[y[1][1]] THEN t[-1][x[1]] + 1
-                                           ELSE greatest(t[-1][x[1] + 1], acc[-1]) END),
-      [0::BIGINT])),
-    [list_transform(range(0, len(r) + 1), lambda i: 0::BIGINT)]) AS t
+    list_transform(p, lambda t: [{places_of("t")}]),
+    lambda t, y: list_append(t, {grown("t[-1]", "y[1]")}), [{ALL_ONES}]) AS t
   FROM rsent JOIN psent ON rsent.id = psent.id AND list_has_any(r, p)),
 way AS (SELECT id, a, r, list_reduce(
     list_transform(range(0, len(r) + len(p)), lambda k: [k]),
     lambda s, x: CASE WHEN s[1] = 0 OR s[2] = 0 THEN s
       WHEN r[s[1]] = p[s[2]] THEN list_concat([s[1] - 1, s[2] - 1], list_append(s[3:], s[1]))
-      WHEN t[s[2]][s[1] + 1] > t[s[2] + 1][s[1]] THEN list_concat([s[1], s[2] - 1], s[3:])
+      WHEN get_bit(t[s[2] + 1], (len(r) - s[1])::INTEGER) = 0 THEN list_concat([s[1], s[2] - 1], s[3:])
       ELSE list_concat([s[1] - 1, s[2]], s[3:]) END,
     [len(r)::BIGINT, len(p)::BIGINT])[3:] AS found FROM grid),
 spot AS (SELECT DISTINCT id, a, r, unnest(found) AS i FROM way),
