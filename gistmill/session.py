@@ -39,16 +39,31 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_folders(spark: SparkSession) -> None:
     """Delete what this process has stored in the shared folder. Tables that
     were built on it can't be read any more."""
     while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _made.pop())
+
+
+def used_up(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` has stored and nothing will read again."""
+    for df in tables:
+        folder = getattr(df, "_stored_in", None)
+        if folder in _made:
+            _made.remove(folder)
+            _delete(df.sparkSession, folder)
 
 
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cut lineage: write to the shared folder and read back."""
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    stored._stored_in = path
+    return stored
