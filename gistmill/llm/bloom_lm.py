@@ -40,7 +40,7 @@ END = np.uint64(0x5851F42D4C957F2D)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _EVENT = np.uint64(0xD6E8FEB86659FD93)
 #: text bytes whose n-grams a task counts before it sends them, and of a scored slice
-HELD_BYTES, SLICE_BYTES, CHUNK_BYTES = 1 << 24, 1 << 21, 1 << 23
+HELD_BYTES, SLICE_BYTES, CHUNK_BYTES = 1 << 23, 1 << 20, 1 << 23
 #: text bytes a segment: small ones as long as there are few, for even work
 SMALL, LARGE, MANY = 1 << 22, 1 << 26, 1 << 12
 _BLOOM, _MODEL = 0, -1  # n of a filter's row, chunk of a model's row
