@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.session import written
+from gistmill.session import used_up, written
 
 FILE_ROWS = 500_000
 
@@ -31,7 +31,7 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """
     pairs = links.where(F.col(u) != F.col(v)).select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b"))
     now, seen = written(pairs.distinct(), "links"), None
-    while True:
+    while True:  # tables of the rounds before are deleted as they are used up
         rows, mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if (rows, mark) == seen or rows == 0:
             break
@@ -45,7 +45,8 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         two = F.explode(F.array(_pair("b", "m"), _pair("a", "m"))).alias("e")
         moved = large.join(down, "a").select(two).select("e.*").where("a != b").distinct()
-        now = written(moved.coalesce(files), "links")
+        before, now = now, written(moved.coalesce(files), "links")
+        used_up(before, large)
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 

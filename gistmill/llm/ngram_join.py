@@ -8,17 +8,19 @@
    No pair within the threshold is lost, and none is emitted. Shingles that a
    sample shows to be common are left out of the parts, else documents that
    share a passage would meet for that alone; this too loses no pair (see
-   ``Threshold.keys``). Keys are counted
-   with map-side combining, the repeated ones go into a bitmap of fixed size,
-   and only rows at repeated keys are shuffled again, as stars around the key's
-   smallest set.
-2. *Signature trees.* The sets that stars connect are dealt into blocks. A task
-   holds two blocks and builds a tree over each: a node keeps the OR of its
-   sets' bitmaps, the range of their sizes, and the most elements that share a
-   bit with another. Dual traversal drops node pairs whose greatest possible
-   overlap is below the threshold, and sets already linked; what is left is
-   verified on the exact sets.
-3. Links become groups (``graph.components``). Equal sets are one class from the
+   ``Threshold.keys``). Keys are counted with map-side combining; the repeated
+   ones go into a bitmap in proportion to their number, and only rows at
+   repeated keys are shuffled again, as stars around the key's smallest set.
+2. *Signature trees over signatures.* The sets of all keys with one hub meet as
+   bitmaps, half a byte an element, in blocks. A tree over each block holds in
+   its nodes the OR of the bitmaps, the range of sizes, and the most elements
+   that share a bit with another; dual traversal drops node pairs whose greatest
+   possible overlap is below the threshold. Sets that met for a shared passage
+   part here, before anything is closed transitively.
+3. *Signature trees over sets.* What is left is closed to candidate groups, whose
+   texts are shuffled once, to blocks again. There the same traversal, without
+   sets linked already, ends in verification on the exact sets.
+4. Links become groups (``graph.components``). Equal sets are one class from the
    start, so copies, however many, are never paired.
 """
 
@@ -32,17 +34,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from gistmill.llm.bits import bitmap, in_bitmap
 from gistmill.llm.graph import components, unused_name
 from gistmill.llm.words import as_long, mix, shingle_sets, white_space_words
-from gistmill.session import written
+from gistmill.session import used_up, written
 
 CLASS_GROWTH = 1.5
-BITMAP_BITS = 27  # 2**27 bits, 16 MB: what is broadcast, at any size of input
-SLOTS = 1 << 20  # most rows of the broadcast that picks texts to read again
-BLOCK = 512
+BLOCK, SIGNATURE_BLOCK = 512, 1024
 FAN = 8
+# Bits of a filter for each key in it, and the most bits that are broadcast: 2**30
+# are 128 MB. Beyond, rows and keys meet in a join.
+FILTER_BITS, FILTER_MOST = 16, 30
 # Shingles in at least SEEN of about SAMPLE texts are common; COMMON at most, 8 MB.
 SAMPLE, SEEN, COMMON = 8_000, 3, 1 << 20
 
@@ -139,19 +143,27 @@ def _parts(num: int, den: int, cls: int) -> tuple[int, int]:
 # --- signature trees ----------------------------------------------------------
 
 
+def signature(elements: np.ndarray, words: int | None = None) -> np.ndarray:
+    """Bitmap of the elements' lowest bits, as 64-bit words; by default about
+    four bits an element. Halves of a bitmap ORed are the bitmap of half its size."""
+    if words is None:
+        words = 1 << max(0, math.ceil(math.log2(max(1, 4 * len(elements)) / 64)))
+    flags = np.zeros(words * 64, bool)
+    flags[(elements & np.uint64(words * 64 - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
 class SignatureTree:
     """Levels of nodes over one block's sets, leaves first."""
 
-    def __init__(self, sets: list[np.ndarray], words: int):
-        sizes = np.array([len(s) for s in sets])
+    def __init__(self, sizes: np.ndarray, smallest: np.ndarray, bits: np.ndarray):
         # neighbours in size and in smallest element share much
-        self.order = np.lexsort(([s[0] for s in sets], sizes))
-        self.sets = [sets[i] for i in self.order]
-        bits = np.zeros((len(sets), words), np.uint64)
-        for row, s in zip(bits, self.sets, strict=True):
-            at = (s & np.uint64(words * 64 - 1)).astype(np.int64)
-            np.bitwise_or.at(row, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        size = sizes[self.order]
+        self.order = np.lexsort((smallest, sizes))
+        bits, size = bits[self.order], sizes[self.order]
         extra = size - np.bitwise_count(bits).sum(1).astype(np.int64)
         self.levels = [(bits, size, size, extra)]
         while len(self.levels[-1][0]) > 1:
@@ -202,6 +214,42 @@ def _children(nodes: np.ndarray, others: np.ndarray, n: int) -> tuple[np.ndarray
     return down[down < n], np.repeat(others, FAN)[down < n]
 
 
+def _tree_of(sets: list[np.ndarray], words: int) -> SignatureTree:
+    sizes, smallest = np.array([len(s) for s in sets]), np.array([s[0] for s in sets])
+    return SignatureTree(sizes, smallest, np.stack([signature(s, words) for s in sets]))
+
+
+def possible_links(sides: list[tuple], t: Threshold) -> list[tuple[int, int]]:
+    """Links that connect all sets which the signatures let be alike. A side is
+    ``(nodes, sizes, smallest elements, bitmaps)``; one side is paired with itself."""
+    if any(not side[0] for side in sides) or sum(len(side[0]) for side in sides) < 2:
+        return []
+    words = min(len(b) for side in sides for b in side[3])
+    trees = [
+        SignatureTree(np.array(sizes), np.array(low, np.uint64), np.stack([folded(b, words) for b in bits]))
+        for _, sizes, low, bits in sides
+    ]
+    x, y = trees[0], trees[-1]
+    pairs = candidate_pairs(x, y, t)
+    u, v = x.order[pairs[:, 0]], y.order[pairs[:, 1]]
+    nodes = np.array(sides[0][0])
+    if len(sides) > 1:
+        v, nodes = v + len(nodes), np.concatenate([nodes, sides[1][0]])
+    # smallest place that pairs lead to, until nothing changes
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return list(zip(nodes[moved].tolist(), nodes[root[moved]].tolist(), strict=True))
+
+
 def tree_links(xs: list[np.ndarray], ys: list[np.ndarray] | None, t: Threshold) -> list[tuple[int, int]]:
     """Links that connect whatever links between ``xs`` and ``ys`` (or within
     ``xs``) connect; positions of ``ys`` follow those of ``xs``."""
@@ -209,8 +257,8 @@ def tree_links(xs: list[np.ndarray], ys: list[np.ndarray] | None, t: Threshold)
         return []
     most = max(len(s) for s in [*xs, *(ys or [])])
     words = min(1 << 11, max(8, 1 << max(0, math.ceil(math.log2(8 * most / 64)))))
-    x = SignatureTree(xs, words)
-    y = SignatureTree(ys, words) if ys is not None else x
+    x = _tree_of(xs, words)
+    y = _tree_of(ys, words) if ys is not None else x
     shift = len(xs) if ys is not None else 0
     pairs = candidate_pairs(x, y, t)
     if ys is None:
@@ -227,7 +275,7 @@ def tree_links(xs: list[np.ndarray], ys: list[np.ndarray] | None, t: Threshold)
     for i, j in pairs.tolist():
         a, b = int(x.order[i]), int(y.order[j]) + shift
         ra, rb = root(a), root(b)
-        if ra != rb and t.linked(x.sets[i], y.sets[j]):
+        if ra != rb and t.linked(xs[a], (xs if ys is None else ys)[b - shift]):
             parent[max(ra, rb)] = min(ra, rb)
             out.append((a, b))
     return out
@@ -251,12 +299,9 @@ def _common(base: DataFrame, words: int) -> np.ndarray:
 
 
 def _key_udf(t: Threshold, words: int, common):
-    """The lower half of each key: enough to see which may be repeated."""
-
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("array<bigint>")
     def keys(texts: pa.Array) -> pa.Array:
-        rows = [t.keys(s, common.value) for s in shingle_sets(texts, white_space_words(), words)]
-        return _lists([r.astype(np.uint32).view(np.int32) for r in rows], np.int32)
+        return _lists([t.keys(s, common.value) for s in shingle_sets(texts, white_space_words(), words)])
 
     return keys
 
@@ -267,21 +312,47 @@ def _lists(rows: list[np.ndarray], kind=np.int64) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
+def _filter(keys: DataFrame):
+    """A broadcast bitmap of a one-column table of hashes, in proportion to its
+    rows; None where it would be too large."""
+    bits = max(1, FILTER_BITS * keys.count()).bit_length()
+    if bits > FILTER_MOST:
+        return None
+    return keys.sparkSession.sparkContext.broadcast(bitmap(keys, max(15, bits)))
+
+
+def _in_filter(found):
+    @F.arrow_udf(BooleanType())
+    def inside(hashes: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(found.value, hashes.to_numpy().view(np.uint64)))
+
+    return inside
+
+
 def _sketch_udf(t: Threshold, words: int, repeated, common):
-    """Size and identity of a set, and those of its keys that are repeated."""
+    """Size and identity of a set, those of its keys that may be repeated, and,
+    where there are any, its smallest element and its signature."""
 
-    @F.arrow_udf("n bigint, node bigint, keys array<bigint>")
+    @F.arrow_udf("n bigint, node bigint, keys array<bigint>, smallest bigint, signature binary")
     def sketch(texts: pa.Array) -> pa.Array:
-        bits = repeated.value
-        sizes, nodes, kept = [], [], []
+        sizes, nodes, kept, low, signatures = [], [], [], [], []
         for s in shingle_sets(texts, white_space_words(), words):
             key = t.keys(s, common.value)
-            kept.append(key[in_bitmap(bits, key)])
+            kept.append(key if repeated is None else key[in_bitmap(repeated.value, key)])
             sizes.append(len(s))
             nodes.append(mix(np.add.reduce(mix(s), keepdims=True) + np.uint64(len(s)))[0])
+            met = len(kept[-1]) > 0
+            low.append(int(s[:1].view(np.int64)[0]) if met else None)
+            signatures.append(signature(s).tobytes() if met else None)
         return pa.StructArray.from_arrays(
-            [pa.array(sizes, pa.int64()), pa.array(as_long(nodes), pa.int64()), _lists(kept)],
-            names=["n", "node", "keys"],
+            [
+                pa.array(sizes, pa.int64()),
+                pa.array(as_long(nodes), pa.int64()),
+                _lists(kept),
+                pa.array(low, pa.int64()),
+                pa.array(signatures, pa.binary()),
+            ],
+            names=["n", "node", "keys", "smallest", "signature"],
         )
 
     return sketch
@@ -295,60 +366,70 @@ def _set_udf(words: int):
     return elements
 
 
-def _blocks(chosen: DataFrame) -> DataFrame:
-    """Deal each candidate group into blocks."""
-    blocks = chosen.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+def _dealt(members: DataFrame, block: int, columns: list[str]) -> DataFrame:
+    """Deal each group into blocks and pair these: a unit is two blocks, or one
+    with itself. A member goes to as many units as its group has blocks."""
+    blocks = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    return chosen.join(blocks, "root").withColumn("block", own)
-
-
-def _units(members: DataFrame) -> DataFrame:
-    """Pair the blocks of a group: a unit is two of them, or one with itself. A
-    set goes to as many units as its group has blocks."""
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return members.select("root", "block", other, "node", "elements").select(
+    dealt = members.join(blocks, "root").withColumn("block", own).select("*", other)
+    units = dealt.select(
         "root",
         F.least("block", "other").alias("low"),
         F.greatest("block", "other").alias("high"),
         "block",
         "node",
-        "elements",
+        *columns,
     )
+    return units.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
 
 
-def _unit_links(t: Threshold):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held = None, ([], [], [], [])
-
-        def close():
-            (nx, sx, ny, sy) = held
-            if unit is None or not (len(sx) + len(sy)) > 1:
-                return None
-            links = tree_links(sx, None if unit[1] == unit[2] else sy, t)
-            nodes = nx + ny
-            pairs = [(nodes[a], nodes[b]) for a, b in links]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())],
-                names=["u", "v"],
-            )
+def _by_unit(batches: Iterator[pa.RecordBatch], read, links) -> Iterator[pa.RecordBatch]:
+    """``links(sides)`` of each unit, where a side is a list of ``read`` rows."""
+    unit, held = None, ([], [])
+
+    def close():
+        sides = [held[0]] if unit[1] == unit[2] else [*held]
+        pairs = links(sides)
+        columns = [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, names=["u", "v"])
+
+    for batch in batches:
+        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("root", "low", "high", "block")]
+        rows = read(batch)
+        for root, low, high, block, row in zip(*cols, rows, strict=True):
+            if (root, low, high) != unit:
+                if unit is not None:
+                    yield close()
+                unit, held = (root, low, high), ([], [])
+            held[0 if block == low else 1].append(row)
+    if unit is not None:
+        yield close()
+
+
+def _unit_candidates(t: Threshold):
+    def read(batch: pa.RecordBatch):
+        nodes, sizes, low = (batch.column(c).to_pylist() for c in ("node", "n", "smallest"))
+        bits = [np.frombuffer(b.as_buffer(), np.uint64).copy() for b in batch.column("signature")]
+        return zip(nodes, sizes, [x & 0xFFFFFFFFFFFFFFFF for x in low], bits, strict=True)
+
+    def links(sides: list[list]) -> list[tuple[int, int]]:
+        return possible_links([tuple(map(list, zip(*side, strict=True))) or ([],) * 4 for side in sides], t)
+
+    return lambda batches: _by_unit(batches, read, links)
+
+
+def _unit_links(t: Threshold, words: int):
+    def read(batch: pa.RecordBatch):
+        sets = shingle_sets(batch.column("text"), white_space_words(), words)
+        return zip(batch.column("node").to_pylist(), sets, strict=True)
+
+    def links(sides: list[list]) -> list[tuple[int, int]]:
+        xs, ys = [s for _, s in sides[0]], [s for _, s in sides[1]] if len(sides) > 1 else None
+        nodes = [n for side in sides for n, _ in side]
+        return [(nodes[a], nodes[b]) for a, b in tree_links(xs, ys, t)]
 
-        for batch in batches:
-            cols = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("root", "low", "high", "block", "node")}
-            lists = batch.column("elements")
-            flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for i in range(batch.num_rows):
-                key = (cols["root"][i], cols["low"][i], cols["high"][i])
-                if key != unit:
-                    if (out := close()) is not None:
-                        yield out
-                    unit, held = key, ([], [], [], [])
-                side = 0 if cols["block"][i] == cols["low"][i] else 2
-                held[side].append(int(cols["node"][i]))
-                held[side + 1].append(flat[at[i] : at[i + 1]].view(np.uint64).copy())
-        if (out := close()) is not None:
-            yield out
-
-    return run
+    return lambda batches: _by_unit(batches, read, links)
 
 
 def ngram_groups(
@@ -378,29 +459,35 @@ def ngram_groups(
 
     common = spark.sparkContext.broadcast(_common(base, words))
     keys = base.select(F.explode(_key_udf(t, words, common)("text")).alias("key"))
-    repeated = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    bits = spark.sparkContext.broadcast(bitmap(repeated.select(F.col("key").cast("bigint")), BITMAP_BITS))
+    repeated = written(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "repeated")
+    bits = _filter(repeated)
 
     sketched = base.withColumn("s", _sketch_udf(t, words, bits, common)("text"))
     sketched = written(sketched.select("doc_id", "row_key", "s.*"), "sketches")
 
-    own = sketched.where(F.size("keys") > 0).select("node", "keys").dropDuplicates(["node"])
-    at_key = written(own.select("node", F.explode("keys").alias("key")), "keys")
-    stars = at_key.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    edges = at_key.join(stars, "key").where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    groups = written(components(edges.distinct()), "candidates")
+    own = sketched.where(F.size("keys") > 0).dropDuplicates(["node"])
+    at_key = own.select("node", F.explode("keys").alias("key"))
+    at_key = written(at_key if bits is not None else at_key.join(repeated, "key", "left_semi"), "keys")
+    stars = at_key.groupBy("key").agg(F.min("node").alias("root"), F.count("*").alias("c")).where("c > 1")
+    met = at_key.join(stars, "key").select("root", "node").distinct()
+    met = written(met.join(own.select("node", "n", "smallest", "signature"), "node"), "met")
+    used_up(repeated, at_key)
+    alike = _dealt(met, SIGNATURE_BLOCK, ["n", "smallest", "signature"]).mapInArrow(_unit_candidates(t), "u bigint, v bigint")
+    alike = written(alike, "alike")
+    used_up(met)
+    groups = components(alike)
 
     # one row of each candidate set, whose text is read again
     one = sketched.where("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key"))
-    chosen = written(_blocks(groups.join(one, "node")), "chosen")
-    slot = F.pmod(F.col("row_key"), F.lit(SLOTS)).cast("int")
-    slots = F.broadcast(chosen.select(slot.alias("slot")).distinct())  # at most SLOTS rows
-    again = base.withColumn("slot", slot).join(slots, "slot", "left_semi").select("row_key", "text")
-    sets = again.withColumn("elements", _set_udf(words)("text")).select("row_key", "elements")
+    chosen = written(groups.join(one, "node"), "chosen")
+    again = base.select("row_key", "text")
+    if (these := _filter(chosen.select("row_key"))) is not None:
+        again = again.where(_in_filter(these)("row_key"))
     # wholly equal rows have one key, by which the join has dealt and sorted them
-    members = chosen.join(sets, "row_key").dropDuplicates(["row_key"])
-    units = _units(members).repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
-    links = written(units.mapInArrow(_unit_links(t), "u bigint, v bigint"), "found")
+    members = chosen.join(again, "row_key").dropDuplicates(["row_key"])
+    units = _dealt(written(members, "members"), BLOCK, ["text"])
+    links = written(units.mapInArrow(_unit_links(t, words), "u bigint, v bigint"), "found")
+    used_up(alike, chosen)
 
     linked = components(links)
     known = sketched.select("doc_id", F.col("n").alias("n_shingles"), "row_key", "node")
@@ -424,11 +511,21 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = written(ngram_groups(docs, id_col, text_col, **kw), "groups")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key").alias("row_key"))
-    best = found.where("n_shingles > 0").groupBy("group").agg(F.min(order).alias("o"))
-    bare = found.where("n_shingles = 0").select("row_key").distinct()
-    key = unused_name(docs, "row_key")
-    keep = best.select(F.col("o.row_key")).unionByName(bare).withColumnRenamed("row_key", key)
-    own = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    # the join has sorted by the key already, so equal rows meet without a shuffle
-    kept = docs.withColumn(key, own).join(keep, key).dropDuplicates([key])
-    return kept.select(*docs.columns)
+    best = found.where("n_shingles > 0").groupBy("group").agg(F.min(order)["row_key"].alias("best"))
+    # rows that go, and rows that are there more than once; all others just stay
+    many = found.groupBy("row_key").agg(F.count("*").alias("c"), F.min("group").alias("group"))
+    many = many.join(best, "group", "left").select("row_key", "c", (F.col("best") != F.col("row_key")).alias("goes"))
+    unsure = written(many.where("c > 1 OR goes").select("row_key", F.coalesce("goes", F.lit(False)).alias("goes")), "unsure")
+    used_up(found)
+    key, goes = unused_name(docs, "row_key"), unused_name(docs, "goes")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    marks = unsure.select(F.col("row_key").alias(key), F.col("goes").alias(goes))
+    if (these := _filter(unsure.select("row_key"))) is None:
+        kept = keyed.join(marks, key, "left").where(~F.coalesce(goes, F.lit(False))).dropDuplicates([key])
+        return kept.select(*names)
+    inside = _in_filter(these)(F.col(key))
+    stay = keyed.where(~inside).select(*names)
+    # other rows than these may be in the filter by chance
+    tested = keyed.where(inside).join(marks, key, "left").where(~F.coalesce(goes, F.lit(False)))
+    return stay.unionByName(tested.dropDuplicates([key]).select(*names))
