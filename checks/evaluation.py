@@ -601,3 +601,18 @@ def turn_overlap(spark, sf_dir):
     """Overlap of each user turn with the assistant turn that answers it."""
     score = rouge.rouge_n(F.col("pred"), F.col("summary"), 1)["fmeasure"]
     return turn_pairs(spark, sf_dir).select("conv_id", "turn", r6(score).alias("rouge1"))
+
+
+@check(
+    "turn_overlap_whole",
+    f"WITH {TURNS}, {ROUGE_TOKENS}, {rouge_n_sql(1)}, {rouge_n_sql(2)}, {LCS} "
+    "SELECT conv_id, turn, round(f1.f, 6) AS rouge1, round(f2.f, 6) AS rouge2, round(fl.f, 6) AS rouge_l "
+    "FROM pairs JOIN f1 USING (id) JOIN f2 USING (id) JOIN fl USING (id)",
+)
+def turn_overlap_whole(spark, sf_dir):
+    """All scores of whole texts: each user turn with the turn that answers it."""
+    p, s = F.col("pred"), F.col("summary")
+    scores = {"rouge1": rouge.rouge_n(p, s, 1), "rouge2": rouge.rouge_n(p, s, 2), "rouge_l": rouge.rouge_l(p, s)}
+    return turn_pairs(spark, sf_dir).select(
+        "conv_id", "turn", *[r6(x["fmeasure"]).alias(name) for name, x in scores.items()]
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pyarrow as pa
@@ -42,46 +43,78 @@ def rouge_n(pred: Column, ref: Column, n: int) -> Column:
     )
 
 
-def _lcs_rows(ref: list[str], pred: list[str]) -> list[int]:
-    """One bit vector per prefix of ``pred``. A cleared bit i says the longest
-    common subsequence grows by one at ref[i]."""
-    where: dict[str, int] = {}
-    for i, t in enumerate(ref):
-        where[t] = where.get(t, 0) | 1 << i
-    full = (1 << len(ref)) - 1
-    rows = [full]
-    for t in pred:
-        v = rows[-1]
-        u = v & where.get(t, 0)
-        rows.append(((v + u) | (v - u)) & full)
-    return rows
+class _Places:
+    """Where each token of a reference stands, as bits of whole numbers. Those of
+    frequent tokens are kept, as many as fit ``MASK_BYTES``; others are made when
+    asked for, so that many different tokens don't cost the square of a text."""
+
+    MASK_BYTES = 1 << 25
+
+    def __init__(self, ref: list[str]):
+        self.size = len(ref)
+        self.at: dict[str, list[int]] = {}
+        for i, t in enumerate(ref):
+            self.at.setdefault(t, []).append(i)
+        often = sorted(self.at, key=lambda t: -len(self.at[t]))
+        self.kept = {t: self._bits(t) for t in often[: max(16, self.MASK_BYTES // (self.size // 8 + 32))]}
+        self.full = (1 << self.size) - 1
+
+    def _bits(self, token: str) -> int:
+        bits = bytearray(self.size // 8 + 1)
+        for i in self.at.get(token, ()):
+            bits[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(bits, "little")
+
+    def step(self, v: int, token: str) -> int:
+        """From the vector of a candidate's prefix to that of one token more. A
+        cleared bit i says the longest common subsequence grows by one at ref[i]."""
+        m = self.kept.get(token)
+        if m is None:
+            if token not in self.at:
+                return v
+            m = self._bits(token)
+        u = v & m
+        return ((v + u) | (v - u)) & self.full if u else v
 
 
 def _lcs_length(ref: list[str], pred: list[str]) -> int:
-    """The last of those vectors alone says how long the subsequence is."""
-    where: dict[str, int] = {}
-    for i, t in enumerate(ref):
-        where[t] = where.get(t, 0) | 1 << i
-    full = v = (1 << len(ref)) - 1
+    """The last prefix's vector alone says how long the subsequence is."""
+    places = _Places(ref)
+    v = places.full
     for t in pred:
-        if u := v & where.get(t, 0):
-            v = ((v + u) | (v - u)) & full
+        v = places.step(v, t)
     return len(ref) - v.bit_count()
 
 
 def _lcs_places(ref: list[str], pred: list[str]) -> set[int]:
     """Positions in ``ref`` of one longest common subsequence, read back from
-    the end; without a match the reference is shortened first."""
-    rows = _lcs_rows(ref, pred)
+    the end; without a match the reference is shortened first.
+
+    The way back needs all prefixes' vectors. Only one in about ``sqrt(len(pred))``
+    is kept; those between two of them are made again when the way reaches them.
+    """
+    places = _Places(ref)
+    every = math.isqrt(len(pred)) + 1
+    kept = [places.full]
+    v = places.full
+    for j, t in enumerate(pred, 1):
+        v = places.step(v, t)
+        if j % every == 0:
+            kept.append(v)
     i, j, found = len(ref), len(pred), set()
     while i and j:
-        if ref[i - 1] == pred[j - 1]:
-            i, j = i - 1, j - 1
-            found.add(i)
-        elif rows[j] >> (i - 1) & 1:
-            i -= 1
-        else:
-            j -= 1
+        block = (j - 1) // every  # holds the vectors of prefixes block * every to j
+        rows = [kept[block]]
+        for t in pred[block * every : j]:
+            rows.append(places.step(rows[-1], t))
+        while i and j > block * every:
+            if ref[i - 1] == pred[j - 1]:
+                i, j = i - 1, j - 1
+                found.add(i)
+            elif rows[j - block * every] >> (i - 1) & 1:
+                i -= 1
+            else:
+                j -= 1
     return found
 
 

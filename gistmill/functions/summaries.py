@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from gistmill.functions.rows import let
 DAMPING = 0.85
 LOOKBACK = 3
 ROUNDS = 20
+SLICE_ROWS = 1024  # documents whose graphs are ranked together
 RANK_DIGITS = 9  # ranks equal up to here count as tied
 
 
@@ -43,14 +46,44 @@ def sentence_phrases(words: Column, stop_words: Sequence[str]) -> Column:
     )
 
 
-def _pagerank(sentences: list[list[str]], rounds: int) -> dict[str, float]:
-    """Rank words by fixed rounds over the graph of words that stand at most
-    ``LOOKBACK`` apart in a sentence, weighted by how often they do."""
-    words = [w for s in sentences for w in s]
-    ids = {w: k for k, w in enumerate(dict.fromkeys(words))}
-    n = max(len(ids), 1)
-    at = np.fromiter((ids[w] for w in words), np.int64, len(words))
-    line = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+class Phrases(NamedTuple):
+    """Phrases and their words, of the documents of a batch one after another."""
+
+    names: pa.Array
+    doc: np.ndarray  # of each phrase
+    line: np.ndarray  # sentence of each phrase, counted over the batch
+    words: pa.Array
+    ends: np.ndarray  # of each phrase in the words
+
+
+def _split(texts: pa.Array, by: str) -> tuple[pa.Array, np.ndarray]:
+    """The parts of all texts and which text each is of."""
+    lists = pc.split_pattern(texts, by)
+    return lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+
+
+def _phrases(texts: pa.Array) -> Phrases:
+    lines, doc = _split(texts.fill_null(""), "\n")
+    names, line = _split(lines, "\t")
+    filled = pc.greater(pc.binary_length(names), 0)
+    names, line = names.filter(filled), line[filled.to_numpy(zero_copy_only=False)]
+    words, of = _split(names, " ")
+    return Phrases(names, doc[line], line, words, np.cumsum(np.bincount(of, minlength=len(names))))
+
+
+def _word_ranks(p: Phrases, rounds: int) -> np.ndarray:
+    """Rank of each word of the batch in its document, by fixed rounds over the
+    graphs of words that stand at most ``LOOKBACK`` apart in a sentence, weighted
+    by how often they do. The graphs are one block-diagonal matrix."""
+    phrase = np.repeat(np.arange(len(p.ends)), np.diff(p.ends, prepend=0))
+    doc, line = p.doc[phrase], p.line[phrase]
+    code = p.words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    nodes, at = np.unique(doc * (int(code.max(initial=0)) + 1) + code, return_inverse=True)
+    n = len(nodes)
+    size = np.zeros(int(doc.max(initial=-1)) + 1)
+    home = np.zeros(n, np.int64)
+    home[at] = doc
+    np.add.at(size, home, 1)
     ends = []
     for gap in range(1, LOOKBACK + 1):
         near = (line[gap:] == line[:-gap]) & (at[gap:] != at[:-gap])
@@ -59,42 +92,47 @@ def _pagerank(sentences: list[list[str]], rounds: int) -> dict[str, float]:
     src = np.concatenate([x for a, b in ends for x in (a, b)])
     dst = np.concatenate([x for a, b in ends for x in (b, a)])
     share = 1.0 / np.bincount(src, minlength=n)[src]
-    rank = np.full(n, 1.0 / n)
+    rank = 1.0 / size[home]
+    stay = (1 - DAMPING) / size[home]
     for _ in range(rounds):
-        rank = (1 - DAMPING) / n + DAMPING * np.bincount(dst, rank[src] * share, n)
-    return dict(zip(ids, rank.tolist()))
+        rank = stay + DAMPING * np.bincount(dst, rank[src] * share, n)
+    return rank[at]
 
 
 PHRASES = "array<struct<phrase:string,rank:double,first:int>>"
 
 
+def _ranked(texts: pa.Array, rounds: int) -> pa.ListArray:
+    p = _phrases(texts)
+    if not len(p.names):
+        empty = pa.array([], pa.struct([("phrase", pa.string()), ("rank", pa.float64()), ("first", pa.int32())]))
+        return pa.ListArray.from_arrays(pa.array([0] * (len(texts) + 1), pa.int32()), empty)
+    starts, length = np.append(0, p.ends[:-1]), np.diff(p.ends, prepend=0)
+    mean = np.add.reduceat(_word_ranks(p, rounds), starts) / length
+    scores = np.sqrt(mean) * length / (length + 1)
+    code = p.names.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    _, first = np.unique(p.doc * (int(code.max()) + 1) + code, return_index=True)
+    first = np.sort(first)
+    before = np.searchsorted(p.doc, p.doc[first])  # phrases in front of the document's own
+    structs = pa.StructArray.from_arrays(
+        [p.names.take(pa.array(first)), pa.array(scores[first]), pa.array((first - before).astype(np.int32))],
+        names=["phrase", "rank", "first"],
+    )
+    ends = np.append(0, np.cumsum(np.bincount(p.doc[first], minlength=len(texts))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
+
+
 def phrase_ranks(phrases: Column, rounds: int = ROUNDS) -> Column:
     """Distinct phrases of one document with their rank and first place.
 
-    A phrase of k words with rank sum s scores sqrt(s / k) * k / (k + 1).
+    A phrase of k words with rank sum s scores sqrt(s / k) * k / (k + 1). All
+    documents of a batch are ranked at once.
     """
 
     @F.arrow_udf(PHRASES)
     def ranked(texts: pa.Array) -> pa.Array:
-        ends, names, scores, firsts = [0], [], [], []
-        for t in texts.to_pylist():
-            runs = [[p.split(" ") for p in s.split("\t") if p] for s in (t or "").split("\n")]
-            rank = _pagerank([[w for p in s for w in p] for s in runs], rounds)
-            first: dict[str, int] = {}
-            for k, p in enumerate(p for s in runs for p in s):
-                first.setdefault(" ".join(p), k)
-            for phrase, k in first.items():
-                words = phrase.split(" ")
-                mean = sum(rank[w] for w in words) / len(words)
-                names.append(phrase)
-                scores.append(mean**0.5 * len(words) / (len(words) + 1))
-                firsts.append(k)
-            ends.append(len(names))
-        structs = pa.StructArray.from_arrays(
-            [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(firsts, pa.int32())],
-            names=["phrase", "rank", "first"],
-        )
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
+        parts = [_ranked(texts.slice(a, SLICE_ROWS), rounds) for a in range(0, len(texts), SLICE_ROWS)]
+        return pa.concat_arrays(parts) if parts else _ranked(texts, rounds)
 
     return ranked(F.array_join(F.transform(phrases, lambda ps: F.array_join(ps, "\t")), "\n"))
 

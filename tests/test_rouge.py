@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -82,3 +83,27 @@ def test_scores_per_row(spark):
     row = rouge_scores(df, "id").first()
     assert (row.rouge1, row.rouge2, row.rougeL) == (1, 1, 1)
     assert 0 < row.rougeLsum <= 1
+
+
+def test_way_back_from_kept_vectors(monkeypatch):
+    rng = random.Random(12)
+    for _ in range(120):
+        ref, can = (rng.choices("abcdefg", k=rng.randrange(0, 40)) for _ in range(2))
+        whole = picked(ref, can)
+        assert rouge._lcs_places(ref, can) == set(whole) and rouge._lcs_length(ref, can) == len(whole)
+        monkeypatch.setattr(rouge._Places, "MASK_BYTES", 0)
+        assert rouge._lcs_places(ref, can) == set(whole)
+        monkeypatch.undo()
+
+
+def test_long_texts_in_bounded_memory():
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(20_000)]
+    ref, can = (rng.choices(words, k=30_000) for _ in range(2))
+    can[5_000:15_000] = ref[4_000:14_000]
+    tracemalloc.start()
+    found = rouge._lcs_places(ref, can)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == rouge._lcs_length(ref, can) > 10_000
+    assert most < 80e6

@@ -1,7 +1,12 @@
 import math
+import random
+from collections import Counter
+
+import pyarrow as pa
 
 from pyspark.sql import functions as F
 
+from gistmill.functions import summaries as sm
 from gistmill.functions.stopwords import ENGLISH
 from gistmill.functions.vectors import embedding_match_score
 from gistmill.operators import summarize as su
@@ -69,3 +74,42 @@ def test_zero_vectors_match_nothing(spark):
     got = [r.s for r in df.select(embedding_match_score(F.col("p"), F.col("r")).alias("s")).collect()]
     assert tuple(got[0]) == (0.5, 1.0, 2 * 0.5 / 1.5) and tuple(got[1]) == (0.0, 0.0, 0.0)
     assert got[2] is None and got[3] is None
+
+
+def test_ranks_of_a_batch_as_document_by_document(monkeypatch):
+    rng = random.Random(9)
+    docs = ["", "\n\n", None] + [
+        "\n".join(
+            "\t".join(" ".join(rng.choices("abcdefgh", k=rng.randrange(1, 4))) for _ in range(rng.randrange(0, 4)))
+            for _ in range(rng.randrange(1, 5))
+        )
+        for _ in range(60)
+    ]
+
+    def alone(text):
+        runs = [[p.split(" ") for p in s.split("\t") if p] for s in (text or "").split("\n")]
+        lines = [[w for p in s for w in p] for s in runs]
+        words = sorted({w for s in lines for w in s})
+        meets = Counter()
+        for s in lines:
+            for i, j in ((i, j) for i in range(len(s)) for j in range(i + 1, min(i + 4, len(s))) if s[i] != s[j]):
+                meets[s[i], s[j]] += 1
+                meets[s[j], s[i]] += 1
+        out = Counter()
+        for (a, _), m in meets.items():
+            out[a] += m
+        rank = dict.fromkeys(words, 1 / max(len(words), 1))
+        for _ in range(20):
+            rank = {w: 0.15 / len(words) + 0.85 * sum(rank[a] * m / out[a] for (a, b), m in meets.items() if b == w) for w in words}
+        phrases = [p for s in runs for p in s]
+        seen = {}
+        for k, p in enumerate(phrases):
+            seen.setdefault(" ".join(p), k)
+        score = lambda p: (sum(rank[w] for w in p) / len(p)) ** 0.5 * len(p) / (len(p) + 1)
+        return [(name, score(name.split(" ")), k) for name, k in seen.items()]
+
+    got = sm._ranked(pa.array(docs), 20).to_pylist()
+    for text, found in zip(docs, got, strict=True):
+        want = alone(text)
+        assert [(f["phrase"], f["first"]) for f in found] == [(w[0], w[2]) for w in want]
+        assert all(abs(f["rank"] - w[1]) < 1e-12 for f, w in zip(found, want, strict=True))
