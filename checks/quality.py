@@ -10,7 +10,7 @@ from checks.views import GAPPED, TOKEN, WORD, documents, r6, sql_all, sql_list,
 from gistmill.functions import quality as qf
 from gistmill.functions import repetition as rp
 from gistmill.functions import tokens as tk
-from gistmill.functions.language import FLOOR, SCALE
+from gistmill.functions.language import EVIDENCE, FLOOR, SCALE, UNKNOWN, background_weight
 from gistmill.functions.quality import FILTERS, QualityParams, article_profile, summary_profile
 from gistmill.functions.stopwords import ENGLISH
 from gistmill.operators import language as lg
@@ -334,7 +334,8 @@ def grams_of(t: str) -> str:
 def language_sql(text: str) -> str:
     """CTEs up to ``probs(doc_id, lang, prob)``; ``text`` is what is scored."""
     return f"""
-learn AS (SELECT lang, {CLEAN.format(t="text")} AS t FROM documents),
+learn AS (SELECT lang, {CLEAN.format(t="text")} AS t FROM documents
+          WHERE ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT % 2 = 0),
 seen AS (SELECT lang, g, count(*) AS c FROM (SELECT lang, unnest({grams_of("t")}) AS g FROM learn)
          GROUP BY lang, g),
 tot AS (SELECT lang, sum(c) AS n FROM seen GROUP BY lang),
@@ -345,17 +346,23 @@ prof AS (SELECT lang, g, (round(ln(c::DOUBLE / n) * {SCALE})
 body AS (SELECT doc_id, {CLEAN.format(t=text)} AS t FROM documents),
 used AS (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, unnest({grams_of("t")}) AS g FROM body)
          GROUP BY doc_id, g),
-raw AS (SELECT doc_id, lang, coalesce(sum(c * w), 0)::BIGINT AS s
+known AS (SELECT doc_id, lang, coalesce(sum(c * w), 0)::BIGINT AS s
         FROM (SELECT doc_id, lang FROM documents d0, tot) x(doc_id, lang)
         LEFT JOIN (SELECT doc_id, c, w, prof.lang AS pl FROM used JOIN prof USING (g)) y
           ON x.doc_id = y.doc_id AND x.lang = y.pl GROUP BY ALL),
+flat AS (SELECT doc_id, greatest(length(t) - 2, 0) * {background_weight()} AS s FROM body),
+raw AS (SELECT doc_id, lang, s, f FROM (SELECT doc_id, lang, s FROM known UNION ALL SELECT doc_id, '{UNKNOWN}', s FROM flat)
+        JOIN (SELECT doc_id, least(1, coalesce({EVIDENCE * background_weight()}::DOUBLE / nullif(s, 0), 1)) AS f FROM flat)
+        USING (doc_id)),
 probs AS (SELECT doc_id, lang, e / sum(e) OVER (PARTITION BY doc_id) AS prob FROM (
-          SELECT doc_id, lang, exp((s - max(s) OVER (PARTITION BY doc_id)) / {SCALE}::DOUBLE) AS e
+          SELECT doc_id, lang, exp((s - max(s) OVER (PARTITION BY doc_id)) * f / {SCALE}::DOUBLE) AS e
           FROM raw))"""
 
 
 def scoring_profile(spark: SparkSession, sf_dir: str):
-    return lg.load_profile(lg.language_profile(documents(spark, sf_dir), size=PROFILE_SIZE))
+    """Learned from half of the documents; all are scored."""
+    labelled = documents(spark, sf_dir).where(lg.learns("doc_id"))
+    return lg.load_profile(lg.language_profile(labelled, size=PROFILE_SIZE))
 
 
 LANG_SQL = language_sql("text").replace(

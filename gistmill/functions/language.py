@@ -1,11 +1,19 @@
-"""Language scores from character trigrams, one row at a time."""
+"""Language scores from character trigrams, a batch of rows at a time.
+
+Beside the languages of a profile stands a class for none of them: a text whose
+trigrams are, on the whole, less likely in every language than under a flat
+background. What the trigrams say is scaled to that of ``EVIDENCE`` trigrams,
+whatever the length, so long texts are not certain by length alone.
+"""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +21,10 @@ from gistmill.functions.rows import let
 
 SCALE = 1_000_000  # log-probabilities are kept as integers of this many parts
 FLOOR = 1e-6  # probability of a trigram outside a language's profile
+BACKGROUND = 3e-5  # probability of a trigram in a text of no known language
+EVIDENCE = 10  # trigrams whose mean evidence a text is judged by
+UNKNOWN = "und"
+SLICE_CHARS = 1 << 20
 TRIGRAM = r"(?=(...))"
 
 
@@ -29,6 +41,15 @@ def trigrams(text: Column) -> Column:
     return F.regexp_extract_all(letters_only(text), F.lit(TRIGRAM), F.lit(1))
 
 
+def background_weight() -> int:
+    return round(math.log(BACKGROUND) * SCALE) - round(math.log(FLOOR) * SCALE)
+
+
+def _codes(points: np.ndarray) -> np.ndarray:
+    """A number for each three characters in a row."""
+    return (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
+
+
 @dataclass(frozen=True)
 class LanguageProfile:
     """Trigram weights per language: a small table by construction."""
@@ -38,37 +59,57 @@ class LanguageProfile:
     weights: tuple[tuple[int, ...], ...]  # one row per gram, one value per language
 
     def raw_scores(self, text: Column) -> Column:
-        """Summed integer weights, in the order of ``langs``; NULL stays NULL."""
-        code = lambda cp: (cp[:-2] << 42) | (cp[1:-1] << 21) | cp[2:]
-        points = lambda s: np.frombuffer(s.encode("utf-32-le"), "<u4").astype(np.int64)
-        keys = np.array([code(points(g))[0] for g in self.grams], dtype=np.int64)
+        """Summed integer weights, in the order of ``langs``, and last that of the
+        background; NULL stays NULL."""
+        points = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        keys = np.array([_codes(points(g))[0] for g in self.grams], dtype=np.int64)
         order = np.argsort(keys)
         keys = keys[order]
-        weights = np.array(self.weights, dtype=np.int64)[order]
-        none = [0] * len(self.langs)
+        weights = np.array(self.weights, dtype=np.int64).reshape(len(keys), len(self.langs))[order]
+        flat = background_weight()
+
+        def scored(texts: pa.Array) -> np.ndarray:
+            chars = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            codes = _codes(points("".join(texts.to_pylist())))
+            ends = np.cumsum(chars)
+            row = np.repeat(np.arange(len(chars)), chars)[: len(codes)]
+            inside = np.arange(len(codes)) + 3 <= ends[row]
+            codes, row = codes[inside], row[inside]
+            out = np.zeros((len(chars), len(self.langs) + 1), np.int64)
+            out[:, -1] = np.bincount(row, minlength=len(chars)) * flat
+            if len(keys) and len(codes):
+                at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+                known = keys[at] == codes
+                for k in range(len(self.langs)):
+                    np.add.at(out[:, k], row[known], weights[at[known], k])
+            return out
 
         @F.arrow_udf("array<bigint>")
         def summed(texts: pa.Array) -> pa.Array:
-            rows = []
-            for s in texts.to_pylist():
-                if s is None or len(s) < 3:
-                    rows.append(None if s is None else none)
-                    continue
-                seen = code(points(s))
-                at = np.minimum(np.searchsorted(keys, seen), len(keys) - 1)
-                rows.append(weights[at[keys[at] == seen]].sum(axis=0).tolist())
-            return pa.array(rows, pa.list_(pa.int64()))
+            filled, parts, a = texts.fill_null(""), [], 0
+            ends = np.cumsum(pc.binary_length(filled).to_numpy(zero_copy_only=False).astype(np.int64))
+            while a < len(filled):
+                before = ends[a - 1] if a else 0
+                b = max(a + 1, int(np.searchsorted(ends, before + SLICE_CHARS, "right")))
+                parts.append(scored(filled.slice(a, b - a)))
+                a = b
+            flat_rows = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int64)
+            offsets = pa.array(np.arange(len(texts) + 1) * (len(self.langs) + 1), pa.int32())
+            return pa.ListArray.from_arrays(offsets, pa.array(flat_rows), mask=texts.is_null())
 
         # Marked so that Catalyst scores each row once, where it is asked to,
         # instead of moving the call into filters.
         return summed.asNondeterministic()(letters_only(text))
 
     def ranked(self, raw: Column) -> Column:
-        """``array<struct<lang, prob>>`` from raw scores, best first."""
-        names = F.array(*[F.lit(name) for name in self.langs])
+        """``array<struct<lang, prob>>`` from raw scores, best first; ``UNKNOWN``
+        is none of the languages."""
+        names = F.array(*[F.lit(name) for name in (*self.langs, UNKNOWN)])
+        enough = F.lit(float(EVIDENCE * background_weight()))
 
         def softmax(scores: Column, top: Column) -> Column:
-            rel = F.transform(scores, lambda s: F.exp((s - top) / F.lit(float(SCALE))))
+            share = F.least(F.lit(1.0), F.coalesce(F.try_divide(enough, F.element_at(scores, -1)), F.lit(1.0)))
+            rel = F.transform(scores, lambda s: F.exp((s - top) * share / F.lit(float(SCALE))))
             return let(
                 rel,
                 lambda es: let(

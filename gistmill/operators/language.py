@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.functions.language import FLOOR, SCALE, LanguageProfile, trigrams
 from gistmill.functions.rows import exploded, inlined
+from gistmill.operators.order import hash_to_long, md5_of
+
 
 def language_profile(
     df: DataFrame, text: str = "text", lang: str = "lang", size: int = 1000
@@ -28,6 +30,12 @@ def language_profile(
     )
 
 
+def learns(key: str) -> Column:
+    """Half of all rows, by a hash of their key: those a profile is learned from
+    where the others are to show how well it does."""
+    return F.coalesce(hash_to_long(md5_of(F.col(key))) % 2 == 0, F.lit(False))
+
+
 def load_profile(profile: DataFrame) -> LanguageProfile:
     """Fetch a profile table. Its size per language and the number of languages
     bound it, whatever the corpus."""
@@ -42,6 +50,6 @@ def load_profile(profile: DataFrame) -> LanguageProfile:
 def language_scores(
     df: DataFrame, profile: LanguageProfile, key: str, text: str = "text"
 ) -> DataFrame:
-    """``(key, lang, prob)`` for every language of the profile."""
+    """``(key, lang, prob)`` for every language of the profile and for none."""
     scored = df.select(key, profile.raw_scores(F.col(text)).alias("_raw"))
     return inlined(scored, [key], profile.ranked(F.col("_raw")), "lang")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from gistmill.functions import quality as qf
 from gistmill.functions import tokens as tk
 from gistmill.functions.quality import FILTERS, QualityParams, article_profile, summary_profile
-from gistmill.operators.language import language_profile, load_profile
+from gistmill.operators.language import language_profile, language_scores, learns, load_profile
 from gistmill.operators.quality import describe_filter, filter_counts, quality_filter
 
 def col():
@@ -137,3 +137,36 @@ def test_duplicate_part_filters(texts):
     got = df.orderBy("id").select(qf.duplicate_line_filter(col(), 0.2).alias("x")).collect()
     assert [r.x for r in got] == [True, False]
     assert df.select(tk.n_words(col()).alias("n")).count() == 2
+
+
+def test_language_of_rows_not_learned_from_and_of_none(spark, texts):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    profile = load_profile(language_profile(docs.where(learns("doc_id"))))
+    best = F.max_by("lang", "prob").alias("best")
+    told = language_scores(docs.where(~learns("doc_id")), profile, "doc_id").groupBy("doc_id").agg(best)
+    unseen = told.join(docs, "doc_id").select("lang", "best").collect()
+    assert len(unseen) > 60 and sum(r.lang == r.best for r in unseen) >= 0.98 * len(unseen)
+    other = texts(
+        "Всички хора се раждат свободни и равни по достойнство и права",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である",
+        "xq zv kk qqwx zzpt vbnm",
+        "zzzz",
+        "",
+        None,
+    )
+    rows = language_scores(other, profile, "id").groupBy("id").agg(best, F.max("prob").alias("p"), F.sum("prob").alias("all"))
+    got = {r.id: r for r in rows.collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4]  # a null text has no scores
+    assert all(got[i].best == "und" and got[i].p > 0.9 for i in range(4))
+    assert abs(got[4].p - 1 / (len(profile.langs) + 1)) < 1e-9 and all(abs(r["all"] - 1) < 1e-9 for r in got.values())
+
+
+def test_language_scores_do_not_depend_on_slices(spark, texts):
+    rows = [("da", "det er en dejlig dag og solen skinner"), ("en", "this is the first day of the week")]
+    profile = load_profile(language_profile(spark.createDataFrame(rows, "lang string, text string")))
+    values = ["det er", "", "a", None, "this day 語 😀 og solen", "dejlig " * 300]
+    raw = lambda: [r.raw for r in texts(*values).coalesce(1).select("id", profile.raw_scores(F.col("text")).alias("raw")).orderBy("id").collect()]
+    whole = raw()
+    assert whole[3] is None and whole[1] == [0, 0, 0]
+    alone = [texts(v).select(profile.raw_scores(F.col("text")).alias("raw")).first().raw for v in values if v is not None]
+    assert [w for w in whole if w is not None] == alone
