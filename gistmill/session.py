@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,3 +69,18 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
     stored = df.sparkSession.read.parquet(path)
     stored._stored_in = path
     return stored
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 1 << 23) -> Iterator[None]:
+    """Jobs that run inside pass ``most`` bytes or a row at a time to Python
+    workers: the default bounds rows, of which long texts need few."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
