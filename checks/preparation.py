@@ -28,6 +28,7 @@ from gistmill.functions import tokens as tk
 from gistmill.functions import repair as repair_
 from gistmill.functions.repair import compose
 from gistmill.operators import prep, ranking as rk, stats, vocab as vc
+from gistmill.operators.order import dense_index
 from gistmill.plans import clean, ratings, vocabulary
 from gistmill.session import new_folder, written
 from gistmill.sources import tables as src
@@ -450,6 +451,58 @@ def gather_embeddings(spark, sf_dir):
     return vocabulary.pruned_embeddings(*id_counts(spark, sf_dir), vectors, VOCAB, **SIZES)
 
 
+# Token ids of the two corpora at the sizes of the original selection.
+TOKEN_IDS = f"""{COUNTS},
+joint AS (SELECT token, sum(cnt) AS cnt FROM (SELECT * FROM ta UNION ALL SELECT * FROM tb) GROUP BY token),
+ids AS MATERIALIZED (SELECT token, 999 + row_number() OVER (ORDER BY cnt DESC, token) AS id FROM joint),
+vsize AS (SELECT 1000 + count(*) + 100 AS v FROM ids),
+coded_b AS (SELECT id AS token, cnt FROM tb JOIN ids USING (token)),
+coded_a AS (SELECT id AS token, cnt FROM ta JOIN ids USING (token)),
+low AS (SELECT * FROM range(1000) t(token) UNION
+        SELECT token FROM (SELECT token FROM coded_b ORDER BY cnt DESC, token LIMIT 30000)),
+fresh AS (SELECT token, cnt FROM (SELECT token, cnt FROM coded_a ORDER BY cnt DESC, token LIMIT 115000)
+          WHERE token NOT IN (SELECT token FROM low)),
+added AS (SELECT token FROM fresh
+          QUALIFY row_number() OVER (ORDER BY cnt DESC, token) <= 119900 - (SELECT count(*) FROM low)),
+kept AS MATERIALIZED (SELECT token FROM low UNION SELECT token FROM added
+        UNION SELECT unnest(range(v - 100, v)) FROM vsize),
+fresh_ids AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS new_id FROM kept)"""
+
+
+def corpus_vocabulary(spark, sf_dir):
+    benchmark, documents_ = corpus_counts(spark, sf_dir, "benchmark"), corpus_counts(spark, sf_dir)
+    return vocabulary.kept_ids(benchmark, documents_)
+
+
+@check("token_dictionary", f"WITH {TOKEN_IDS} SELECT token, id FROM ids")
+def token_dictionary(spark, sf_dir):
+    return corpus_vocabulary(spark, sf_dir)[0]
+
+
+@check("select_corpus_vocab", f"WITH {TOKEN_IDS} SELECT token, new_id FROM fresh_ids")
+def select_corpus_vocab(spark, sf_dir):
+    return corpus_vocabulary(spark, sf_dir)[1]
+
+
+@check(
+    "gather_corpus_embeddings",
+    f"WITH {TOKEN_IDS}, e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, embedding FROM embeddings), "
+    "n AS (SELECT count(*) AS n FROM e) "
+    "SELECT new_id, token AS old_id, embedding[1] AS lead, embedding[-1] AS last FROM fresh_ids, n "
+    "JOIN e ON k = token % n.n",
+)
+def gather_corpus_embeddings(spark, sf_dir):
+    """Every id of the vocabulary has one of the given vectors, in turn."""
+    _, kept, size = corpus_vocabulary(spark, sf_dir)
+    given = dense_index(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "k")
+    n = given.count()
+    ids = spark.range(size).select(F.col("id").alias("vec_id"), (F.col("id") % n).alias("k"))
+    found = vc.gather_embeddings(ids.join(given.drop("vec_id"), "k"), kept)
+    return found.select(
+        "new_id", "old_id", F.get("embedding", F.lit(0)).alias("lead"), F.element_at("embedding", -1).alias("last")
+    )
+
+
 # --- rankings ---------------------------------------------------------------
 
 

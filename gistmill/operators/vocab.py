@@ -81,6 +81,24 @@ def top_tokens(counts: DataFrame, k: int = 30) -> DataFrame:
     return counts.orderBy(F.desc("cnt"), "token").limit(k)
 
 
+def token_ids(counts: DataFrame, reserved: int = 0) -> DataFrame:
+    """``(token, id)``: a dictionary of all tokens of a ``(token, cnt)`` table.
+
+    Ids are dense from ``reserved`` on, frequent tokens first, equal counts in
+    the order of the token. Tokens are dealt out by ranges of that order and
+    numbered within them; only the ranges' sizes meet, so the dictionary may be
+    as large as its corpus has words.
+    """
+    order = F.struct((-F.col("cnt")).alias("neg"), F.col("token").alias("token"))
+    numbered = dense_index(counts.select(order.alias("_order")), "_order", "id")
+    return numbered.select(F.col("_order.token").alias("token"), (F.col("id") + reserved).alias("id"))
+
+
+def coded_counts(counts: DataFrame, ids: DataFrame) -> DataFrame:
+    """A ``(token, cnt)`` table with ids for tokens; those without one drop out."""
+    return counts.join(ids, "token").select(F.col("id").alias("token"), "cnt")
+
+
 def id_union(*tables: DataFrame, token: str = "token") -> DataFrame:
     """Distinct ids of all tables."""
     return reduce(DataFrame.union, [t.select(F.col(token).cast("long").alias(token)) for t in tables]).distinct()
