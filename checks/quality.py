@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,12 @@ def share_sql(pattern: str, share: str, least: int) -> str:
 FILLED = f"list_filter(list_transform({LINES}, lambda x: {sql_strip('x')}), lambda x: x <> '')"
 
 
+def stop_tokens(words) -> str:
+    """Stop words as runs of tokens in angle brackets, longest first."""
+    runs = ["".join(f"<{t}>" for t in re.findall(r"[^\W_]+|[^\w\s]|_", w)) for w in words]
+    return "|".join(sorted(runs, key=lambda r: (-len(r), r))).replace("'", "''")
+
+
 def simple_sql(p: QualityParams = EN) -> dict[str, str]:
     words = sql_all("text", WORD)
     return {
@@ -61,8 +69,8 @@ def simple_sql(p: QualityParams = EN) -> dict[str, str]:
         f"BETWEEN {p.mean_word_length[0]} AND {p.mean_word_length[1]}",
         "alpha_ratio": f"{N_WORDS} >= 1 AND len(list_filter({words}, "
         rf"lambda w: regexp_matches(w, '\p{{L}}'))) >= floor({N_WORDS} * {p.alpha_ratio}::DOUBLE)",
-        "stop_word": f"len(list_filter({sql_all('lower(text)', TOKEN)}, "
-        f"lambda w: w IN ({sql_list(p.stop_words)}))) >= {p.min_stop_words}",
+        "stop_word": f"len(regexp_extract_all(array_to_string(list_transform({sql_all('lower(text)', TOKEN)}, "
+        f"lambda w: '<' || w || '>'), ''), '{stop_tokens(p.stop_words)}')) >= {p.min_stop_words}",
         "symbol_2_word_hashtag": symbol_sql("#"),
         "symbol_2_word_ellipsis": symbol_sql("…"),
         "line_bullets_or_ellipsis": "NOT ("

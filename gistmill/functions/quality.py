@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -119,9 +120,37 @@ def alpha_ratio(text: Column, words: Column, ratio: float) -> Column:
     return (words >= 1) & (tk.n_alpha_words(text) >= F.floor(words * F.lit(ratio)))
 
 
+def _prefix_tree(phrases: Sequence[str]) -> str:
+    """Phrases as a pattern that reads each shared beginning once; longer ones first."""
+    ends, heads = "" in phrases, {}
+    for x in phrases:
+        if x:
+            heads.setdefault(x[0], []).append(x[1:])
+    if not heads:
+        return ""
+    read = lambda c: r"\s+" if c == " " else re.escape(c)
+    body = "|".join(read(c) + _prefix_tree(rest) for c, rest in sorted(heads.items()))
+    return f"(?:{body})?" if ends else f"(?:{body})"
+
+
+def phrase_pattern(phrases: Sequence[str]) -> str:
+    """A pattern that finds phrases as whole tokens of a text. A contraction is
+    several tokens under the text's own pattern and found as such; of phrases
+    that start alike the longest is found. White space in a phrase stands for any."""
+    word = r"[\p{L}\p{N}]"
+    groups: dict[tuple[bool, bool], list[str]] = {}
+    for x in sorted({" ".join(x.split()) for x in phrases} - {""}):
+        groups.setdefault((x[0].isalnum(), x[-1].isalnum()), []).append(x)
+    return "|".join(
+        (f"(?<!{word})" if before else "") + _prefix_tree(some) + (f"(?!{word})" if after else "")
+        for (before, after), some in sorted(groups.items(), reverse=True)
+    )
+
+
 def stop_word(text: Column, stop_words: Sequence[str], n: int) -> Column:
-    hits = F.filter(tk.tokens(F.lower(text)), lambda t: t.isin(*stop_words))
-    return F.size(hits) >= n
+    if not stop_words:
+        return F.lit(n <= 0)
+    return F.regexp_count(F.lower(text), F.lit(phrase_pattern(stop_words))) >= n
 
 
 def symbol_to_word(text: Column, words: Column, symbol: str, ratio: float) -> Column:

@@ -170,3 +170,13 @@ def test_language_scores_do_not_depend_on_slices(spark, texts):
     assert whole[3] is None and whole[1] == [0, 0, 0]
     alone = [texts(v).select(profile.raw_scores(F.col("text")).alias("raw")).first().raw for v in values if v is not None]
     assert [w for w in whole if w is not None] == alone
+
+
+def test_contractions_and_phrases(texts):
+    df = texts("I don't, you WON'T.", "don'ts wont", "isn't", "can't-do a", "New   York is a", "newyork xis")
+    words = ("don't", "won't", "isn't", "can't", "new york", "is", "a", "don")
+    hits = F.regexp_count(F.lower(col()), F.lit(qf.phrase_pattern(words)))
+    got = [r.n for r in df.orderBy("id").select(hits.alias("n")).collect()]
+    assert got == [2, 1, 1, 2, 3, 0]
+    assert passes(df, "stop_word", stop_words=words, min_stop_words=2) == [True, False, False, True, True, False]
+    assert passes(df, "stop_word", stop_words=(), min_stop_words=1) == [False] * 6
