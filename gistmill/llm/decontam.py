@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.graph import unused_name
+from gistmill.llm.graph import own_columns, unused_name
 from gistmill.llm.words import letter_words, shingles, word_hashes
 
 BLOCK_CHARS = 16_000_000  # of item texts in a broadcast
@@ -187,4 +187,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     """``docs`` without the rows that contain an item."""
     name = unused_name(docs, "found")
     found = contained_items(docs, benchmark, text_col, **kw)
-    return found.where(F.size(name) == 0).select(*docs.columns)
+    return found.where(F.size(name) == 0).select(*own_columns(docs))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.session import used_up, written
@@ -20,6 +20,11 @@ def unused_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` as they are named, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """``(node, root)``: the smallest node of each node's component.
 

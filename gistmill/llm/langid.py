@@ -11,7 +11,7 @@ the driver. Every text is scored whole, in chunks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistmill.llm.graph import unused_name
+from gistmill.llm.graph import own_columns, unused_name
 
 SLOT_BITS = 15
 ORDERS = (1, 2, 3)
 CHUNK = 1 << 18
+CUT_CHARS = 60  # of the short texts a model is calibrated for
 UNKNOWN = "und"
 _SEEDS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1))
 
@@ -86,9 +87,54 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
+def rarity(counts: np.ndarray, idf: np.ndarray) -> tuple[float, int]:
+    """How rare a text's n-grams are on the whole: their mean IDF, and how many
+    they are."""
+    n = int(counts.sum())
+    return (float(counts @ idf) / n if n else 0.0), n
+
+
+@dataclass(frozen=True)
+class Usual:
+    """How rare the n-grams of texts in the learned languages are: mean, spread
+    between texts, spread of a single n-gram, and how many spreads over the mean
+    the rarest known text is. ``flat`` is the rarity of a text whose n-grams have
+    nothing to do with the learned ones."""
+
+    mean: float
+    between: float
+    within: float
+    widest: float
+    flat: float
+
+    def spread(self, n):
+        return np.sqrt(self.between**2 + self.within**2 / np.maximum(n, 1))
+
+    def evidence(self, rare: float, n: int) -> float:
+        """1 up to half as far again from the mean as any known text of that
+        length, then falling to 0 where n-grams are as rare as any."""
+        limit = self.mean + 1.5 * self.widest * float(self.spread(n))
+        if rare <= limit or limit >= self.flat:
+            return 1.0
+        return max(0.0, (self.flat - rare) / (self.flat - limit))
+
+
+def usual(whole: np.ndarray, cuts: np.ndarray, idf: np.ndarray) -> Usual:
+    """From ``(rarity, n-grams)`` of known texts and of short cuts of them."""
+    mean, between = float(whole[:, 0].mean()), float(whole[:, 0].std()) + 1e-6
+    rest = ((cuts[:, 0] - mean) ** 2 - between**2) * cuts[:, 1] if len(cuts) else np.zeros(1)
+    first = Usual(mean, between, float(np.sqrt(max(rest.mean(), 1e-6))), 0.0, float(idf.mean()))
+    every = np.concatenate([whole, cuts]) if len(cuts) else whole
+    widest = float(((every[:, 0] - mean) / first.spread(every[:, 1])).max())
+    return replace(first, widest=max(widest, 2.0))
+
+
 def features(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slots of a text and their TF-IDF, of length one."""
-    counts = slots(text)
+    return weighted(slots(text), idf)
+
+
+def weighted(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(counts)
     values = counts[at] * idf[at]
     norm = np.sqrt(values @ values)
@@ -102,15 +148,18 @@ class Model:
     weights: np.ndarray  # slot x label
     bias: np.ndarray
     temperature: float = 1.0
+    usual: Usual | None = None
 
     def logits(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
         return values @ self.weights[at] + self.bias
 
     def predict(self, text: str) -> tuple[str, float]:
-        z = self.logits(*features(text, self.idf)) / self.temperature
+        counts = slots(text)
+        z = self.logits(*weighted(counts, self.idf)) / self.temperature
         p = np.exp(z - z.max())
         best = int(p.argmax())
-        return self.labels[best], float(p[best] / p.sum())
+        known = self.usual.evidence(*rarity(counts, self.idf)) if self.usual else 1.0
+        return self.labels[best], float(p[best] / p.sum()) * known
 
 
 def fit_weights(rows: list[tuple[np.ndarray, np.ndarray, int]], n_labels: int, s: Settings):
@@ -143,12 +192,15 @@ def fit_weights(rows: list[tuple[np.ndarray, np.ndarray, int]], n_labels: int, s
 
 
 def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature under which the given labels are likeliest."""
+    """The temperature under which the given labels are likeliest, with a prior
+    around 1 that weighs as much as one row: rows that are told apart without
+    any error would else ask for a temperature of zero."""
 
     def loss(log_t: float) -> float:
         z = logits / np.exp(log_t)
         z = z - z.max(1, keepdims=True)
-        return float(-(z[np.arange(len(z)), labels] - np.log(np.exp(z).sum(1))).mean())
+        miss = -(z[np.arange(len(z)), labels] - np.log(np.exp(z).sum(1)))
+        return float(miss.sum() + log_t**2 / 2)
 
     low, high, golden = -5.0, 5.0, (np.sqrt(5) - 1) / 2
     for _ in range(60):
@@ -175,26 +227,40 @@ def _features_of(idf):
     """Slots and values as the bytes of small numbers: the sample comes to the
     driver and is never spelled out there as Python objects."""
 
-    @F.arrow_udf("at binary, x binary")
+    @F.arrow_udf(_FEATURES)
     def featured(texts: pa.Array) -> pa.Array:
-        pairs = [features(t.as_py(), idf.value) for t in texts]
-        return pa.StructArray.from_arrays(
-            [
-                pa.array([at.astype("<u2").tobytes() for at, _ in pairs], pa.binary()),
-                pa.array([x.astype("<f4").tobytes() for _, x in pairs], pa.binary()),
-            ],
-            names=["at", "x"],
-        )
+        columns = [[] for _ in range(8)]
+        for t in texts:
+            text = t.as_py()
+            middle = len(text) // 2
+            for k, part in ((0, text), (4, text[middle : middle + CUT_CHARS])):
+                counts = slots(part)
+                at, x = weighted(counts, idf.value)
+                rare, n = rarity(counts, idf.value)
+                values = (at.astype("<u2").tobytes(), x.astype("<f4").tobytes(), rare, n)
+                for column, value in zip(columns[k : k + 4], values, strict=True):
+                    column.append(value)
+        kinds = [pa.binary(), pa.binary(), pa.float64(), pa.int64()] * 2
+        names = [f.split()[0] for f in _FEATURES.split(", ")]
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return featured
 
 
+_FEATURES = "at binary, x binary, rare double, n bigint, cut_at binary, cut_x binary, cut_rare double, cut_n bigint"
+
+
+def _pair(at: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(at, "<u2").astype(np.int32), np.frombuffer(x, "<f4")
+
+
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     """A model from a table ``(key, text, lang)``.
 
     Rows without a letter or a language teach nothing. Of each language the
     rows with the smallest hashes of ``key`` and text are the sample, one in
-    five of them for the temperature. Without any row the model has no labels
+    five of them, and a short cut of each, for the temperature. All of them and
+    their cuts show how rare the n-grams of known texts are. Without any row the model has no labels
     and every text is unknown.
     """
     spark = labelled.sparkSession
@@ -225,16 +291,19 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     made = ranked.select("lang", "r", _features_of(known)("text").alias("f")).select("lang", "r", "f.*")
     sample = sorted(made.collect(), key=lambda r: (r["lang"], r["r"]))
     number = {lang: i for i, lang in enumerate(labels)}
-    data = [
-        (np.frombuffer(r["at"], "<u2").astype(np.int32), np.frombuffer(r["x"], "<f4"), number[r["lang"]])
-        for r in sample
-    ]
-    held = [d for i, d in enumerate(data) if i % 5 == 0]
-    learned = [d for i, d in enumerate(data) if i % 5] or held
+    data = [(*_pair(r["at"], r["x"]), number[r["lang"]]) for r in sample]
+    held = [i for i in range(len(data)) if i % 5 == 0]
+    learned = [d for i, d in enumerate(data) if i % 5] or data
     weights, bias = fit_weights(learned, len(labels), settings)
     model = Model(labels, idf, weights, bias)
-    logits = np.array([model.logits(at, x) for at, x, _ in held])
-    model.temperature = fit_temperature(logits, np.array([y for _, _, y in held]))
+    # short texts are what a temperature has to be right for, too
+    cuts = [(*_pair(sample[i]["cut_at"], sample[i]["cut_x"]), data[i][2]) for i in held if sample[i]["cut_n"] > 2]
+    judged = [data[i] for i in held] + cuts
+    logits = np.array([model.logits(at, x) for at, x, _ in judged])
+    model.temperature = fit_temperature(logits, np.array([y for _, _, y in judged]))
+    whole = np.array([(r["rare"], r["n"]) for r in sample])
+    short = np.array([(r["cut_rare"], r["cut_n"]) for r in sample if r["cut_n"] > 2]).reshape(-1, 2)
+    model.usual = usual(whole, short, idf)
     return model
 
 
@@ -257,8 +326,10 @@ def _predict(model):
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (underscored where taken).
 
-    A text that is null or has no letter is ``und`` with score 0. Nothing but
-    the text is looked at; equal texts get equal results.
+    The score is the calibrated probability, less where the text's n-grams are
+    rarer than in any text of a learned language (``Usual``). A text that is null
+    or has no letter is ``und`` with score 0. Nothing but the text is looked at;
+    equal texts get equal results.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     lang, score = unused_name(docs, "lang_pred"), unused_name(docs, "score")
@@ -266,7 +337,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     # texts without a letter reach the model as null
     told = F.when(has_letter(F.col(text_col)), F.col(text_col))
     found = docs.withColumn(both, _predict(sent)(told))
-    return found.select(*docs.columns, F.col(f"{both}.lang_pred").alias(lang), F.col(f"{both}.score").alias(score))
+    return found.select(*own_columns(docs), F.col(f"{both}.lang_pred").alias(lang), F.col(f"{both}.score").alias(score))
 
 
 def is_held_out(id_: Column) -> Column:
@@ -284,4 +355,4 @@ def accepted(docs: DataFrame, least: float = 0.3, settings: Settings = Settings(
     """``docs`` without rows of no language: no letter, or a score below ``least``."""
     told = identify(docs, learn(docs, settings))
     lang, score = told.columns[-2:]
-    return told.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
+    return told.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*own_columns(docs))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from gistmill.llm.bits import bitmap, in_bitmap
-from gistmill.llm.graph import components, unused_name
+from gistmill.llm.graph import components, own_columns, unused_name
 from gistmill.session import written
 
 DEPTH = 3
@@ -292,7 +292,7 @@ def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
     found = tagged.join(gone.withColumnsRenamed({"row_key": key, "gone": drop}), key, "left")
     text = F.col(text_col)
     return found.select(
-        *docs.columns,
+        *own_columns(docs),
         _without(text, F.col(drop)).alias(names[0]),
         F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("bigint").alias(names[1]),
         F.coalesce(F.size(drop), F.lit(0)).cast("bigint").alias(names[2]),

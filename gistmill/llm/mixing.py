@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistmill.llm.graph import unused_name
+from gistmill.llm.graph import own_columns, unused_name
 from gistmill.session import written
 
 WEIGHTS = (5, 2, 1)
@@ -238,4 +238,4 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     own = _row_key(id_col, text_col, source_col)
     kept = docs.withColumn(key, own).join(total, key).dropDuplicates([key])
     again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times)))
-    return kept.withColumn(times, again).select(*docs.columns)
+    return kept.withColumn(times, again).select(*own_columns(docs))

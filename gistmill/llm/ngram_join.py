@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from gistmill.llm.bits import bitmap, in_bitmap
-from gistmill.llm.graph import components, unused_name
+from gistmill.llm.graph import components, own_columns, unused_name
 from gistmill.llm.words import as_long, mix, shingle_sets, white_space_words
 from gistmill.session import small_batches, used_up, written
 
@@ -520,7 +520,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     used_up(found)
     key, goes = unused_name(docs, "row_key"), unused_name(docs, "goes")
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    names = own_columns(docs)
     marks = unsure.select(F.col("row_key").alias(key), F.col("goes").alias(goes))
     if (these := _filter(unsure.select("row_key"))) is None:
         kept = keyed.join(marks, key, "left").where(~F.coalesce(goes, F.lit(False))).dropDuplicates([key])

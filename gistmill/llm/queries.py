@@ -181,16 +181,20 @@ def op6_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
     w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
             'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM texts),
-    s AS (SELECT DISTINCT side, id, unnest(CASE WHEN len(w) = 0 THEN []
-            WHEN len(w) < 5 THEN ['!' || array_to_string(w, ' ')]
-            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
-    n AS (SELECT id, count(*) AS n FROM s WHERE side = 'i' GROUP BY id)
-    SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared, any_value(n.n) AS of
-    FROM s i JOIN s d ON i.side = 'i' AND d.side = 'd' AND i.g = d.g JOIN n ON n.id = i.id
+    i AS (SELECT id, w, least(5, len(w)) AS k FROM w WHERE side = 'i' AND len(w) > 0),
+    si AS (SELECT DISTINCT id, k, unnest(list_transform(range(1, len(w) - k + 2),
+             lambda p: array_to_string(w[p:p + k - 1], ' '))) AS g FROM i),
+    sd AS (SELECT DISTINCT id, k, unnest(list_transform(range(1, len(w) - k + 2),
+             lambda p: array_to_string(w[p:p + k - 1], ' '))) AS g
+           FROM w, (SELECT DISTINCT k FROM i) WHERE side = 'd' AND len(w) >= k),
+    n AS (SELECT id, count(*) AS n FROM si GROUP BY id)
+    SELECT sd.id AS doc_id, si.id AS item_id, count(*) AS shared, any_value(n.n) AS of
+    FROM si JOIN sd ON si.k = sd.k AND si.g = sd.g JOIN n ON n.id = si.id
     GROUP BY ALL HAVING 100 * count(*) >= 80 * any_value(n.n)""",
 )
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    """Items of fewer than five words are found inside documents, too."""
+    return decontam.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), inside=True)
 
 
 _GROUPS_SQL = r"""
@@ -239,7 +243,7 @@ def op9_shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op10_line_templates")
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates depend on the order in a leaf; ``tests/llm`` parses by hand."""
+    """Templates are components of links; ``tests/llm`` links by brute force."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = line_templates.without_recurring_lines(docs)
     return found.select("doc_id", "n_lines", "n_dropped", "kept_text")

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -71,3 +73,78 @@ def test_sample_is_bounded_and_deterministic(spark):
     assert np.allclose(a.weights, b.weights) and abs(a.temperature - b.temperature) < 1e-6
     held = docs.select(langid.is_held_out(F.col("doc_id")).alias("h")).agg(F.mean(F.col("h").cast("int"))).first()[0]
     assert 0.2 < held < 0.3
+
+
+def test_weights_as_coordinate_by_coordinate():
+    """The optimiser written out with one number at a time, over ten rows."""
+    r = np.random.default_rng(3)
+    rows = [(np.sort(r.choice(30, 4, replace=False)), r.random(4), int(r.integers(3))) for _ in range(10)]
+    s = Settings(alpha=0.4, beta=0.7, l1=0.05, l2=0.2, passes=2, seed=5)
+    got, bias = fit_weights(rows, 3, s)
+    size = len(got)
+    z, n = {}, {}
+
+    def weight(i, k):
+        a = z.get((i, k), 0.0)
+        if abs(a) <= s.l1:
+            return 0.0
+        return -(a - math.copysign(s.l1, a)) / ((s.beta + math.sqrt(n.get((i, k), 0.0))) / s.alpha + s.l2)
+
+    order = np.random.default_rng(s.seed)
+    for _ in range(s.passes):
+        for row in order.permutation(10):
+            at, x, label = rows[row]
+            entries = [*zip(at.tolist(), x.tolist(), strict=True), (size, 1.0)]
+            w = {(i, k): weight(i, k) for i, _ in entries for k in range(3)}
+            odds = [math.exp(sum(w[i, k] * v for i, v in entries)) for k in range(3)]
+            for i, v in entries:
+                for k in range(3):
+                    g = v * (odds[k] / sum(odds) - (k == label))
+                    old = n.get((i, k), 0.0)
+                    n[i, k] = old + g * g
+                    z[i, k] = z.get((i, k), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / s.alpha * w[i, k]
+    want = np.array([[weight(i, k) for k in range(3)] for i in range(size)])
+    assert np.allclose(got, want, atol=1e-12) and np.allclose(bias, [weight(size, k) for k in range(3)])
+    assert (want != 0).any() and (want == 0).any()
+
+
+def test_features_by_hand():
+    idf = np.random.default_rng(0).random(1 << langid.SLOT_BITS) + 1
+    counts = slots("ab ab")
+    at, x = langid.features("ab ab", idf)
+    raw = {i: counts[i] * idf[i] for i in np.flatnonzero(counts).tolist()}
+    norm = math.sqrt(sum(v * v for v in raw.values()))
+    assert at.tolist() == sorted(raw) and np.allclose(x, [raw[i] / norm for i in sorted(raw)])
+    rare, n = langid.rarity(counts, idf)
+    assert n == counts.sum() and abs(rare - sum(counts[i] * idf[i] for i in raw) / n) < 1e-12
+
+
+def test_temperature_does_not_collapse():
+    logits, labels = np.eye(3)[np.arange(60) % 3] * 4, np.arange(60) % 3  # told apart without error
+    assert fit_temperature(logits, labels) > 0.2
+
+
+def test_scores_of_short_and_of_unknown_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.learn(docs)
+    short = docs.where(langid.is_held_out(F.col("doc_id"))).withColumn("text", F.substring("text", 100, 50))
+    told = identify(short.where(F.length("text") > 20), model).select("lang", "lang_pred", "score").collect()
+    score = np.array([r["score"] for r in told])
+    right = np.array([r["lang"] == r["lang_pred"] for r in told])
+    bins = np.minimum((score * 10).astype(int), 9)
+    error = sum(abs(right[bins == b].sum() - score[bins == b].sum()) for b in range(10)) / len(told)
+    assert len(told) > 150 and error < 0.05
+    other = spark.createDataFrame(
+        [
+            (1, "Всички хора се раждат свободни и равни по достойнство и права"),
+            (2, "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である"),
+            (3, "xq zv kk qqwx zzpt vbnm"),
+            (4, "xq zv kk qqwx zzpt vbnm " * 40),
+        ],
+        "doc_id long, text string",
+    )
+    assert all(r["score"] < 0.3 for r in identify(other, model).collect())
+    asked = docs.withColumn("a.b", F.lit(1)).unionByName(other, allowMissingColumns=True)
+    kept = langid.accepted(asked)
+    assert kept.columns == asked.columns
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(r[0] for r in docs.select("doc_id").collect())
