@@ -2,46 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.functions import repetition as rp
+from gistmill.functions import suffixes
 from gistmill.functions import tokens as tk
-from gistmill.functions.rows import inlined, let, run_lengths
+from gistmill.functions.rows import inlined, let
 
 
 def ngram_counts(df: DataFrame, key: str, lo: int, hi: int, text: str = "text") -> DataFrame:
     """``(key, n, ngram, cnt)`` within each document, counted inside its row."""
+    return inlined(ngram_tables(df, key, lo, hi, text), [key, "n"], F.col("grams"), "ngram")
 
-    def rows(sh: rp.Shingles, n: int):
-        return F.transform(
-            run_lengths(sh.texts(n)),
-            lambda r: F.struct(
-                F.lit(n).alias("n"), r["key"].alias("ngram"), r["cnt"].cast("long").alias("cnt")
-            ),
-        )
-
-    def counted(sh: rp.Shingles):
-        return F.concat(*[rows(sh, n) for n in range(lo, hi + 1)])
 
-    return inlined(df, [key], rp.with_shingles(F.col(text), counted), "n")
+def ngram_tables(df: DataFrame, key: str, lo: int, hi: int, text: str = "text") -> DataFrame:
+    """``(key, n, grams)``: the same counts as a row per document and size, ``grams``
+    an ``array<struct<ngram, cnt>>``. What is asked of a document's n-grams as a
+    whole is answered from its array; as rows they are some fifty times the text."""
+    rows = df.select(F.col(key).alias("key"), suffixes.marked(F.col(text)).alias("tokens"))
+    kind = df.select(key).schema[0].dataType.simpleString()
+    made = f"key {kind}, n int, grams array<struct<ngram:string,cnt:bigint>>"
+    return rows.mapInArrow(suffixes.tables(range(lo, hi + 1)), made).withColumnRenamed("key", key)
 
 
 def top_ngrams(df: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:
     """``(key, ngram, cnt, chr_fraction)`` of the most frequent n-gram; the first
     seen wins a tie. Texts too short for one have no row."""
+    return top_ngrams_of(df, key, [n], text).drop("n")
+
+
+def top_ngrams_of(df: DataFrame, key: str, sizes: Sequence[int], text: str = "text") -> DataFrame:
+    """``(key, ngram, cnt, chr_fraction, n)``: the same for several sizes, from one
+    suffix array of a document's tokens."""
     kept = df.select(key, F.col(text).alias("_text"), F.length(text).alias("_chars"))
-    found = kept.withColumn("_found", rp.suffix_measures(F.col("_text"), [n], []))
-    one = {"_cnt": "counts", "_first": "firsts", "_len": "chars"}
-    found = found.select(key, "_text", "_chars", *[F.get(F.col("_found")[c], F.lit(0)).alias(a) for a, c in one.items()])
-    spelled = F.slice(tk.tokens(F.col("_text"), tk.GAPPED_TOKEN), F.col("_first").cast("int") + 1, n)
-    gram = F.ltrim(F.lower(F.array_join(spelled, "")), F.lit(rp.SPACES))
-    return found.where("_cnt > 0").select(
-        key,
-        gram.alias("ngram"),
-        F.col("_cnt").alias("cnt"),
-        F.try_divide(F.col("_len") * F.col("_cnt"), F.col("_chars")).alias("chr_fraction"),
-    )
+    found = kept.withColumn("_found", rp.suffix_measures(F.col("_text"), sizes, []))
+
+    def top(gapped: Column):
+        def one(i: int, n: int):
+            cnt, first, chars = (F.get(F.col("_found")[c], F.lit(i)) for c in ("counts", "firsts", "chars"))
+            spelled = F.slice(gapped, first.cast("int") + 1, n)
+            gram = F.ltrim(F.lower(F.array_join(spelled, "")), F.lit(rp.SPACES))
+            share = F.try_divide(chars * cnt, F.col("_chars"))
+            row = F.struct(gram.alias("ngram"), cnt.alias("cnt"), share.alias("chr_fraction"), F.lit(n).alias("n"))
+            return F.when(cnt > 0, row)
+
+        return F.filter(F.array(*[one(i, n) for i, n in enumerate(sizes)]), lambda x: x.isNotNull())
+
+    return inlined(found, [key], let(tk.tokens(F.col("_text"), tk.GAPPED_TOKEN), top), "n")
 
 
 def duplicate_ngrams(df: DataFrame, key: str, lo: int, hi: int, text: str = "text") -> DataFrame:
