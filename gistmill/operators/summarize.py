@@ -20,7 +20,8 @@ def _with_top(
     df: DataFrame, stop_words: Sequence[str], k: int, rounds: int, text: str
 ) -> DataFrame:
     c = F.col(text)
-    spoken = df.withColumn("_runs", sm.sentence_phrases(sm.sentence_tokens(c), stop_words))
+    split = df.withColumn("_sents", tk.sentences_of(c))
+    spoken = split.withColumn("_runs", sm.sentence_phrases(sm.tokens_of(F.col("_sents")), stop_words))
     ranked = spoken.withColumn("_ranked", sm.phrase_ranks(F.col("_runs"), rounds))
     return ranked.withColumn("_top", sm.top_phrases(F.col("_ranked"), k)).drop("_ranked")
 
@@ -59,5 +60,5 @@ def textrank(
 ) -> DataFrame:
     top = _with_top(df, stop_words, k, rounds, text)
     distances = sm.sentence_distances(F.col("_runs"), F.col("_top"))
-    chosen = sm.closest_sentences(tk.sentences_of(F.col(text)), distances, n)
-    return top.withColumn(out, chosen).drop("_runs", "_top")
+    chosen = sm.closest_sentences(F.col("_sents"), distances, n)
+    return top.withColumn(out, chosen).drop("_sents", "_runs", "_top")
