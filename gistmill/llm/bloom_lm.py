@@ -33,14 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gistmill.llm.words import _utf8, mix, white_space_words, word_hashes
-from gistmill.session import written
+from gistmill.session import small_batches, written
 
 #: hash of the token that ends each text
 END = np.uint64(0x5851F42D4C957F2D)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _EVENT = np.uint64(0xD6E8FEB86659FD93)
-#: text bytes whose n-grams a task counts before it sends them, and of a scored slice
-HELD_BYTES, SLICE_BYTES, CHUNK_BYTES = 1 << 23, 1 << 20, 1 << 23
+#: text bytes whose n-grams a task counts before it sends them, and of a counted
+#: slice; scored ones are smaller, for the worker holds the model beside them
+HELD_BYTES, SLICE_BYTES, SCORED_BYTES, CHUNK_BYTES = 1 << 23, 1 << 20, 1 << 18, 1 << 23
 #: text bytes a segment: small ones as long as there are few, for even work
 SMALL, LARGE, MANY = 1 << 22, 1 << 26, 1 << 12
 _BLOOM, _MODEL = 0, -1  # n of a filter's row, chunk of a model's row
@@ -312,7 +313,9 @@ def learn(docs: DataFrame, text_col: str = "text", settings: Settings = Settings
     segments = max(1, size // LARGE, min(size // SMALL, MANY))
     sent = texts.mapInArrow(_count(segments, settings.order), _ROWS)
     dealt = sent.repartition("segment").sortWithinPartitions("segment")
-    rows = written(dealt.mapInArrow(_build(settings), _ROWS), "language-model")
+    # a worker keeps what it took here when it comes to hold the model
+    with small_batches(docs.sparkSession):
+        rows = written(dealt.mapInArrow(_build(settings), _ROWS), "language-model")
     whole = rows.where("n = 1").mapInArrow(_totals, "tokens long, types long").agg(
         F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))
     )
@@ -401,6 +404,12 @@ def _scores(texts: pa.Array, look: Callable[[int, np.ndarray], np.ndarray], toke
     return sizes, np.add.reduceat((seen > 0).astype(np.int64), first), base, np.add.reduceat(np.log10(p), first)
 
 
+def _scored_slices(texts: pa.Array, look: Callable, tokens: int, types: int, s: Settings) -> list[tuple]:
+    return [
+        _scores(texts.slice(p.start, p.stop - p.start), look, tokens, types, s) for p in _slices(texts, SCORED_BYTES)
+    ]
+
+
 _SCORE = "n_tokens long, n_known long, base_score double, score double"
 
 
@@ -410,10 +419,7 @@ def _score_udf(model: Model, shared):
 
     @F.arrow_udf(StructType.fromDDL(_SCORE))
     def score(texts: pa.Array) -> pa.Array:
-        done = [
-            _scores(texts.slice(p.start, p.stop - p.start), shared.value, model_tokens, model_types, settings)
-            for p in _slices(texts, SLICE_BYTES)
-        ]
+        done = _scored_slices(texts, shared.value, model_tokens, model_types, settings)
         columns = [np.concatenate(c) for c in zip(*done, strict=True)] if done else [np.zeros(0)] * 4
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)

@@ -6,6 +6,7 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,15 @@ def test_learned_order_scores_higher(spark):
     right, wrong = sorted(found, key=lambda r: r["doc_id"])
     assert right["score"] > wrong["score"] + 3 and right["base_score"] == pytest.approx(wrong["base_score"])
     assert right["score"] > right["base_score"]
+
+
+def test_scoring_needs_little_beside_the_model():
+    import tracemalloc
+
+    texts = pa.array([" ".join(f"w{i * j % 997}" for i in range(300)) for j in range(4000)])
+    look = lambda n, keys: np.ones(len(keys), np.int64)
+    tracemalloc.start()
+    bloom_lm._scored_slices(texts, look, 10, 10, bloom_lm.Settings())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6
