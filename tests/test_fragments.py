@@ -90,3 +90,14 @@ def test_density_bins(spark):
     df = spark.createDataFrame([(1.5,), (1.6,), (8.1875,), (9.0,), (None,)], "d double")
     got = [r.b for r in df.select(fr.density_bin(F.col("d")).alias("b")).collect()]
     assert got == ["abstractive", "mixed", "mixed", "extractive", None]
+
+
+def test_texts_are_compared_without_arrays_of_tokens(spark):
+    rows = [(1, "Σ'ΟΔΟΣ, İx\u00a0y!", "a ΟΔΟΣ, İX\u00a0Y\u0301! ΟΔΟΣ,"), (2, None, "a"), (3, "a", None), (4, "", " "), (5, "b\x0ba\x1cc", "B A\x1cC")]
+    df = spark.createDataFrame(rows, "id int, summary string, text string")
+    found = with_fragments(df).select("id", "matches", F.size("s_tokens").alias("n"), F.size("t_tokens").alias("m"))
+    plan = extractiveness(df, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    ways = [found, df.select("id", fr.lifted(F.col("summary"), F.col("text")).alias("x")).select("id", "x.*")]
+    old, new = ([tuple(r) for r in w.orderBy("id").collect()] for w in ways)
+    assert old == new

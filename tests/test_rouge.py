@@ -107,3 +107,25 @@ def test_long_texts_in_bounded_memory():
     tracemalloc.stop()
     assert len(found) == rouge._lcs_length(ref, can) > 10_000
     assert most < 80e6
+
+
+def test_vectors_of_a_sentence_are_made_once(monkeypatch):
+    made = []
+    make = rouge._Places.__init__
+    monkeypatch.setattr(rouge._Places, "__init__", lambda self, ref: (made.append(ref), make(self, ref))[1])
+    pred = ["a b c d".split(), "c x a".split(), "y z".split()]
+    assert rouge._union_hits(["a b c d".split()], pred) == 4 and not made
+    ref = "a c b y d".split()
+    expected = len(set().union(*[picked(ref, p) for p in pred]))
+    assert rouge._union_hits([ref], pred) == expected and made == [ref]
+    assert rouge._union_hits(["p q".split()], pred) == 0 and len(made) == 1
+
+
+def test_scores_of_nulls_and_of_few_tokens(spark):
+    rows = [(None, "a b"), ("a", None), ("", ""), ("a", "a"), ("a b\nc", "b c\na b c"), ("İ K", "i k")]
+    df = spark.createDataFrame(rows, "pred string, ref string")
+    p, r = F.col("pred"), F.col("ref")
+    scores = [rouge.rouge_n(p, r, 1), rouge.rouge_n(p, r, 2), rouge.rouge_l(p, r), rouge.rouge_lsum(p, r)]
+    got = [tuple(round(v, 9) for v in x) for x in df.select(*[s["fmeasure"] for s in scores]).collect()]
+    assert got[:4] == [(0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0), (1, 0, 1, 1)]
+    assert got[4] == (0.75, round(2 / 3, 9), 0.75, 0.75) and got[5] == (1, 1, 1, 1)

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from gistmill.functions import tokens as tk
@@ -44,3 +46,13 @@ def test_blank_lines_of_any_white_space(texts):
     df = texts("a\n\u00a0\n\u3000\u2009\n b\u00a0")
     row = df.select(tk.non_blank_lines(col()).alias("n"), tk.sentences_of(F.lit("\u00a0x. \u2003")).alias("s")).first()
     assert row.n == ["a", "b"] and row.s == ["x."]
+
+
+def test_first_sentences(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aB .!?\n\t\u00a0\u2003ñ\r", k=rng.randrange(0, 30))) for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "...", "\u00a0.a. b", None]], "text string")
+    for n in (0, 1, 3):
+        both = df.select("text", tk.first_sentences(col(), n).alias("first"), tk.sentences_of(col()).alias("all"))
+        for r in both.collect():
+            assert r.first == (None if r.text is None else r.all[:n]), r
