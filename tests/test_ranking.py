@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from gistmill.operators import bootstrap as bs
 from gistmill.operators import ranking as rk
 from gistmill.plans import ratings
@@ -77,3 +79,16 @@ def test_reports(spark):
     report = bs.metric_report({"x": one, "y": one})
     assert [r.metric for r in report.orderBy("metric").collect()] == ["x", "y"]
     assert bs.wide_report(report, ["x"]).first().x_high == 3.0
+
+
+def test_a_score_is_made_once(spark, monkeypatch):
+    stored, store = [], bs.written
+    monkeypatch.setattr(bs, "written", lambda df, label: (stored.append(df), store(df, label))[1])
+    rows = spark.createDataFrame([(i, "a " * i if i % 3 else None) for i in range(12)], "id int, text string")
+    scores = rows.select("id", F.regexp_count("text", F.lit("a")).cast("double").alias("score"))
+    for made in (bs.bootstrap_mean, bs.sample_percentiles):
+        row = made(scores, "score", "id").first()
+        assert row["mean"] == sum(i for i in range(12) if i % 3) / 8
+    for df in stored:
+        # a count is the size of all matches
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
