@@ -16,8 +16,8 @@ end of the recursion are words with half a count more than seen.
 
 *Reaching the workers.* Up to ``Settings.broadcast`` bytes, the segments are
 broadcast. A larger model stays where it is: documents are written in chunks,
-each chunk's distinct n-grams go to the segments, and the answers come back to
-the chunk. Both ways give the same scores.
+each chunk's distinct n-grams go to groups of segments, and the answers come back
+to the chunk. Both ways give the same scores.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gistmill.llm.words import _utf8, mix, white_space_words, word_hashes
-from gistmill.session import small_batches, written
+from gistmill.session import collect_garbage, small_batches, used_up, written
 
 #: hash of the token that ends each text
 END = np.uint64(0x5851F42D4C957F2D)
@@ -44,7 +44,10 @@ _EVENT = np.uint64(0xD6E8FEB86659FD93)
 HELD_BYTES, SLICE_BYTES, SCORED_BYTES, CHUNK_BYTES = 1 << 23, 1 << 20, 1 << 18, 1 << 23
 #: text bytes a segment: small ones as long as there are few, for even work
 SMALL, LARGE, MANY = 1 << 22, 1 << 26, 1 << 12
+#: bytes of a model whose segments answer together, keys looked up at once
+GROUP_BYTES, ASKED = 1 << 22, 1 << 18
 _BLOOM, _MODEL = 0, -1  # n of a filter's row, chunk of a model's row
+_TEXTS = 0  # n of a row that holds a chunk's texts
 
 
 @dataclass(frozen=True)
@@ -254,17 +257,17 @@ def _count(segments: int, order: int):
     return run
 
 
-def _by_segment(batches: Iterator[pa.RecordBatch], open_: Callable, each: Callable, close: Callable):
-    """Walk rows that are sorted by segment."""
+def _walked(batches: Iterator[pa.RecordBatch], key: Callable, open_: Callable, each: Callable, close: Callable):
+    """Walk rows that are sorted by ``key(segment, chunk)``."""
     now, state = None, None
     for batch in batches:
         columns = [batch.column(n).to_pylist() for n in _NAMES]
-        for segment, *row in zip(*columns, strict=True):
-            if segment != now:
+        for row in zip(*columns, strict=True):
+            if (own := key(*row[:2])) != now:
                 if now is not None:
                     yield from close(now, state)
-                now, state = segment, open_()
-            yield from each(now, state, *row)
+                now, state = own, open_()
+            yield from each(state, *row)
     if now is not None:
         yield from close(now, state)
 
@@ -273,7 +276,7 @@ def _build(s: Settings):
     """Each segment's exact word counts and filter, as model rows."""
     starts = level_starts(s.base)
 
-    def each(_segment, held, _chunk, n, keys, extra):
+    def each(held, _segment, _chunk, n, keys, extra):
         held.setdefault(n, []).append((_unpacked(keys), _from_planes(extra, np.int64)))
         return ()
 
@@ -289,7 +292,7 @@ def _build(s: Settings):
             yield _rows([(segment, _MODEL, _BLOOM, bloom.bits.tobytes(), bloom.size.tobytes())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _by_segment(batches, dict, each, close)
+        yield from _walked(batches, lambda segment, _: segment, dict, each, close)
 
     return run
 
@@ -432,91 +435,143 @@ def _score_udf(model: Model, shared):
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a task, some megabytes of text to a row. The number is unique as
-    the table is written once."""
-    number = TaskContext.get().partitionId() << 32
+    """Rows of a task, some megabytes of text to a row, packed. The number is
+    unique as the table is written once."""
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
     for batch in batches:
-        for part in _slices(batch.column("text"), CHUNK_BYTES):
-            own = batch.slice(part.start, part.stop - part.start)
-            ends = pa.array([0, own.num_rows], pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays([own.column(c)])) for c in ("id", "text")]
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists], names=["chunk", "ids", "texts"])
-            number += 1
+        texts = batch.column("text")
+        for part in _slices(texts, SLICE_BYTES):
+            held.append(batch.slice(part.start, part.stop - part.start))
+            size += len(_utf8(held[-1].column("text"))[0])
+            if size >= CHUNK_BYTES:
+                yield _rows([(0, number, _TEXTS, _sealed(held), None)])
+                number, held, size = number + 1, [], 0
+    if held:
+        yield _rows([(0, number, _TEXTS, _sealed(held), None)])
 
 
-def _ask(segments: int, order: int):
-    """The distinct words and n-grams of each chunk, for each segment."""
+def _sealed(parts: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        for part in parts:
+            stream.write_batch(part)
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(raw: bytes) -> list[pa.RecordBatch]:
+    return list(pa.ipc.open_stream(raw))
+
+
+def _distinct(parts: list[pa.RecordBatch], n: int) -> np.ndarray:
+    """Sorted distinct n-grams of a chunk, whose parts are hashed one at a time."""
+    keys = np.concatenate([ngram_keys(*token_stream(part.column("text")), n)[0] for part in parts])
+    keys.sort()
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def _ask(segments: int, per: int, order: int):
+    """The distinct words and n-grams of each chunk, for each group of ``per``
+    segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, chunk in enumerate(batch.column("chunk").to_pylist()):
-                tokens, first = token_stream(batch.column("texts")[i].values)
+                parts = _opened(batch.column("keys")[i].as_buffer())
                 for n in range(1, order + 1):
-                    keys = _counted(ngram_keys(tokens, first, n)[0])[0]
+                    keys = _distinct(parts, n)
                     at = _shares(keys, segments)
-                    rows = [
-                        (s, chunk, n, _packed(keys[at[s] : at[s + 1]]), None) for s in np.flatnonzero(np.diff(at)).tolist()
-                    ]
-                    yield _rows(rows)
+                    at = np.append(at[:-1:per], at[-1])
+                    groups = np.flatnonzero(np.diff(at)).tolist()
+                    for lo in range(0, len(groups), 32):
+                        yield _rows(
+                            [(g * per, chunk, n, _packed(keys[at[g] : at[g + 1]]), None) for g in groups[lo : lo + 32]]
+                        )
 
     return run
 
 
-def _answer(segments: int, hashes: int):
-    """Counts and levels of what chunks ask for. A segment's model rows come
-    first; one segment is in memory at a time."""
+def _answer(segments: int, per: int, hashes: int):
+    """Counts and levels of what chunks ask for, looked up for many chunks at
+    once. A group's model rows come first; one group is in memory at a time."""
 
-    def each(segment, held, chunk, n, keys, extra):
-        if chunk == _MODEL:
-            held["rows"].append((segment, n, keys, extra))
-            return
+    def told(held):
         if "look" not in held:
             rows = held.pop("rows")
             held["look"] = _lookup([(r[0], r[1], len(r[2])) for r in rows], rows, segments, hashes)
-        yield _rows([(segment, chunk, n, None, held["look"](n, _unpacked(keys)).tobytes())])
+        for n in sorted({n for _, _, n, _ in held["asked"]}):
+            asked = [a for a in held["asked"] if a[2] == n]
+            distinct, at = np.unique(np.concatenate([a[3] for a in asked]), return_inverse=True)
+            found = np.split(held["look"](n, distinct)[at], np.cumsum([len(a[3]) for a in asked])[:-1])
+            pack = _planes if n == 1 else np.ndarray.tobytes
+            yield _rows([(*a[:3], None, pack(f)) for a, f in zip(asked, found, strict=True)])
+        held["asked"], held["size"] = [], 0
+
+    def each(held, segment, chunk, n, keys, extra):
+        if chunk == _MODEL:
+            held["rows"].append((segment, n, keys, extra))
+            return
+        held["asked"].append((segment, chunk, n, _unpacked(keys)))
+        held["size"] += len(held["asked"][-1][3])
+        if held["size"] >= ASKED:
+            yield from told(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _by_segment(batches, lambda: {"rows": []}, each, lambda *_: ())
+        open_ = lambda: {"rows": [], "asked": [], "size": 0}
+        yield from _walked(batches, lambda segment, _: segment // per, open_, each, lambda _, held: told(held))
 
     return run
 
 
 def _score_chunks(order: int, tokens: int, types: int, s: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                texts, ids = batch.column("texts")[i].values, batch.column("ids")[i].values
-                stream, first = token_stream(texts)
-                answers = batch.column("answers")[i].as_py()
-                known = {}
-                for n in range(1, order + 1):
-                    raw = b"".join(a["extra"] for a in answers if a["n"] == n)
-                    kind = np.int64 if n == 1 else np.uint8
-                    known[n] = (_counted(ngram_keys(stream, first, n)[0])[0], np.frombuffer(raw, kind))
+    """Scores of chunks, from rows sorted by chunk: its texts, then the answers
+    in the order of what was asked."""
 
-                def look(n: int, keys: np.ndarray, known=known) -> np.ndarray:
-                    own, values = known[n]
-                    return values[np.searchsorted(own, keys)] if len(own) else values[:0]
+    def each(held, _segment, _chunk, n, keys, extra):
+        held.setdefault(n, []).append(keys if n == _TEXTS else extra)
+        return ()
+
+    def close(_chunk, held):
+        parts = _opened(held.pop(_TEXTS)[0])
+        known = {}
+        for n in range(1, order + 1):
+            raws = held.pop(n, [])
+            values = [_from_planes(r, np.int64) if n == 1 else np.frombuffer(r, np.uint8) for r in raws]
+            known[n] = (_distinct(parts, n), np.concatenate(values) if values else np.zeros(0, np.int64))
+
+        def look(n: int, keys: np.ndarray) -> np.ndarray:
+            own, values = known[n]
+            return values[np.searchsorted(own, keys)] if len(own) else values[:0]
 
-                columns = _scores(texts, look, tokens, types, s)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, *map(pa.array, columns)], names=["id", "n_tokens", "n_known", "base_score", "score"]
-                )
+        for part in parts:
+            columns = map(np.concatenate, zip(*_scored_slices(part.column("text"), look, tokens, types, s), strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), *map(pa.array, columns)], names=["id", "n_tokens", "n_known", "base_score", "score"]
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _walked(batches, lambda _, chunk: chunk, dict, each, close)
 
     return run
 
 
 def _scored_by_segments(rows: DataFrame, model: Model) -> DataFrame:
-    s = model.settings
+    """The scores are stored here, for only jobs that are run here have their
+    batches bounded."""
+    s, spark = model.settings, rows.sparkSession
     kind = rows.schema["id"].dataType.simpleString()
-    made = f"chunk long, ids array<{kind}>, texts array<string>"
-    chunks = written(rows.mapInArrow(_chunks, made), "chunks")
-    asked = chunks.mapInArrow(_ask(model.segments, s.order), _ROWS)
-    met = model.rows.unionByName(asked).repartition("segment").sortWithinPartitions("segment", "chunk", "n")
-    answers = met.mapInArrow(_answer(model.segments, s.hashes), _ROWS)
-    own = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("n", "segment", "extra"))).alias("answers"))
-    both = chunks.join(own, "chunk")
-    return both.mapInArrow(_score_chunks(s.order, model.tokens, model.types, s), f"id {kind}, {_SCORE}")
+    per = max(1, model.segments * GROUP_BYTES // max(1, model.bytes))
+    group = F.expr(f"segment div {per}")
+    collect_garbage(spark)  # what was counted is as large on disk as what is asked
+    with small_batches(spark):
+        chunks = written(rows.mapInArrow(_chunks, _ROWS), "chunks")
+        asked = chunks.mapInArrow(_ask(model.segments, per, s.order), _ROWS)
+        met = model.rows.unionByName(asked).repartition(group).sortWithinPartitions(group, "chunk", "n")
+        answers = met.mapInArrow(_answer(model.segments, per, s.hashes), _ROWS)
+        both = chunks.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "n", "segment")
+        told = both.mapInArrow(_score_chunks(s.order, model.tokens, model.types, s), f"id {kind}, {_SCORE}")
+        stored = written(told, "scores")
+    used_up(chunks)
+    return stored
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

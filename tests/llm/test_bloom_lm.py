@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gistmill import session
 from gistmill.llm import bloom_lm
 from gistmill.llm.bloom_lm import Bloom, Settings, level_starts
 
@@ -141,3 +142,52 @@ def test_scoring_needs_little_beside_the_model():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 16e6
+
+
+def test_large_models_pass_small_batches(spark, monkeypatch):
+    most, given = {}, spark.conf.get(session.BATCH_BYTES)
+
+    def noted(df, label):
+        most[label] = int(spark.conf.get(session.BATCH_BYTES))
+        return session.written(df, label)
+
+    monkeypatch.setattr(bloom_lm, "written", noted)
+    docs = table(spark, sample())
+    model = bloom_lm.learn(docs, settings=replace(S, broadcast=0))
+    bloom_lm.score(docs, model).collect()
+    assert len(most) == 3 and max(most.values()) <= 1 << 23
+    assert spark.conf.get(session.BATCH_BYTES) == given
+
+
+@pytest.mark.parametrize("group, asked, chunk, part", [(1, 1, 1, 1), (20_000, 50, 3000, 700), (1 << 22, 1 << 18, 3000, 1 << 20)])
+def test_groups_of_segments_answer_as_a_broadcast_model(spark, monkeypatch, group, asked, chunk, part):
+    for name, value in [("SMALL", 500), ("GROUP_BYTES", group), ("ASKED", asked), ("CHUNK_BYTES", chunk), ("SLICE_BYTES", part)]:
+        monkeypatch.setattr(bloom_lm, name, value)
+    rows = sample()[120:]
+    model, want = scored(spark, rows, replace(S, order=3))
+    split, got = scored(spark, rows, replace(S, order=3, broadcast=0))
+    assert split.segments == model.segments > 8
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_a_chunk_needs_little(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(bloom_lm.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    texts = pa.array([" ".join(f"w{i * j % 9973}" for i in range(300)) for j in range(4500)])
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], names=["id", "text"])
+    chunks = list(bloom_lm._chunks(iter([docs])))
+    assert [c.num_rows for c in chunks] == [1]
+    asked = list(bloom_lm._ask(16, 4, 2)(iter(chunks)))
+    assert sum(a.num_rows for a in asked) == 8  # four groups, words and pairs
+    asked = sorted((r for a in asked for r in a.to_pylist()), key=lambda r: (r["segment"], r["n"]))
+    asked = pa.RecordBatch.from_pylist(asked, schema=chunks[0].schema)
+    told = [r for b in bloom_lm._answer(16, 4, 7)(iter([asked])) for r in b.to_pylist()]
+    told = pa.RecordBatch.from_pylist(sorted(told, key=lambda r: (r["n"], r["segment"])), schema=chunks[0].schema)
+    tracemalloc.start()
+    out = list(bloom_lm._score_chunks(2, 10, 10, Settings())(iter([*chunks, told])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [i for b in out for i in b.column("id").to_pylist()] == list(range(len(texts)))
+    assert peak < 60e6
