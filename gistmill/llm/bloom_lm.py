@@ -41,11 +41,12 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _EVENT = np.uint64(0xD6E8FEB86659FD93)
 #: text bytes whose n-grams a task counts before it sends them, and of a counted
 #: slice; scored ones are smaller, for the worker holds the model beside them
-HELD_BYTES, SLICE_BYTES, SCORED_BYTES, CHUNK_BYTES = 1 << 23, 1 << 20, 1 << 18, 1 << 23
+HELD_BYTES, SLICE_BYTES, SCORED_BYTES, CHUNK_BYTES = 1 << 23, 1 << 20, 1 << 18, 1 << 22
 #: text bytes a segment: small ones as long as there are few, for even work
 SMALL, LARGE, MANY = 1 << 22, 1 << 26, 1 << 12
-#: bytes of a model whose segments answer together, keys looked up at once
-GROUP_BYTES, ASKED = 1 << 22, 1 << 18
+#: bytes of a model whose segments answer together, of an Arrow batch on the way
+#: to them and back, and keys looked up at once
+GROUP_BYTES, PASSED_BYTES, ASKED = 1 << 21, 1 << 21, 1 << 18
 _BLOOM, _MODEL = 0, -1  # n of a filter's row, chunk of a model's row
 _TEXTS = 0  # n of a row that holds a chunk's texts
 
@@ -562,8 +563,9 @@ def _scored_by_segments(rows: DataFrame, model: Model) -> DataFrame:
     per = max(1, model.segments * GROUP_BYTES // max(1, model.bytes))
     group = F.expr(f"segment div {per}")
     collect_garbage(spark)  # what was counted is as large on disk as what is asked
-    with small_batches(spark):
-        chunks = written(rows.mapInArrow(_chunks, _ROWS), "chunks")
+    with small_batches(spark, PASSED_BYTES):
+        # packed already; a codec would keep buffers as large as a file
+        chunks = written(rows.mapInArrow(_chunks, _ROWS), "chunks", compression="uncompressed")
         asked = chunks.mapInArrow(_ask(model.segments, per, s.order), _ROWS)
         met = model.rows.unionByName(asked).repartition(group).sortWithinPartitions(group, "chunk", "n")
         answers = met.mapInArrow(_answer(model.segments, per, s.hashes), _ROWS)
